@@ -17,30 +17,34 @@ def flagged(t: Tables):
     return t.lineitem.withColumn("l_returnflag", flag)
 
 
-def _grouped_sql(expr: str) -> str:
-    return f"SELECT l_returnflag, l_linestatus, {q6(expr)} AS l_extendedprice FROM ({FLAGGED}) WHERE l_returnflag IS NOT NULL GROUP BY 1, 2"
+def _grouped_sql(expr: str, digits: int = 6) -> str:
+    rounded_expr = q6(expr) if digits == 6 else f"ROUND(CAST({expr} AS DOUBLE), {digits})"
+    return f"SELECT l_returnflag, l_linestatus, {rounded_expr} AS l_extendedprice FROM ({FLAGGED}) WHERE l_returnflag IS NOT NULL GROUP BY 1, 2"
 
 
 def _grouped(t: Tables, method: str):
     """Through the configured operation, keys as one comma-separated text."""
     op = {"operation": "aggregate", "group_by_cols": "l_returnflag, l_linestatus", "target_column": "l_extendedprice", "method": method}
     out, _ = apply_stage(flagged(t), {"modification_operations": {"global": [op]}}, "modification")
-    return rounded(out, "l_extendedprice")
+    return out
+
+
+# Sums of cents: two places hold the whole value.
 
 
-@query("aggregate_sum", _grouped_sql("SUM(CAST(l_extendedprice AS DECIMAL(18,2)))"))
+@query("aggregate_sum", _grouped_sql("SUM(CAST(l_extendedprice AS DECIMAL(18,2)))", 2))
 def aggregate_sum(t: Tables):
-    return _grouped(t, "sum")
+    return _grouped(t, "sum").withColumn("l_extendedprice", F.round("l_extendedprice", 2))
 
 
 @query("aggregate_mean", _grouped_sql("AVG(l_extendedprice)"))
 def aggregate_mean(t: Tables):
-    return _grouped(t, "mean")
+    return rounded(_grouped(t, "mean"), "l_extendedprice")
 
 
 @query("aggregate_median", _grouped_sql("quantile_cont(l_extendedprice, 0.5)"))
 def aggregate_median(t: Tables):
-    return _grouped(t, "median")
+    return rounded(_grouped(t, "median"), "l_extendedprice")
 
 
 METHODS_SQL = {
@@ -69,7 +73,7 @@ ORDERED = "(l_shipdate, l_linenumber, l_partkey, l_suppkey)"
 
 @query(
     "aggregate_first_last",
-    f"""SELECT l_orderkey, arg_min(l_quantity, {ORDERED}) AS first, arg_max(l_quantity, {ORDERED}) AS last, {q6('product(l_quantity)')} AS prod
+    f"""SELECT l_orderkey, arg_min(l_quantity, {ORDERED}) AS first, arg_max(l_quantity, {ORDERED}) AS last, ROUND(product(l_quantity)) AS prod
  FROM lineitem GROUP BY l_orderkey""",
 )
 def aggregate_first_last(t: Tables):
@@ -77,7 +81,7 @@ def aggregate_first_last(t: Tables):
     parts = [
         features.aggregate(t.lineitem, "l_orderkey", "l_quantity", m, order).withColumnRenamed("l_quantity", m) for m in ("first", "last", "prod")
     ]
-    return rounded(reduce(lambda a, b: a.join(b, "l_orderkey"), parts), "prod")
+    return reduce(lambda a, b: a.join(b, "l_orderkey"), parts).withColumn("prod", F.round("prod"))
 
 
 LETTERS = ["a", "b", "c", "d", "e"]

@@ -31,6 +31,30 @@ def lcs_length(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
+def lcs_at_least(a: str, b: str, need: int) -> int:
+    """The LCS when it reaches ``need``, else 0; gives up as soon as too many characters of the shorter string are unmatched.
+
+    With that many common characters, character j of one string has no partner beyond
+    position j plus the unmatched characters of the other, so only that band counts.
+    """
+    if len(a) < len(b):
+        a, b = b, a
+    where: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        where[ch] = where.get(ch, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row, spare, lead = full, len(b) - need, len(a) - need
+    for j, ch in enumerate(b, start=1):
+        hit = row & where.get(ch, 0)
+        row = ((row + hit) | (row - hit)) & full
+        if j % WORD_BITS == 0:
+            band = j + lead
+            if j - (band - (row & ((1 << band) - 1)).bit_count()) > spare:
+                return 0
+    common = len(a) - row.bit_count()
+    return common if common >= need else 0
+
+
 def _codes(texts: Sequence[str], width: int, pad: int) -> np.ndarray:
     out = np.full((len(texts), width), pad, dtype=np.int32)
     for i, t in enumerate(texts):

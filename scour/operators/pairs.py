@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from scour.functions.similarity import lcs_length, ratios
+from scour.functions.similarity import lcs_at_least, ratios
 
 # Strings up to this length meet through pieces, longer ones through blocks of similar length.
 PIECE_LENGTH = 64
@@ -148,8 +148,8 @@ def _block_scorer(above: int):
                 b = texts[j]
                 if a == b or (key[-1] and a > b):
                     continue
-                common = lcs_length(a, b)
-                if common >= need[j]:
+                common = lcs_at_least(a, b, int(need[j]))
+                if common:
                     out.append((column, a, b, int(np.rint(100.0 * (2.0 * common / total[j])))))
         return pd.DataFrame(out, columns=["column", "a", "b", "score"])
 

@@ -42,7 +42,6 @@ class Result:
     status: str = "completed"
     details: str = ""
     affected: int = 0
-    column: str | None = None
 
 
 @dataclass
@@ -80,7 +79,7 @@ def _missing_values(df: DataFrame, target: str, op: dict, ctx: Context) -> Resul
     note = f"; no known value in {', '.join(empty)}" if empty else ""
     status = "skipped" if empty and not done else "completed"
     text_ = f"filled {', '.join(f'{f.column} ({f.method})' for f in done) or 'nothing'}{note}"
-    return Result(impute.apply_fills(df, fills), status, text_, sum(f.nulls for f in done), "All relevant columns")
+    return Result(impute.apply_fills(df, fills), status, text_, sum(f.nulls for f in done))
 
 
 def _outliers(df: DataFrame, target: str, op: dict, ctx: Context) -> Result:
@@ -131,25 +130,25 @@ def _inconsistencies(df: DataFrame, target: str, op: dict, ctx: Context) -> Resu
 def _rename(df: DataFrame, target: str, op: dict, ctx: Context) -> Result:
     old = op.get("old_name")
     _need(old in df.columns, "skipped", f"column {old} not found")
-    return Result(schema.rename_column(df, old, op["new_name"]), details=f"renamed to {op['new_name']}", affected=1, column=old)
+    return Result(schema.rename_column(df, old, op["new_name"]), details=f"renamed to {op['new_name']}", affected=1)
 
 
 def _drop(df: DataFrame, target: str, op: dict, ctx: Context) -> Result:
     name = op.get("column_name")
     _need(name in df.columns, "skipped", f"column {name} not found")
-    return Result(schema.drop_column(df, name), details="dropped", affected=1, column=name)
+    return Result(schema.drop_column(df, name), details="dropped", affected=1)
 
 
 def _feature(df: DataFrame, target: str, op: dict, ctx: Context) -> Result:
     name = op.get("new_feature_name", "engineered_feature")
     if op.get("formula") is not None:
-        return Result(schema.derive(df, op["formula"], name), details="derived from a formula", affected=1, column=name)
+        return Result(schema.derive(df, op["formula"], name), details="derived from a formula", affected=1)
     groupings = {"age_grouping": ("age", features.age_groups), "bmi_categories": ("bmi", features.bmi_classes)}
     _need(op.get("method") in groupings, "skipped", f"unknown feature method {op.get('method')}")
     default, make = groupings[op["method"]]
     source = op.get("column", default)
     _need(source in df.columns and is_numeric(df, source), "skipped", f"column {source} not found or not numeric")
-    return Result(make(df, source, name), details=op["method"], affected=1, column=name)
+    return Result(make(df, source, name), details=op["method"], affected=1)
 
 
 def _aggregate(df: DataFrame, target: str, op: dict, ctx: Context) -> Result:
@@ -158,7 +157,7 @@ def _aggregate(df: DataFrame, target: str, op: dict, ctx: Context) -> Result:
     names = [k.strip() for k in keys.split(",")] if isinstance(keys, str) else list(keys)
     missing = [c for c in [*names, column] if c not in df.columns]
     _need(not missing, "failed", f"columns not found: {missing}")
-    return Result(features.aggregate(df, names, column, method, op.get("order")), details=f"{method} by {', '.join(names)}", column=column)
+    return Result(features.aggregate(df, names, column, method, op.get("order")), details=f"{method} by {', '.join(names)}")
 
 
 def _bin(df: DataFrame, target: str, op: dict, ctx: Context) -> Result:
@@ -171,7 +170,7 @@ def _bin(df: DataFrame, target: str, op: dict, ctx: Context) -> Result:
         fitted = features.fit_equal_frequency(df, target, bins, labels)
     else:
         raise Stop("failed", f"unknown binning method {method}")
-    return Result(features.discretise(df, target, fitted, name), details=f"{len(fitted.labels)} bins", affected=1, column=name)
+    return Result(features.discretise(df, target, fitted, name), details=f"{len(fitted.labels)} bins", affected=1)
 
 
 def _scale(df: DataFrame, target: str, op: dict, ctx: Context) -> Result:
@@ -195,24 +194,39 @@ def _text(df: DataFrame, target: str, op: dict, ctx: Context) -> Result:
     name = op.get("new_column_name", f"{target}_{method}")
     options = {k: op[k] for k in ("stopwords", "table", "lexicon") if k in op}
     _need(method != "lemmatize" or "lexicon" in options, "failed", "lemmatize needs a lexicon")
-    return Result(text.process_text(df, target, method, name, **options), details=method or "", affected=1, column=name)
+    return Result(text.process_text(df, target, method, name, **options), details=method or "", affected=1)
 
 
 def _pivot(df: DataFrame, target: str, op: dict, ctx: Context) -> Result:
     out = reshape.pivot(df, op["index"], op["columns"], op["values"], op.get("agg_func", "mean"), op.get("order"))
-    return Result(out, details=op.get("agg_func", "mean"), affected=len(out.columns), column="global")
+    return Result(out, details=op.get("agg_func", "mean"), affected=len(out.columns))
 
 
 def _unpivot(df: DataFrame, target: str, op: dict, ctx: Context) -> Result:
     out = reshape.unpivot(df, op.get("id_vars"), op.get("value_vars"), op.get("var_name", "variable"), op.get("value_name", "value"))
-    return Result(out, details="unpivoted", column="global")
+    return Result(out, details="unpivoted")
 
 
 def _merge(df: DataFrame, target: str, op: dict, ctx: Context) -> Result:
     name = op.get("right_df_name")
     _need(name in ctx.tables, "skipped", f"table {name} is not known")
     out = reshape.merge(df, ctx.tables[name], op["on"], op.get("how", "inner"), op.get("null_safe", False))
-    return Result(out, details=f"{op.get('how', 'inner')} join with {name}", column="global")
+    return Result(out, details=f"{op.get('how', 'inner')} join with {name}")
+
+
+def _label(target: str, op: dict) -> str:
+    """The column the log names for an operation, whatever its outcome."""
+    name = op.get("operation")
+    if name == "handle_missing_values":
+        return "All relevant columns"
+    if name in ("pivot", "unpivot", "merge", "join"):
+        return "global"
+    keys = {
+        "create_new_feature": "new_feature_name", "aggregate": "target_column", "rename_column": "old_name", "drop_column": "column_name",
+        "discretize_bin": "new_column_name", "text_processing": "new_column_name", "encode_categorical": "new_column_name",
+    }
+    defaults = {"create_new_feature": "engineered_feature", "discretize_bin": f"{target}_binned", "text_processing": f"{target}_{op.get('method')}"}
+    return op.get(keys.get(name, ""), defaults.get(name, target))
 
 
 Handler = Callable[[DataFrame, str, dict, Context], Result]
@@ -272,5 +286,5 @@ def apply_stage(
                 result = Result(df, "failed", f"{type(e).__name__}: {e}".splitlines()[0])
             df = result.df
             plain = {k: v for k, v in op.items() if k not in ("lexicon", "table")}
-            log.append(Entry(stage, str(name), op.get("method"), result.column or target, result.status, result.affected, result.details, plain | {"target": target}))
+            log.append(Entry(stage, str(name), op.get("method"), _label(target, op), result.status, result.affected, result.details, plain | {"target": target}))
     return df, log

@@ -43,7 +43,7 @@ def difference(result: DataFrame, sql: str, folder: str) -> str | None:
     """None when equal, else a short account of the first difference."""
     got = result.toArrow()
     con = connect(folder)
-    want = con.execute(sql).to_arrow_table()
+    want = con.sql(sql).to_arrow_table()
     if sorted(got.column_names) != sorted(want.column_names):
         return f"columns {sorted(got.column_names)} != {sorted(want.column_names)}"
     kinds = {n: (_kind(got.schema.field(n).type), _kind(want.schema.field(n).type)) for n in got.column_names}
