@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scour.functions.columns import col, known, value_counts
 
-# A quantile is read off a histogram once its bracket holds at most this many distinct values.
+# A quantile is read off a histogram once its bracket holds at most about this many distinct values.
 HISTOGRAM_LIMIT = 20_000
 SKETCH_ACCURACY = 2_000
 GRID = 500
@@ -49,15 +49,18 @@ def moments(df: DataFrame, names: Sequence[str]) -> dict[str, dict]:
 
 @dataclass
 class _Search:
-    """One open quantile: its bracket of values and the count of non-null rows."""
+    """One open quantile: the bracket of values around its rank (None is open)."""
 
     name: str
     q: float
-    n: int = 0
     lo: float | None = None
     hi: float | None = None
     small: bool = False
 
+    @property
+    def key(self) -> tuple:
+        return self.name, self.lo, self.hi
+
     def inside(self, c: Column) -> Column:
         cond = c.isNotNull()
         if self.lo is not None:
@@ -66,84 +69,100 @@ class _Search:
             cond = cond & (c <= F.lit(self.hi))
         return cond
 
-    def clamped(self, c: Column) -> Column:
-        """Values outside the bracket become infinities: ranks stay right, distinct values stay few."""
-        out = c
-        if self.lo is not None:
-            out = F.when(c < F.lit(self.lo), F.lit(float("-inf"))).otherwise(out)
-        if self.hi is not None:
-            out = F.when(c > F.lit(self.hi), F.lit(float("inf"))).otherwise(out)
-        return out
+    def narrow(self, rank: int, n: int, inside: int, below: int, points: Sequence[float], limit: int) -> bool:
+        """Move the bracket to the grid cells around the rank; False when that changes nothing."""
+        at = (rank - below) / inside * GRID
+        low, high = points[max(0, math.floor(at) - 2)], points[min(GRID, math.ceil(at) + 3)]
+        moved = (low, high) != (self.lo, self.hi)
+        # The bracket spans some six grid steps; few enough rows need no further look.
+        self.small = low == high or inside * 8 / GRID <= limit
+        self.lo, self.hi = low, high
+        return moved
+
+
+def _split_by_value(table: DataFrame, s: _Search, rank: int, last: int) -> None:
+    """Narrow a bracket that equal values keep wide: cut its distinct values evenly and count rows at each cut."""
+    c = col(s.name)
+    cuts = [i / 16 for i in range(17)]
+    points = table.where(s.inside(c)).select(c).distinct().agg(F.percentile_approx(c, cuts, SKETCH_ACCURACY)).first()[0]
+    upto = table.agg(*[F.count_if(c <= F.lit(p)).alias(f"c{i}") for i, p in enumerate(points)]).first()
+    s.lo = max([p for i, p in enumerate(points) if upto[i] <= rank], default=s.lo)
+    s.hi = min([p for i, p in enumerate(points) if upto[i] > last], default=s.hi)
+
+
+def _collapsed(c: Column, brackets: Sequence[tuple[float | None, float | None]]) -> Column:
+    """Values between the brackets become one value per gap: ranks stay right, distinct values stay few."""
+    merged: list[list] = []
+    for lo, hi in sorted({(-math.inf if lo is None else lo, math.inf if hi is None else hi) for lo, hi in brackets}):
+        if merged and lo <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], hi)
+        else:
+            merged.append([lo, hi])
+    out = F.when(c > F.lit(merged[-1][1]), F.lit(math.inf)).otherwise(c)
+    for (_, end), (start, _) in reversed(list(zip(merged, merged[1:]))):
+        out = F.when((c > F.lit(end)) & (c < F.lit(start)), F.lit(end + (start - end) / 2)).otherwise(out)
+    return F.when(c < F.lit(merged[0][0]), F.lit(-math.inf)).otherwise(out)
 
 
 def exact_quantiles(df: DataFrame, wanted: dict[str, Sequence[float]], limit: int = HISTOGRAM_LIMIT) -> dict[str, list]:
     """Exact linearly interpolated quantiles of several columns.
 
     Rounds of a bounded sketch narrow a value bracket around each wanted rank until
-    few distinct values remain; the last job counts those values with a distributed
-    ``groupBy`` and interpolates. Every round is one aggregate over all columns.
+    few rows or few distinct values remain; the last job counts those values with a
+    distributed ``groupBy`` and interpolates. Every round is one aggregate over all columns, and up to
+    a million rows one round is enough.
     """
-    values = {name: known(name, df).cast("double") for name in wanted}
-    searches = [_Search(name, q) for name, qs in wanted.items() for q in qs]
+    searches = [_Search(name, q) for name, qs in wanted.items() for q in dict.fromkeys(qs)]
     if not searches:
         return {}
-    narrowed = df.select(*[v.alias(name) for name, v in values.items()])
+    table = df.select(*[known(name, df).cast("double").alias(name) for name in wanted])
     grid = [i / GRID for i in range(GRID + 1)]
+    counts: dict[str, int] = {}
     while any(not s.small for s in searches):
-        todo = [s for s in searches if not s.small]
-        keys = {(s.name, s.lo, s.hi): s for s in todo}
+        keys = {s.key: s for s in searches if not s.small}
         aggs = []
         for i, s in enumerate(keys.values()):
             c = col(s.name)
             cell = F.when(s.inside(c), c)
-            below = F.count_if(c < F.lit(s.lo)) if s.lo is not None else F.lit(0)
-            aggs += [
-                F.count(c).alias(f"n{i}"),
-                F.count(cell).alias(f"in{i}"),
-                below.alias(f"below{i}"),
-                F.approx_count_distinct(cell).alias(f"nd{i}"),
-                F.percentile_approx(cell, grid, SKETCH_ACCURACY).alias(f"grid{i}"),
-            ]
-        row = narrowed.agg(*aggs).first()
+            aggs += [F.count(cell).alias(f"in{i}"), F.percentile_approx(cell, grid, SKETCH_ACCURACY).alias(f"grid{i}")]
+            if s.name in counts:
+                aggs.append(F.approx_count_distinct(cell).alias(f"nd{i}"))
+            aggs.append((F.count_if(c < F.lit(s.lo)) if s.lo is not None else F.lit(0)).alias(f"below{i}"))
+        row = table.agg(*aggs).first().asDict()
+        for i, key in enumerate(keys):
+            counts.setdefault(key[0], row[f"in{i}"])
         position = {key: i for i, key in enumerate(keys)}
-        for s in todo:
-            i = position[(s.name, s.lo, s.hi)]
-            n, inside, below, points = row[f"n{i}"], row[f"in{i}"], row[f"below{i}"], row[f"grid{i}"]
-            s.n = n
-            rank = math.floor((n - 1) * s.q)
-            if n == 0 or row[f"nd{i}"] <= limit:
-                s.small = True
-                continue
-            if not below <= rank < below + inside - 1 + (rank == n - 1):
-                s.lo = s.hi = None  # the sketch missed: count the whole column instead
+        for s in [s for s in searches if not s.small]:
+            i, n = position[s.key], counts[s.name]
+            inside, below = row[f"in{i}"], row[f"below{i}"]
+            rank, last = math.floor((n - 1) * s.q), math.ceil((n - 1) * s.q)
+            if inside == 0 or row.get(f"nd{i}", limit + 1) <= limit:
                 s.small = True
-                continue
-            at = (rank - below) / inside * GRID
-            low, high = points[max(0, math.floor(at) - 2)], points[min(GRID, math.ceil(at) + 3)]
-            # The bracket spans some six grid steps; few enough rows need no further check.
-            s.small = (low, high) == (s.lo, s.hi) or inside * 8 / GRID <= limit
-            s.lo, s.hi = low, high
+            elif not below <= rank <= last < below + inside:
+                s.lo = s.hi = None  # outside what the sketch promised: look at the whole column again
+            elif not s.narrow(rank, n, inside, below, row[f"grid{i}"], limit) and not s.small:
+                _split_by_value(table, s, rank, last)
+    names = list(wanted)
     cells = [
-        F.struct(F.lit(i).alias("item"), s.clamped(col(s.name)).alias("v")) for i, s in enumerate(searches)
+        F.struct(F.lit(i).alias("item"), _collapsed(col(c), [(s.lo, s.hi) for s in searches if s.name == c]).alias("v"))
+        for i, c in enumerate(names)
     ]
     histogram = (
-        narrowed.select(F.explode(F.array(*cells)).alias("x"))
+        table.select(F.explode(F.array(*cells)).alias("x"))
         .where(F.col("x.v").isNotNull())
         .groupBy(F.col("x.item").alias("item"), F.col("x.v").alias("v"))
         .agg(F.count(F.lit(1)).alias("freq"))
     )
-    row = histogram.agg(
-        *[
-            F.percentile(F.when(F.col("item") == i, F.col("v")), s.q, F.when(F.col("item") == i, F.col("freq")).otherwise(0)).alias(f"q{i}")
-            for i, s in enumerate(searches)
-        ]
-    ).first()
-    out: dict[str, list] = {name: [] for name in wanted}
-    for i, s in enumerate(searches):
-        value = row[f"q{i}"]
-        if value is not None and math.isinf(value) and (s.lo is not None or s.hi is not None):
-            value = exact_quantiles(df, {s.name: [s.q]}, limit=2**62)[s.name][0]
-        out[s.name].append(value)
+    found = []
+    for i, name in enumerate(names):
+        mine = F.col("item") == i
+        qs = [s.q for s in searches if s.name == name]
+        found.append(F.percentile(F.when(mine, F.col("v")), qs, F.when(mine, F.col("freq")).otherwise(0)).alias(f"q{i}"))
+    row = histogram.agg(*found).first()
+    out: dict[str, list] = {}
+    for i, name in enumerate(names):
+        by_q = dict(zip([s.q for s in searches if s.name == name], row[f"q{i}"] or []))
+        out[name] = [by_q.get(q) for q in wanted[name]]
     return out
 
 

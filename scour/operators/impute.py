@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from scour.functions.columns import col, dtype, is_numeric, known, with_columns
 from scour.functions.stats import approximate_quantiles, exact_quantiles, modes, moments
-from scour.operators.outliers import count_outside, iqr_bounds
+from scour.operators.outliers import Bounds, count_outside
 
 ALIASES = {"mean_imputation": "mean", "median_imputation": "median", "mode_imputation": "mode"}
 MANY_OUTLIERS = 0.05
@@ -38,28 +38,14 @@ def null_census(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(list(null_counts(df).items()), "column string, nulls bigint")
 
 
-def choose_methods(df: DataFrame, names: Sequence[str], asked: dict[str, str | None], adaptive: str) -> dict[str, str]:
-    """The fill method per column: mean or median where asked for, else by outlier share or skew; mode for the rest."""
-    out: dict[str, str] = {}
-    open_columns = []
-    for name in names:
-        method = asked.get(name)
-        if not is_numeric(df, name):
-            out[name] = "mode"
-        elif adaptive == "outliers" and method in ("mean", "median"):
-            out[name] = method
-        elif adaptive == "skew" and ALIASES.get(method, method) in ("mean", "median", "mode"):
-            out[name] = ALIASES.get(method, method)
-        else:
-            open_columns.append(name)
+def asked_method(df: DataFrame, name: str, method: str | None, adaptive: str) -> str | None:
+    """The method that needs no statistic to choose: mode for non-numeric columns, a known name, else None."""
+    if not is_numeric(df, name):
+        return "mode"
     if adaptive == "skew":
-        for name, s in moments(df, open_columns).items():
-            out[name] = "median" if s["skew"] is not None and abs(s["skew"]) > STRONG_SKEW else "mean"
-    else:
-        outside = count_outside(df, iqr_bounds(df, open_columns))
-        for name, (n, known_rows, _) in outside.items():
-            out[name] = "median" if known_rows and n / known_rows > MANY_OUTLIERS else "mean"
-    return {name: out[name] for name in names}
+        method = ALIASES.get(method, method)
+        return method if method in ("mean", "median", "mode") else None
+    return method if method in ("mean", "median") else None
 
 
 def fit_fills(
@@ -69,15 +55,28 @@ def fit_fills(
     adaptive: str = "outliers",
     exact: bool = True,
 ) -> list[Fill]:
-    """Fit a fill for every column with missing values (or the given ones): few aggregates for all columns together."""
+    """Fit a fill for every column with missing values (or the given ones): few aggregates for all columns together.
+
+    Numeric columns without a method get the median when more than 5 % of their values are outliers
+    (``adaptive='outliers'``) or the skew exceeds 1 (``'skew'``), else the mean.
+    """
     nulls = null_counts(df if columns is None else df.select(*[col(c) for c in columns]))
     names = [c for c, n in nulls.items() if n and not isinstance(dtype(df, c), (T.ArrayType, T.MapType, T.StructType))]
-    chosen = choose_methods(df, names, methods or {}, adaptive)
-    by_method = {m: [c for c in names if chosen[c] == m] for m in ("mean", "median", "mode")}
-    quantiles = exact_quantiles if exact else approximate_quantiles
-    values: dict[str, object] = {c: s["mean"] for c, s in moments(df, by_method["mean"]).items()}
-    values |= {c: q[0] for c, q in quantiles(df, {c: [0.5] for c in by_method["median"]}).items()}
-    values |= modes(df, by_method["mode"])
+    chosen = {c: asked_method(df, c, (methods or {}).get(c), adaptive) for c in names}
+    unsure = [c for c in names if chosen[c] is None]
+    moment = moments(df, [c for c in names if chosen[c] in (None, "mean")])
+    if adaptive == "skew":
+        for c in unsure:
+            skew = moment[c]["skew"]
+            chosen[c] = "median" if skew is not None and abs(skew) > STRONG_SKEW else "mean"
+    wanted = {c: [0.5] for c in names if chosen[c] == "median"} | {c: [0.25, 0.5, 0.75] for c in names if chosen[c] is None}
+    quantiles = (exact_quantiles if exact else approximate_quantiles)(df, wanted)
+    medians = {c: q[len(q) // 2] for c, q in quantiles.items()}
+    fences = {c: Bounds(c, quantiles[c][0], quantiles[c][2]) for c in names if chosen[c] is None}
+    for c, (n, known_rows, _) in count_outside(df, fences).items():
+        chosen[c] = "median" if known_rows and n / known_rows > MANY_OUTLIERS else "mean"
+    values: dict[str, object] = {c: moment[c]["mean"] if chosen[c] == "mean" else medians.get(c) for c in names}
+    values |= modes(df, [c for c in names if chosen[c] == "mode"])
     return [Fill(c, chosen[c], values[c], nulls[c]) for c in names]
 
 

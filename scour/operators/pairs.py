@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from scour.functions.similarity import lcs_at_least, ratios
+from scour.session import cut_lineage
 
 # Strings up to this length meet through pieces, longer ones through blocks of similar length.
 PIECE_LENGTH = 64
@@ -106,9 +107,13 @@ def _hot_keys(short: DataFrame, long: DataFrame) -> DataFrame:
     return left.join(right, "key").where(F.col("n") * F.col("m") > HOT_PAIRS).select("key")
 
 
-def _candidates(values: DataFrame, above: int) -> DataFrame:
+def _candidates(values: DataFrame, above: int, crowded: bool) -> DataFrame:
     short, long = _sides(values, above)
-    hot = _hot_keys(short, long)
+    if not crowded:
+        return _met(short, long)
+    hot = cut_lineage(_hot_keys(short, long))
+    if not hot.limit(1).count():
+        return _met(short, long)
     cold = _met(short.join(hot, "key", "left_anti"), long.join(hot, "key", "left_anti"))
     refined = _met(
         _pieces(short.join(hot, "key", "left_semi"), "short"), _pieces(long.join(hot, "key", "left_semi"), "long")
@@ -186,7 +191,12 @@ def _long_pairs(values: DataFrame, above: int) -> DataFrame:
 
 def similar_values(values: DataFrame, above: int) -> DataFrame:
     """Pairs of distinct (column, value) rows whose ratio is above the limit, smaller value first."""
-    found = _score_pairs(_candidates(values, above), above).unionByName(_long_pairs(values, above))
+    values = cut_lineage(values)
+    lengths = F.char_length("value")
+    row = values.agg(F.count_if(lengths <= PIECE_LENGTH).alias("short"), F.count_if(lengths > PIECE_LENGTH).alias("long")).first()
+    found = _score_pairs(_candidates(values, above, row["short"] ** 2 > HOT_PAIRS), above)
+    if row["long"]:
+        found = found.unionByName(_long_pairs(values, above))
     return found.select(
         "column", F.least("a", "b").alias("value1"), F.greatest("a", "b").alias("value2"), F.col("score").cast("int").alias("score")
     )

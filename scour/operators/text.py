@@ -88,15 +88,15 @@ def read_lexicon(table: DataFrame, form: str = "form", lemma: str = "lemma") ->
     return {r[0]: r[1] for r in rows}
 
 
-@F.pandas_udf("string")
-def _ascii(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in batches:
-        yield texts.map(lambda t: unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode(), na_action="ignore")
-
-
 def remove_accents(c: Column) -> Column:
     """Compatibility decomposition, then every character outside ASCII is dropped."""
-    return _ascii(c)
+
+    @F.pandas_udf("string")
+    def to_ascii(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(lambda t: unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode(), na_action="ignore")
+
+    return to_ascii(c)
 
 
 METHODS: dict[str, Callable[..., Column]] = {

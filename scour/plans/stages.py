@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from scour.functions.columns import is_numeric, is_string
 from scour.operators import categories, duplicates, encode, features, impute, outliers, reshape, schema, text
+from scour.session import cut_lineage
 
 STAGES = {
     "cleaning": "cleaning_operations",
@@ -105,6 +106,8 @@ def _duplicates(df: DataFrame, target: str, op: dict, ctx: Context) -> Result:
     subset = op.get("subset")
     _need(target == "global" or subset is None, "skipped", f"duplicate removal for column {target} needs the global target")
     out = duplicates.remove_duplicates(df, subset, op.get("order"))
+    if ctx.config.get("checkpoints"):
+        out = cut_lineage(out)  # the shuffle runs once, for the count and for all later operations
     removed = df.count() - out.count() if ctx.config.get("count_rows", True) else 0
     return Result(out, details=f"removed {removed} duplicate rows", affected=removed)
 
