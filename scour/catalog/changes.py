@@ -97,9 +97,9 @@ def equal_width_bins(t: Tables):
     return features.discretise(t.part, "p_retailprice", bins, "band").select("p_partkey", "band")
 
 
-def _explicit_sql(lowest: str) -> str:
-    return f"""SELECT p_partkey, CASE WHEN p_size {lowest} 1 AND p_size <= 10 THEN '(1.0, 10.0]' WHEN p_size > 10 AND p_size <= 20 THEN '(10.0, 20.0]'
- WHEN p_size > 20 AND p_size <= 40 THEN '(20.0, 40.0]' END AS p_size_binned FROM part"""
+def _explicit_sql(lowest: str, labels: list[str]) -> str:
+    return f"""SELECT p_partkey, CASE WHEN p_size {lowest} 1 AND p_size <= 10 THEN '{labels[0]}' WHEN p_size > 10 AND p_size <= 20 THEN '{labels[1]}'
+ WHEN p_size > 20 AND p_size <= 40 THEN '{labels[2]}' END AS p_size_binned FROM part"""
 
 
 def _explicit(t: Tables, stage: str):
@@ -108,12 +108,12 @@ def _explicit(t: Tables, stage: str):
     return out.select("p_partkey", "p_size_binned")
 
 
-@query("explicit_bins", _explicit_sql(">="))
+@query("explicit_bins", _explicit_sql(">=", ["(0.999, 10.0]", "(10.0, 20.0]", "(20.0, 40.0]"]))
 def explicit_bins(t: Tables):
     return _explicit(t, "transformation")
 
 
-@query("explicit_bins_open", _explicit_sql(">"))
+@query("explicit_bins_open", _explicit_sql(">", ["(1, 10]", "(10, 20]", "(20, 40]"]))
 def explicit_bins_open(t: Tables):
     """The modification flavour leaves the lowest edge outside."""
     return _explicit(t, "modification")

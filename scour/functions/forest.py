@@ -7,11 +7,10 @@ fitted from a bounded sample; every row of the table is then scored by Spark.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from scour.functions.columns import known
@@ -66,16 +65,12 @@ class AnomalySteps:
     scores: tuple[float, ...]
     flags: tuple[bool, ...]
 
-    def interval(self, c: Column) -> Column:
-        edges = np.array(self.edges)
-
-        @F.pandas_udf("int")
-        def locate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for values in batches:
-                at = pd.Series(np.searchsorted(edges, values.to_numpy(dtype=float), side="left"), index=values.index)
-                yield at.astype("Int32").mask(values.isna())
-
-        return locate(c)
+    def located(self, df: DataFrame, name: str) -> DataFrame:
+        """Adds ``interval``. Bucketizer closes its buckets on the left, so the mirrored value is placed among mirrored edges."""
+        splits = [-np.inf, *sorted(-e for e in self.edges), np.inf]
+        mirrored = df.withColumn("__mirrored", -F.col(name))
+        placed = Bucketizer(splits=splits, inputCol="__mirrored", outputCol="interval").transform(mirrored)
+        return placed.withColumn("interval", (len(self.edges) - F.col("interval")).cast("int")).drop("__mirrored")
 
     def ranges(self) -> list[tuple[float | None, float | None]]:
         """Anomalous ranges (low, high], neighbours merged; None is open."""
@@ -121,9 +116,11 @@ def fit_steps(df: DataFrame, column: str, contamination: float, seed: int) -> An
     edges, scores = forest_steps(sample, min(SAMPLE, len(sample)), seed)
     steps = AnomalySteps(tuple(edges.tolist()), tuple(scores.tolist()), ())
     # At most one row per interval comes back: bounded by trees * sample, whatever the table holds.
-    counted = values.groupBy(steps.interval(F.col("v")).alias("i")).agg(F.count(F.lit(1)).alias("n")).toPandas()
+    if not len(edges):
+        return AnomalySteps((), steps.scores, (False,))
+    counted = steps.located(values, "v").groupBy("interval").agg(F.count(F.lit(1)).alias("n")).toPandas()
     hits = np.zeros(len(scores), dtype=np.int64)
-    hits[counted["i"].to_numpy(dtype=int)] = counted["n"].to_numpy(dtype=np.int64)
+    hits[counted["interval"].to_numpy(dtype=int)] = counted["n"].to_numpy(dtype=np.int64)
     threshold = _upper_quantile(scores, hits, contamination)
     return AnomalySteps(steps.edges, steps.scores, tuple((scores > threshold + 1e-12).tolist()))
 
@@ -133,5 +130,5 @@ def _upper_quantile(scores: np.ndarray, hits: np.ndarray, share: float) -> float
     order = np.argsort(scores)
     ends = np.cumsum(hits[order])
     position = (ends[-1] - 1) * (1.0 - share)
-    low, high = (scores[order][np.searchsorted(ends, np.floor(position) + k, side="right").clip(max=len(order) - 1)] for k in (0, np.ceil(position) - np.floor(position)))
+    low, high = (scores[order][np.searchsorted(ends, rank, side="right")] for rank in (np.floor(position), np.ceil(position)))
     return float(low + (high - low) * (position - np.floor(position)))

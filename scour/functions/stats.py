@@ -9,10 +9,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scour.functions.columns import col, known, value_counts
+from scour.session import cut_lineage
 
 # A quantile is read off a histogram once its bracket holds at most about this many distinct values.
 HISTOGRAM_LIMIT = 20_000
+GROUP_LIMIT = 1_000_000
 SKETCH_ACCURACY = 2_000
+MAX_ROUNDS = 8
 GRID = 500
 
 
@@ -23,9 +26,12 @@ def sample_skew(c: Column) -> Column:
     return F.when((n > 2) & (F.stddev_pop(c) > 0), F.when(F.isnan(F.skewness(c)), None).otherwise(corrected))
 
 
-def moments(df: DataFrame, names: Sequence[str]) -> dict[str, dict]:
-    """Count, nulls, mean, deviations, skew, min and max of all named columns in one aggregate."""
-    if not names:
+def moments(df: DataFrame, names: Sequence[str], null_counts: Sequence[str] = ()) -> dict[str, dict]:
+    """Count, nulls, mean, deviations, skew, min and max of the named columns in one aggregate.
+
+    Columns in ``null_counts`` only get their row and null counts, from the same scan.
+    """
+    if not names and not null_counts:
         return {}
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, name in enumerate(names):
@@ -39,12 +45,13 @@ def moments(df: DataFrame, names: Sequence[str]) -> dict[str, dict]:
             F.min(c).alias(f"min{i}"),
             F.max(c).alias(f"max{i}"),
         ]
+    others = [c for c in null_counts if c not in names]
+    aggs += [F.count(known(c, df)).alias(f"known{i}") for i, c in enumerate(others)]
     row = df.agg(*aggs).first()
-    out = {}
+    out = {c: {"n": row[f"known{i}"]} for i, c in enumerate(others)}
     for i, name in enumerate(names):
-        stats = {k: row[f"{k}{i}"] for k in ("n", "mean", "std", "std_pop", "skew", "min", "max")}
-        out[name] = stats | {"rows": row["rows"], "nulls": row["rows"] - stats["n"]}
-    return out
+        out[name] = {k: row[f"{k}{i}"] for k in ("n", "mean", "std", "std_pop", "skew", "min", "max")}
+    return {c: s | {"rows": row["rows"], "nulls": row["rows"] - s["n"]} for c, s in out.items()}
 
 
 @dataclass
@@ -69,10 +76,13 @@ class _Search:
             cond = cond & (c <= F.lit(self.hi))
         return cond
 
-    def narrow(self, rank: int, n: int, inside: int, below: int, points: Sequence[float], limit: int) -> bool:
-        """Move the bracket to the grid cells around the rank; False when that changes nothing."""
-        at = (rank - below) / inside * GRID
-        low, high = points[max(0, math.floor(at) - 2)], points[min(GRID, math.ceil(at) + 3)]
+    def holds(self, value: float) -> bool:
+        return (self.lo is None or self.lo <= value) and (self.hi is None or value <= self.hi)
+
+    def narrow(self, rank: int, last: int, inside: int, below: int, points: Sequence[float], limit: int) -> bool:
+        """Move the bracket to the grid cells around the two ranks; False when that changes nothing."""
+        first, end = (rank - below) / inside * GRID, (last + 1 - below) / inside * GRID
+        low, high = points[max(0, math.floor(first) - 2)], points[min(GRID, math.ceil(end) + 2)]
         moved = (low, high) != (self.lo, self.hi)
         # The bracket spans some six grid steps; few enough rows need no further look.
         self.small = low == high or inside * 8 / GRID <= limit
@@ -136,11 +146,11 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, Sequence[float]], limit: in
             i, n = position[s.key], counts[s.name]
             inside, below = row[f"in{i}"], row[f"below{i}"]
             rank, last = math.floor((n - 1) * s.q), math.ceil((n - 1) * s.q)
-            if inside == 0 or row.get(f"nd{i}", limit + 1) <= limit:
+            if min(inside, row.get(f"nd{i}", inside)) <= limit:
                 s.small = True
             elif not below <= rank <= last < below + inside:
                 s.lo = s.hi = None  # outside what the sketch promised: look at the whole column again
-            elif not s.narrow(rank, n, inside, below, row[f"grid{i}"], limit) and not s.small:
+            elif not s.narrow(rank, last, inside, below, row[f"grid{i}"], limit) and not s.small:
                 _split_by_value(table, s, rank, last)
     names = list(wanted)
     cells = [
@@ -161,7 +171,10 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, Sequence[float]], limit: in
     row = histogram.agg(*found).first()
     out: dict[str, list] = {}
     for i, name in enumerate(names):
-        by_q = dict(zip([s.q for s in searches if s.name == name], row[f"q{i}"] or []))
+        mine = [s for s in searches if s.name == name]
+        by_q = dict(zip([s.q for s in mine], row[f"q{i}"] or []))
+        if any(not s.holds(by_q[s.q]) for s in mine if s.q in by_q):
+            by_q = dict(zip(wanted[name], exact_quantiles(df, {name: wanted[name]}, limit=2**62)[name]))
         out[name] = [by_q.get(q) for q in wanted[name]]
     return out
 
@@ -178,42 +191,71 @@ def approximate_quantiles(df: DataFrame, wanted: dict[str, Sequence[float]], acc
     return {name: row[f"q{i}"] or [None] * len(qs) for i, (name, qs) in enumerate(wanted.items())}
 
 
-def grouped_quantile(df: DataFrame, keys: Sequence[str], name: str, q: float, out: str) -> DataFrame:
+def _grid_bounds(rank: Column, last: Column, inside: Column, below: Column, points: Column) -> tuple[Column, Column]:
+    """The grid cells around two ranks, as ``_Search.narrow`` picks them, per row."""
+    low = F.greatest(F.lit(0), F.floor((rank - below) / inside * GRID).cast("int") - 2)
+    high = F.least(F.lit(GRID), F.ceil((last + 1 - below) / inside * GRID).cast("int") + 2)
+    return F.get(points, low), F.get(points, high)
+
+
+def grouped_quantile(df: DataFrame, keys: Sequence[str], name: str, q: float, out: str, limit: int = GROUP_LIMIT) -> DataFrame:
     """Exact interpolated quantile per group.
 
-    A per-group sketch (bounded state, combined before the shuffle) brackets the rank;
-    only the distinct values inside the bracket are ordered, so a group holding
-    a third of the table still leaves a thin slice for its one ordered window.
+    A per-group sketch (bounded state, combined before the shuffle) brackets the rank, again and again
+    while some group keeps more than ``limit`` rows in its bracket. Only the distinct values
+    inside the bracket are ordered, so a group holding a third of the table leaves a thin slice for its window.
     """
-    c = known(name, df).cast("double")
-    margin = 3.0 / SKETCH_ACCURACY
-    sketch = df.groupBy(*[col(k) for k in keys]).agg(
-        F.count(c).alias("__n"),
-        F.percentile_approx(c, [max(0.0, q - margin), min(1.0, q + margin)], SKETCH_ACCURACY).alias("__edge"),
-    )
-    small = F.col("__n") <= SKETCH_ACCURACY
-    sketch = sketch.select(
-        *[col(k) for k in keys],
-        "__n",
-        F.when(small, F.lit(float("-inf"))).otherwise(F.col("__edge")[0]).alias("__lo"),
-        F.when(small, F.lit(float("inf"))).otherwise(F.col("__edge")[1]).alias("__hi"),
-    )
-    cells = df.select(*[col(k) for k in keys], c.alias("__v")).join(sketch, list(keys))
+    by = [col(k) for k in keys]
+    grid = [i / GRID for i in range(GRID + 1)]
+    cells = df.select(*by, known(name, df).cast("double").alias("__v"))
+    n, v = F.col("__n"), F.col("__v")
+    rank, last = F.floor((n - 1) * F.lit(float(q))), F.ceil((n - 1) * F.lit(float(q)))
+    state = cells.groupBy(*by).agg(F.count(v).alias("__n"), F.percentile_approx(v, grid, SKETCH_ACCURACY).alias("__grid"))
+    low, high = _grid_bounds(rank, last, n, F.lit(0), F.col("__grid"))
+    small = n <= SKETCH_ACCURACY
+    state = cut_lineage(
+        state.select(
+            *by, "__n",
+            F.when(small, F.lit(-math.inf)).otherwise(low).alias("__lo"),
+            F.when(small, F.lit(math.inf)).otherwise(high).alias("__hi"),
+        )
+    )
+    widest = (state.agg(F.max("__n")).first()[0] or 0) * 8 // GRID
+    for _ in range(MAX_ROUNDS):
+        if widest <= limit:
+            break
+        within = v.between(F.col("__lo"), F.col("__hi"))
+        looked = cells.join(state, list(keys)).groupBy(*by, "__n", "__lo", "__hi").agg(
+            F.count_if(v < F.col("__lo")).alias("__below"),
+            F.count_if(within).alias("__in"),
+            F.approx_count_distinct(F.when(within, v)).alias("__nd"),
+            F.percentile_approx(F.when(within, v), grid, SKETCH_ACCURACY).alias("__grid"),
+        )
+        low, high = _grid_bounds(rank, last, F.col("__in"), F.col("__below"), F.col("__grid"))
+        wide = F.col("__in") > SKETCH_ACCURACY
+        state = cut_lineage(
+            looked.select(
+                *by, "__n", "__in", "__nd",
+                F.when(wide, low).otherwise(F.col("__lo")).alias("__lo"),
+                F.when(wide, high).otherwise(F.col("__hi")).alias("__hi"),
+            )
+        )
+        widest = state.agg(F.max(F.least(F.col("__in") * 8 / GRID, F.col("__nd")))).first()[0] or 0
+    state = state.select(*by, "__n", "__lo", "__hi")
     counted = (
-        cells.where(F.col("__v") <= F.col("__hi"))
-        .withColumn("__v", F.when(F.col("__v") < F.col("__lo"), F.lit(float("-inf"))).otherwise(F.col("__v")))
-        .groupBy(*[col(k) for k in keys], "__n", "__v")
+        cells.join(state, list(keys))
+        .where(v <= F.col("__hi"))
+        .withColumn("__v", F.when(v < F.col("__lo"), F.lit(-math.inf)).otherwise(v))
+        .groupBy(*by, "__n", "__v")
         .agg(F.count(F.lit(1)).alias("__c"))
     )
-    order = Window.partitionBy(*[col(k) for k in keys]).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy(*by).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = counted.withColumn("__cum", F.sum("__c").over(order))
-    position = (F.col("__n") - 1) * F.lit(float(q))
-    low = F.min(F.when(F.col("__cum") > F.floor(position), F.col("__v")))
-    high = F.min(F.when(F.col("__cum") > F.ceil(position), F.col("__v")))
-    part = F.first(position - F.floor(position))
-    value = F.when(high.isNull() | (part == 0), low).otherwise(low * (1 - part) + high * part)
-    result = ranked.groupBy(*[col(k) for k in keys]).agg(value.alias(out))
-    return sketch.select(*[col(k) for k in keys]).join(result, list(keys), "left")
+    first = F.min(F.when(F.col("__cum") > rank, F.col("__v")))
+    second = F.min(F.when(F.col("__cum") > last, F.col("__v")))
+    part = F.max((n - 1) * F.lit(float(q)) - rank)
+    value = F.when(part == 0, first).otherwise(first * (1 - part) + second * part)
+    return state.select(*by).join(ranked.groupBy(*by).agg(value.alias(out)), list(keys), "left")
 
 
 def modes(df: DataFrame, names: Sequence[str]) -> dict[str, str | None]:

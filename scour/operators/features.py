@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -94,23 +95,37 @@ class Bins:
         return out
 
 
-def _interval_labels(edges: Sequence[float], right: bool = True) -> tuple[str, ...]:
-    """Texts such as ``(1.0, 2.5]``, with as few digits (three or more) as keep the edges apart."""
+def _shortened(x: float, digits: int) -> float:
+    """``digits`` decimals, counted from the first non-zero one for values below 1."""
+    if x == 0 or not math.isfinite(x):
+        return x
+    return round(x, digits if abs(x) >= 1 else digits - 1 - math.floor(math.log10(abs(x))))
+
+
+def _interval_labels(edges: Sequence[float], include_lowest: bool, whole: bool) -> tuple[str, ...]:
+    """Texts such as ``(1.0, 2.5]``: three decimals, or as many as keep the edges apart.
+
+    With the lowest edge inside, its text is moved down by one unit of the last decimal.
+    """
     digits = 3
-    while digits < 17 and len({f"{e:.{digits}g}" for e in edges}) < len(set(edges)):
+    while digits < 20 and len({_shortened(e, digits) for e in edges}) < len(edges):
         digits += 1
-    shown = [str(float(f"{e:.{digits}g}")) if abs(e) < 1e15 else repr(float(e)) for e in edges]
-    pattern = "({}, {}]" if right else "[{}, {})"
-    return tuple(pattern.format(a, b) for a, b in zip(shown, shown[1:]))
+    shown = [_shortened(e, digits) for e in edges]
+    if include_lowest:
+        shown[0] = _shortened(shown[0] - 10**-digits, max(digits, 3))
+    texts = [str(int(e)) if whole and not include_lowest else str(float(e)) for e in shown]
+    return tuple(f"({a}, {b}]" for a, b in zip(texts, texts[1:]))
 
 
 def make_bins(edges: Sequence[float], labels: Sequence[str] | None, right: bool = True, include_lowest: bool = False) -> Bins:
+    whole = all(isinstance(e, int) for e in edges)
     edges = [float(e) for e in edges]
     if any(b <= a for a, b in zip(edges, edges[1:])) or len(edges) < 2:
         raise ValueError("bin edges must increase")
     if labels is not None and len(labels) != len(edges) - 1:
         raise ValueError("need one label per bin")
-    return Bins(tuple(edges), tuple(labels) if labels is not None else _interval_labels(edges, right), right, include_lowest)
+    names = tuple(labels) if labels is not None else _interval_labels(edges, include_lowest, whole)
+    return Bins(tuple(edges), names, right, include_lowest)
 
 
 def equal_width_edges(low: float, high: float, bins: int) -> list[float]:
@@ -132,7 +147,7 @@ def fit_equal_width(df: DataFrame, column: str, bins: int | Sequence[float], lab
     row = df.agg(F.min(known(column, df)).alias("lo"), F.max(known(column, df)).alias("hi")).first()
     if row["lo"] is None:
         raise ValueError(f"column {column} holds no value")
-    return make_bins(equal_width_edges(float(row["lo"]), float(row["hi"]), bins), labels)
+    return make_bins(equal_width_edges(float(row["lo"]), float(row["hi"]), bins), labels, include_lowest=include_lowest)
 
 
 def fit_equal_frequency(df: DataFrame, column: str, bins: int, labels: Sequence[str] | None = None) -> Bins:

@@ -60,11 +60,12 @@ def fit_fills(
     Numeric columns without a method get the median when more than 5 % of their values are outliers
     (``adaptive='outliers'``) or the skew exceeds 1 (``'skew'``), else the mean.
     """
-    nulls = null_counts(df if columns is None else df.select(*[col(c) for c in columns]))
-    names = [c for c, n in nulls.items() if n and not isinstance(dtype(df, c), (T.ArrayType, T.MapType, T.StructType))]
-    chosen = {c: asked_method(df, c, (methods or {}).get(c), adaptive) for c in names}
+    flat = [c for c in columns or df.columns if not isinstance(dtype(df, c), (T.ArrayType, T.MapType, T.StructType))]
+    asked = {c: asked_method(df, c, (methods or {}).get(c), adaptive) for c in flat}
+    moment = moments(df, [c for c in flat if asked[c] in (None, "mean")], null_counts=flat)
+    names = [c for c in flat if moment[c]["nulls"]]
+    chosen = {c: asked[c] for c in names}
     unsure = [c for c in names if chosen[c] is None]
-    moment = moments(df, [c for c in names if chosen[c] in (None, "mean")])
     if adaptive == "skew":
         for c in unsure:
             skew = moment[c]["skew"]
@@ -77,7 +78,7 @@ def fit_fills(
         chosen[c] = "median" if known_rows and n / known_rows > MANY_OUTLIERS else "mean"
     values: dict[str, object] = {c: moment[c]["mean"] if chosen[c] == "mean" else medians.get(c) for c in names}
     values |= modes(df, [c for c in names if chosen[c] == "mode"])
-    return [Fill(c, chosen[c], values[c], nulls[c]) for c in names]
+    return [Fill(c, chosen[c], values[c], moment[c]["nulls"]) for c in names]
 
 
 def apply_fills(df: DataFrame, fills: Sequence[Fill]) -> DataFrame:

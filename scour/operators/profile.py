@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from scour.functions.columns import numeric_columns
 from scour.functions.stats import distinct_counts, exact_quantiles, moments
-from scour.operators.impute import null_counts
 from scour.operators.schema import sample_values
 
 PROFILE_SCHEMA = """
@@ -25,16 +24,14 @@ def profile_rows(df: DataFrame) -> list[dict]:
     """All statistics of all columns from a handful of shared aggregates."""
     names = flat_columns(df)
     numeric = [c for c in numeric_columns(df) if c in names]
-    nulls = null_counts(df.select(*[F.col(f"`{c}`") for c in names])) if names else {}
-    rows = df.count()
+    stats = moments(df, numeric, null_counts=names)
     distinct = distinct_counts(df, names)
-    stats = moments(df, numeric)
     quartiles = exact_quantiles(df, {c: [0.25, 0.5, 0.75] for c in numeric})
     out = []
     for name in names:
-        s, q = stats.get(name, {}), quartiles.get(name, [None] * 3)
+        s, q = stats[name], quartiles.get(name, [None] * 3)
         out.append(
-            {"column": name, "dtype": df.schema[name].dataType.simpleString(), "rows": rows, "nulls": nulls[name], "distinct": distinct[name]}
+            {"column": name, "dtype": df.schema[name].dataType.simpleString(), "rows": s["rows"], "nulls": s["nulls"], "distinct": distinct[name]}
             | {k: s.get(k) for k in ("mean", "std", "skew", "min", "max")}
             | {"q1": q[0], "median": q[1], "q3": q[2]}
         )
@@ -62,7 +59,7 @@ def summary(df: DataFrame, k: int = 3) -> DataFrame:
     taken = sample_values(df.select(*[F.col(f"`{c}`") for c in flat]), k)
     samples = taken.groupBy("column").agg(F.sort_array(F.collect_list(F.struct("position", "value"))).alias("s"))
     samples = samples.select("column", F.col("s.value").alias("samples"))
-    return base.join(samples, "column", "left").orderBy("position")
+    return base.join(samples, "column", "left").select(*base.columns, "samples").orderBy("position")
 
 
 def summary_text(df: DataFrame, name: str, k: int = 3) -> str:
