@@ -12,11 +12,13 @@ from scour.functions.columns import col, known, value_counts
 from scour.session import cut_lineage
 
 # A quantile is read off a histogram once its bracket holds at most about this many distinct values.
-HISTOGRAM_LIMIT = 20_000
+HISTOGRAM_LIMIT = 200_000
 GROUP_LIMIT = 1_000_000
-SKETCH_ACCURACY = 2_000
+# Brackets come from this many sampled rows, whatever the table holds; exact counts confirm them.
+SAMPLE_ROWS = 100_000
+SAMPLE_ACCURACY = 10_000
+GRID = 1_000
 MAX_ROUNDS = 8
-GRID = 500
 
 
 def sample_skew(c: Column) -> Column:
@@ -62,6 +64,7 @@ class _Search:
     q: float
     lo: float | None = None
     hi: float | None = None
+    size: int = 0  # rows expected inside, 0 for all
     small: bool = False
 
     @property
@@ -79,13 +82,18 @@ class _Search:
     def holds(self, value: float) -> bool:
         return (self.lo is None or self.lo <= value) and (self.hi is None or value <= self.hi)
 
-    def narrow(self, rank: int, last: int, inside: int, below: int, points: Sequence[float], limit: int) -> bool:
-        """Move the bracket to the grid cells around the two ranks; False when that changes nothing."""
+    def narrow(self, rank: int, last: int, inside: int, below: int, drawn: int, points: Sequence[float], limit: int) -> bool:
+        """Move the bracket to the grid cells around the two ranks; False when that changes nothing.
+
+        The margin is six standard deviations of a share seen in ``drawn`` sampled rows, at worst.
+        """
+        margin = 2 if drawn == inside else 2 + math.ceil(GRID * 3 / math.sqrt(drawn))
         first, end = (rank - below) / inside * GRID, (last + 1 - below) / inside * GRID
-        low, high = points[max(0, math.floor(first) - 2)], points[min(GRID, math.ceil(end) + 2)]
+        low, high = points[max(0, math.floor(first) - margin)], points[min(GRID, math.ceil(end) + margin)]
         moved = (low, high) != (self.lo, self.hi)
-        # The bracket spans some six grid steps; few enough rows need no further look.
-        self.small = low == high or inside * 8 / GRID <= limit
+        # The bracket spans that many grid cells; few enough rows need no further look.
+        self.size = max(1, inside * (2 * margin + 2) // GRID)
+        self.small = low == high or self.size <= limit
         self.lo, self.hi = low, high
         return moved
 
@@ -94,7 +102,7 @@ def _split_by_value(table: DataFrame, s: _Search, rank: int, last: int) -> None:
     """Narrow a bracket that equal values keep wide: cut its distinct values evenly and count rows at each cut."""
     c = col(s.name)
     cuts = [i / 16 for i in range(17)]
-    points = table.where(s.inside(c)).select(c).distinct().agg(F.percentile_approx(c, cuts, SKETCH_ACCURACY)).first()[0]
+    points = table.where(s.inside(c)).select(c).distinct().agg(F.percentile_approx(c, cuts, SAMPLE_ACCURACY)).first()[0]
     upto = table.agg(*[F.count_if(c <= F.lit(p)).alias(f"c{i}") for i, p in enumerate(points)]).first()
     s.lo = max([p for i, p in enumerate(points) if upto[i] <= rank], default=s.lo)
     s.hi = min([p for i, p in enumerate(points) if upto[i] > last], default=s.hi)
@@ -114,44 +122,51 @@ def _collapsed(c: Column, brackets: Sequence[tuple[float | None, float | None]])
     return F.when(c < F.lit(merged[0][0]), F.lit(-math.inf)).otherwise(out)
 
 
-def exact_quantiles(df: DataFrame, wanted: dict[str, Sequence[float]], limit: int = HISTOGRAM_LIMIT) -> dict[str, list]:
+def exact_quantiles(df: DataFrame, wanted: dict[str, Sequence[float]], limit: int = HISTOGRAM_LIMIT, seed: int = 7) -> dict[str, list]:
     """Exact linearly interpolated quantiles of several columns.
 
-    Rounds of a bounded sketch narrow a value bracket around each wanted rank until
-    few rows or few distinct values remain; the last job counts those values with a
-    distributed ``groupBy`` and interpolates. Every round is one aggregate over all columns, and up to
-    a million rows one round is enough.
+    Rounds of one aggregate each narrow a value bracket around every wanted rank: a bounded
+    random sample proposes it, exact counts confirm it. Once few rows or few distinct values remain, the last job counts
+    those with a distributed ``groupBy`` and interpolates. Up to half a million rows one round is enough.
     """
     searches = [_Search(name, q) for name, qs in wanted.items() for q in dict.fromkeys(qs)]
     if not searches:
         return {}
     table = df.select(*[known(name, df).cast("double").alias(name) for name in wanted])
     grid = [i / GRID for i in range(GRID + 1)]
+    rows, turn = table.count(), 0
     counts: dict[str, int] = {}
+    if rows <= limit:
+        for s in searches:
+            s.small = True
     while any(not s.small for s in searches):
         keys = {s.key: s for s in searches if not s.small}
         aggs = []
         for i, s in enumerate(keys.values()):
             c = col(s.name)
             cell = F.when(s.inside(c), c)
-            aggs += [F.count(cell).alias(f"in{i}"), F.percentile_approx(cell, grid, SKETCH_ACCURACY).alias(f"grid{i}")]
+            taken = F.when(F.col("__draw") * (s.size or rows) < SAMPLE_ROWS, cell)
+            aggs += [F.count(cell).alias(f"in{i}"), F.count(taken).alias(f"drawn{i}"), F.percentile_approx(taken, grid, SAMPLE_ACCURACY).alias(f"grid{i}")]
             if s.name in counts:
                 aggs.append(F.approx_count_distinct(cell).alias(f"nd{i}"))
             aggs.append((F.count_if(c < F.lit(s.lo)) if s.lo is not None else F.lit(0)).alias(f"below{i}"))
-        row = table.agg(*aggs).first().asDict()
+        # Should the samples keep failing, every row is drawn and the rounds are certain to end.
+        draw = F.rand(seed + turn) if turn < MAX_ROUNDS else F.lit(0.0)
+        row = table.withColumn("__draw", draw).agg(*aggs).first().asDict()
         for i, key in enumerate(keys):
             counts.setdefault(key[0], row[f"in{i}"])
         position = {key: i for i, key in enumerate(keys)}
         for s in [s for s in searches if not s.small]:
             i, n = position[s.key], counts[s.name]
-            inside, below = row[f"in{i}"], row[f"below{i}"]
+            inside, below, points = row[f"in{i}"], row[f"below{i}"], row[f"grid{i}"]
             rank, last = math.floor((n - 1) * s.q), math.ceil((n - 1) * s.q)
             if min(inside, row.get(f"nd{i}", inside)) <= limit:
                 s.small = True
             elif not below <= rank <= last < below + inside:
-                s.lo = s.hi = None  # outside what the sketch promised: look at the whole column again
-            elif not s.narrow(rank, last, inside, below, row[f"grid{i}"], limit) and not s.small:
+                s.lo, s.hi, s.size = None, None, 0  # the sample misled: look at the whole column again
+            elif not (points and s.narrow(rank, last, inside, below, row[f"drawn{i}"], points, limit)) and not s.small:
                 _split_by_value(table, s, rank, last)
+        turn += 1
     names = list(wanted)
     cells = [
         F.struct(F.lit(i).alias("item"), _collapsed(col(c), [(s.lo, s.hi) for s in searches if s.name == c]).alias("v"))
@@ -174,7 +189,7 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, Sequence[float]], limit: in
         mine = [s for s in searches if s.name == name]
         by_q = dict(zip([s.q for s in mine], row[f"q{i}"] or []))
         if any(not s.holds(by_q[s.q]) for s in mine if s.q in by_q):
-            by_q = dict(zip(wanted[name], exact_quantiles(df, {name: wanted[name]}, limit=2**62)[name]))
+            by_q = dict(zip(wanted[name], exact_quantiles(df, {name: wanted[name]}, limit, seed + 1)[name]))
         out[name] = [by_q.get(q) for q in wanted[name]]
     return out
 
@@ -191,68 +206,62 @@ def approximate_quantiles(df: DataFrame, wanted: dict[str, Sequence[float]], acc
     return {name: row[f"q{i}"] or [None] * len(qs) for i, (name, qs) in enumerate(wanted.items())}
 
 
-def _grid_bounds(rank: Column, last: Column, inside: Column, below: Column, points: Column) -> tuple[Column, Column]:
-    """The grid cells around two ranks, as ``_Search.narrow`` picks them, per row."""
-    low = F.greatest(F.lit(0), F.floor((rank - below) / inside * GRID).cast("int") - 2)
-    high = F.least(F.lit(GRID), F.ceil((last + 1 - below) / inside * GRID).cast("int") + 2)
-    return F.get(points, low), F.get(points, high)
-
-
 def grouped_quantile(df: DataFrame, keys: Sequence[str], name: str, q: float, out: str, limit: int = GROUP_LIMIT) -> DataFrame:
     """Exact interpolated quantile per group.
 
-    A per-group sketch (bounded state, combined before the shuffle) brackets the rank, again and again
-    while some group keeps more than ``limit`` rows in its bracket. Only the distinct values
-    inside the bracket are ordered, so a group holding a third of the table leaves a thin slice for its window.
+    A bounded sample per group brackets the rank and exact counts confirm it, again while some
+    group keeps more than ``limit`` rows in its bracket. Only the distinct values inside the bracket
+    are ordered, so a group holding a third of the table leaves a thin slice for its window.
     """
     by = [col(k) for k in keys]
     grid = [i / GRID for i in range(GRID + 1)]
     cells = df.select(*by, known(name, df).cast("double").alias("__v"))
-    n, v = F.col("__n"), F.col("__v")
+    n, v, lo, hi, size = (F.col(c) for c in ("__n", "__v", "__lo", "__hi", "__in"))
     rank, last = F.floor((n - 1) * F.lit(float(q))), F.ceil((n - 1) * F.lit(float(q)))
-    state = cells.groupBy(*by).agg(F.count(v).alias("__n"), F.percentile_approx(v, grid, SKETCH_ACCURACY).alias("__grid"))
-    low, high = _grid_bounds(rank, last, n, F.lit(0), F.col("__grid"))
-    small = n <= SKETCH_ACCURACY
-    state = cut_lineage(
-        state.select(
-            *by, "__n",
-            F.when(small, F.lit(-math.inf)).otherwise(low).alias("__lo"),
-            F.when(small, F.lit(math.inf)).otherwise(high).alias("__hi"),
-        )
-    )
-    widest = (state.agg(F.max("__n")).first()[0] or 0) * 8 // GRID
-    for _ in range(MAX_ROUNDS):
-        if widest <= limit:
+    whole = [F.lit(-math.inf).alias("__lo"), F.lit(math.inf).alias("__hi")]
+    state = cells.groupBy(*by).agg(F.count(v).alias("__n")).select(*by, "__n", n.alias("__in"), *whole)
+    state = cut_lineage(state)
+    total, widest = state.agg(F.sum("__n"), F.max("__n")).first()
+    for turn in range(MAX_ROUNDS):
+        if not widest or widest <= limit and (turn or total <= limit):
             break
-        within = v.between(F.col("__lo"), F.col("__hi"))
-        looked = cells.join(state, list(keys)).groupBy(*by, "__n", "__lo", "__hi").agg(
-            F.count_if(v < F.col("__lo")).alias("__below"),
-            F.count_if(within).alias("__in"),
+        within = v.between(lo, hi)
+        taken = F.when(within & (F.col("__draw") * size < SAMPLE_ROWS), v)
+        drawn = cells.withColumn("__draw", F.rand(turn))
+        looked = drawn.join(state, list(keys)).groupBy(*by, "__n", "__in", "__lo", "__hi").agg(
+            F.count_if(v < lo).alias("__below"),
+            F.count_if(within).alias("__found"),
             F.approx_count_distinct(F.when(within, v)).alias("__nd"),
-            F.percentile_approx(F.when(within, v), grid, SKETCH_ACCURACY).alias("__grid"),
+            F.count(taken).alias("__drawn"),
+            F.percentile_approx(taken, grid, SAMPLE_ACCURACY).alias("__grid"),
         )
-        low, high = _grid_bounds(rank, last, F.col("__in"), F.col("__below"), F.col("__grid"))
-        wide = F.col("__in") > SKETCH_ACCURACY
+        found, sampled = F.col("__found"), F.greatest(F.col("__drawn"), F.lit(1))
+        margin = F.when(sampled >= found, 2).otherwise(2 + F.ceil(GRID * 3 / F.sqrt(sampled)))
+        first, end = ((r - F.col("__below")) / found * GRID for r in (rank, last + 1))
+        low = F.get("__grid", F.greatest(F.lit(0), F.floor(first) - margin).cast("int"))
+        high = F.get("__grid", F.least(F.lit(GRID), F.ceil(end) + margin).cast("int"))
+        caught = (F.col("__below") <= rank) & (last < F.col("__below") + found)
+        few = (found <= limit // 8) | F.col("__grid").isNull()
         state = cut_lineage(
             looked.select(
-                *by, "__n", "__in", "__nd",
-                F.when(wide, low).otherwise(F.col("__lo")).alias("__lo"),
-                F.when(wide, high).otherwise(F.col("__hi")).alias("__hi"),
+                *by, "__n", "__nd",
+                F.when(~caught, n).when(few, found).otherwise(F.ceil(found * (2 * margin + 2) / GRID)).alias("__in"),
+                F.when(~caught, F.lit(-math.inf)).when(few, lo).otherwise(low).alias("__lo"),
+                F.when(~caught, F.lit(math.inf)).when(few, hi).otherwise(high).alias("__hi"),
             )
         )
-        widest = state.agg(F.max(F.least(F.col("__in") * 8 / GRID, F.col("__nd")))).first()[0] or 0
-    state = state.select(*by, "__n", "__lo", "__hi")
+        widest = state.agg(F.max(F.least("__in", "__nd"))).first()[0]
     counted = (
-        cells.join(state, list(keys))
-        .where(v <= F.col("__hi"))
-        .withColumn("__v", F.when(v < F.col("__lo"), F.lit(-math.inf)).otherwise(v))
+        cells.join(state.select(*by, "__n", "__lo", "__hi"), list(keys))
+        .where(v <= hi)
+        .withColumn("__v", F.when(v < lo, F.lit(-math.inf)).otherwise(v))
         .groupBy(*by, "__n", "__v")
         .agg(F.count(F.lit(1)).alias("__c"))
     )
     order = Window.partitionBy(*by).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = counted.withColumn("__cum", F.sum("__c").over(order))
-    first = F.min(F.when(F.col("__cum") > rank, F.col("__v")))
-    second = F.min(F.when(F.col("__cum") > last, F.col("__v")))
+    first = F.min(F.when(F.col("__cum") > rank, v))
+    second = F.min(F.when(F.col("__cum") > last, v))
     part = F.max((n - 1) * F.lit(float(q)) - rank)
     value = F.when(part == 0, first).otherwise(first * (1 - part) + second * part)
     return state.select(*by).join(ranked.groupBy(*by).agg(value.alias(out)), list(keys), "left")
