@@ -388,19 +388,26 @@ def report_json(t: Tables):
     return records.select(parsed.alias("r")).select("r.*")
 
 
-def _state_sql() -> str:
-    distinct = f"SELECT {', '.join(GAP_COLUMNS)}, COUNT(*) AS n FROM g GROUP BY ALL"
-    parts = ["SELECT 'rows' AS measure, 'global' AS column_name, COUNT(*) AS value FROM g", "SELECT 'columns', 'global', 5"]
-    parts += [f"SELECT 'missing_values', '{c}', COUNT(*) - COUNT({c}) FROM g" for c in GAP_COLUMNS]
+def _state_sql(source: str) -> str:
+    distinct = f"SELECT {', '.join(GAP_COLUMNS)}, COUNT(*) AS n FROM {source} GROUP BY ALL"
+    parts = [f"SELECT 'rows' AS measure, 'global' AS column_name, COUNT(*) AS value FROM {source}", "SELECT 'columns', 'global', 5"]
+    parts += [f"SELECT 'missing_values', '{c}', COUNT(*) - COUNT({c}) FROM {source}" for c in GAP_COLUMNS]
     parts += [
-        f"SELECT 'outliers', '{c}', n FROM (SELECT COUNT(*) FILTER (WHERE {c} < lo OR {c} > hi) AS n FROM g, ({_fences(c)})) WHERE n > 0" for c in GAP_COLUMNS[:4]
+        f"SELECT 'outliers', '{c}', n FROM (SELECT COUNT(*) FILTER (WHERE {c} < lo OR {c} > hi) AS n FROM {source}, ({_fences(c, source)})) WHERE n > 0"
+        for c in GAP_COLUMNS[:4]
     ]
     parts.append(f"SELECT 'duplicates', 'global', CAST(coalesce(SUM(n) FILTER (WHERE n > 1), 0) AS BIGINT) FROM ({distinct})")
-    return f"{GAPS_SQL} {' UNION ALL '.join(parts)}"
+    return " UNION ALL ".join(parts)
 
 
-@query("table_state", _state_sql())
+@query("table_state", f"{GAPS_SQL} {_state_sql('g')}")
 def table_state(t: Tables):
     return audit.table_state(t.gaps).withColumnRenamed("column", "column_name")
 
 
+@query("state_before_after", f"{CLEANED} SELECT 'before' AS phase, * FROM ({_state_sql('g')}) UNION ALL SELECT 'after', * FROM ({_state_sql('c')})")
+def state_before_after(t: Tables):
+    """What cleaning changed: the same measures of the raw and of the cleaned table."""
+    clean, _ = apply_stage(t.gaps, CLEAN_PLAN, "cleaning", config={"count_rows": False, "checkpoints": True})
+    phases = [audit.table_state(df).withColumn("phase", F.lit(p)) for p, df in (("before", t.gaps), ("after", clean))]
+    return phases[0].unionByName(phases[1]).withColumnRenamed("column", "column_name")

@@ -158,6 +158,17 @@ def test_exact_quantiles_equal_numpy(spark, limit):
         assert got[name] == pytest.approx(list(np.quantile(data, qs)), rel=1e-12)
 
 
+def test_quantile_brackets_from_samples_stay_exact(spark, monkeypatch):
+    monkeypatch.setattr(stats, "SAMPLE_ROWS", 2000)
+    r = random.Random(8)
+    data = [r.gauss(0, 1) if r.random() < 0.7 else 0.5 for _ in range(20_000)]
+    df = spark.createDataFrame([(v, "g") for v in data], "x double, k string")
+    qs = [0.25, 0.5, 0.75]
+    assert stats.exact_quantiles(df, {"x": qs}, 3000)["x"] == pytest.approx(list(np.quantile(data, qs)), rel=1e-12)
+    grouped = stats.grouped_quantile(df, ["k"], "x", 0.75, "m", 3000).first()["m"]
+    assert grouped == pytest.approx(np.quantile(data, 0.75), rel=1e-12)
+
+
 @pytest.mark.parametrize("limit", [1_000_000, 20])
 def test_grouped_quantile_with_one_hot_group(spark, limit):
     r = random.Random(5)
