@@ -353,11 +353,15 @@ def operation_log(t: Tables):
     return log.drop("run", "details").withColumnRenamed("column", "column_name")
 
 
+RESIDUAL = " + ".join(f"(SELECT COUNT(*) FILTER (WHERE {c} < lo OR {c} > hi) FROM c, ({_fences(c, 'c')}))" for c in GAP_COLUMNS[:4])
+
+
 @query(
     "activity_log",
-    """SELECT * FROM (VALUES ('runner', 'start', 'Initiated'), ('cleaning', 'attempt 1', 'Success'), ('cleaning', 'validation', 'Success'),
- ('modification', 'attempt 1', 'Success'), ('modification', 'validation', 'Success'), ('transformation', 'attempt 1', 'Success'),
- ('transformation', 'validation', 'Success'), ('runner', 'finished', 'Success')) AS v(agent_name, task_description, status)""",
+    f"""{CLEANED}, v AS (SELECT CASE WHEN {RESIDUAL} = 0 THEN 'Success' ELSE 'Failed' END AS s)
+ SELECT agent_name, task_description, coalesce(status, s) AS status FROM v, (VALUES ('runner', 'start', 'Initiated'), ('cleaning', 'attempt 1', 'Success'),
+ ('cleaning', 'validation', NULL), ('modification', 'attempt 1', 'Success'), ('modification', 'validation', 'Success'), ('transformation', 'attempt 1', 'Success'),
+ ('transformation', 'validation', 'Success'), ('runner', 'finished', NULL)) AS r(agent_name, task_description, status)""",
 )
 def activity_log(t: Tables):
     """Who did what, without the times of day."""
