@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from scour.catalog.base import DIRTY_SQL, GAPS_SQL, HEAVY_SQL, Tables, q6, query, rounded
-from scour.catalog.cleaning import MEDIAN_SQL, MODE_SQL, _adaptive, _fences
+from scour.catalog.cleaning import MODE_SQL, _adaptive, _fences
 from scour.catalog.spelling import similar_sql
 from scour.operators import profile
 from scour.plans import audit, suggest, validate

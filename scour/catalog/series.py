@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from scour.catalog.base import Tables, q6, query, r6, rounded
+from scour.catalog.base import Tables, q6, query, rounded
 from scour.questions import happenings as hp, series as qs
 
 K = ["o_orderstatus"]

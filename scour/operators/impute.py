@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from scour.functions.columns import col, dtype, is_numeric, known, with_columns
+from scour.functions.columns import dtype, is_numeric, known, with_columns
 from scour.functions.stats import approximate_quantiles, exact_quantiles, modes, moments
 from scour.operators.outliers import Bounds, count_outside
 

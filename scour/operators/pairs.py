@@ -9,8 +9,6 @@ pieces again and one of those has to match as well.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
