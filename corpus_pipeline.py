@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scour.llm import jaccard, quality
+from scour.llm import jaccard, quality, suffixes
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,4 +17,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return jaccard.first_of_each(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("ngram_jaccard_join", near_duplicates)]
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 bytes and more that start in a document with a smaller id go from the later ones."""
+    return suffixes.without_repeats(docs)
+
+
+STAGES = [("quality_rules", quality_rules), ("ngram_jaccard_join", near_duplicates), ("suffix_array_dedup", repeated_passages)]

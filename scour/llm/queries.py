@@ -36,3 +36,15 @@ def op9(read):
     from scour.llm import jaccard
 
     return jaccard.jaccard_components(read("documents"), words=3, num=9, den=10)
+
+
+@query("op3_suffix_dedup")
+def op3(read):
+    from scour.llm import suffixes
+
+    df, name = suffixes.repeated_spans(read("documents").select("doc_id", "text"))
+    removed = F.aggregate(F.zip_with(f"{name}.starts", f"{name}.ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda x, y: x + y)
+    kept = F.col(f"{name}.kept")
+    return df.select(
+        "doc_id", (F.octet_length(kept) + removed).alias("n_bytes"), removed.alias("n_removed"), F.size(f"{name}.starts").cast("long").alias("n_spans"), F.sha2(kept, 256).alias("kept_sha256")
+    )
