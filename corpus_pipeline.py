@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scour.llm import jaccard, quality, suffixes
+from scour.llm import jaccard, privacy, quality, suffixes
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,4 +22,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return suffixes.without_repeats(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("ngram_jaccard_join", near_duplicates), ("suffix_array_dedup", repeated_passages)]
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data, and the terms that give it away, are replaced or removed."""
+    return privacy.sanitised(docs)
+
+
+STAGES = [("quality_rules", quality_rules), ("ngram_jaccard_join", near_duplicates), ("suffix_array_dedup", repeated_passages), ("pii", personal_data)]

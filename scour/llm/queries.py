@@ -48,3 +48,13 @@ def op3(read):
     return df.select(
         "doc_id", (F.octet_length(kept) + removed).alias("n_bytes"), removed.alias("n_removed"), F.size(f"{name}.starts").cast("long").alias("n_spans"), F.sha2(kept, 256).alias("kept_sha256")
     )
+
+
+@query("op4_personal_data")
+def op4(read):
+    from scour.llm import privacy
+
+    df, name = privacy.personal_spans(read("documents").select("doc_id", "text"))
+    base = F.filter(name, lambda s: s["kind"] < len(privacy.KINDS))
+    counts = [F.size(F.filter(name, lambda s: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(privacy.KINDS)]  # noqa: B023
+    return df.select("doc_id", *counts, F.sha2(privacy.spans_text(base), 256).alias("base_sha256"), privacy.spans_text(F.col(name)).alias("spans"))
