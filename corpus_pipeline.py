@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scour.llm import jaccard, privacy, quality, suffixes
+from scour.llm import jaccard, packing, privacy, quality, suffixes
+from scour.session import cut_lineage
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,4 +31,27 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return privacy.sanitised(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("ngram_jaccard_join", near_duplicates), ("suffix_array_dedup", repeated_passages), ("pii", personal_data)]
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each piece of a document, with its sequence of at most 2048 tokens and its place there."""
+    return packing.pack_documents(docs, TOKENIZER)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("ngram_jaccard_join", near_duplicates),
+    ("suffix_array_dedup", repeated_passages),
+    ("pii", personal_data),
+    ("packing", packing_stage),
+]
+# Rules learned from labels, graph components and tokenizers are beyond SQL; tests/llm compares with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written as Parquet before the next one reads it."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = cut_lineage(docs)
+    return docs

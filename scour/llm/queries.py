@@ -58,3 +58,21 @@ def op4(read):
     base = F.filter(name, lambda s: s["kind"] < len(privacy.KINDS))
     counts = [F.size(F.filter(name, lambda s: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(privacy.KINDS)]  # noqa: B023
     return df.select("doc_id", *counts, F.sha2(privacy.spans_text(base), 256).alias("base_sha256"), privacy.spans_text(F.col(name)).alias("spans"))
+
+
+@query("op7_packing")
+def op7(read):
+    import public_tokenizers
+
+    from scour.llm import packing
+
+    return packing.pack_documents(read("documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def _pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder.rstrip("/"))
+
+
+QUERIES["pipeline"] = _pipeline
