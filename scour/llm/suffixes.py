@@ -349,9 +349,9 @@ def _splitters(docs: DataFrame, total: int, buckets: int, match: int, text: str)
 
 
 def without_repeats(docs: DataFrame, match: int = MATCH) -> DataFrame:
-    """The documents without repeated passages, in their columns. Bytes of a character that was cut in two go as well."""
+    """The documents without repeated passages, in their columns. What is left of a character that was cut in two goes as well."""
     found, name = repeated_spans(docs, match)
-    text = F.when(F.size(f"{name}.starts") == 0, F.col("text")).otherwise(F.expr(f"regexp_replace(decode(`{name}`.kept, 'UTF-8'), '\\uFFFD', '')"))
+    text = F.when(F.size(f"{name}.starts") == 0, F.col("text")).otherwise(F.translate(F.make_valid_utf8(F.col(f"{name}.kept").cast("string")), "\ufffd", ""))
     found = found.withColumn("text", text)
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -73,6 +73,8 @@ def test_text_stays_readable(odd, spark):
     assert kept.columns == odd.columns and kept.count() == odd.count()
     cut = spark.createDataFrame([(1, "é" * 40), (2, "zé" + "é" * 40)], "doc_id long, text string")
     assert {r.doc_id: r.text for r in suffixes.without_repeats(cut).collect()} == {1: "é" * 40, 2: "z"}
+    cut = spark.createDataFrame([(1, "é" * 40), (2, "ĩ" + "é" * 40 + "end")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in suffixes.without_repeats(cut).collect()} == {1: "é" * 40, 2: "end"}
     assert suffixes.without_repeats(odd.limit(0)).count() == 0
 
 
