@@ -76,3 +76,13 @@ def _pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["pipeline"] = _pipeline
+
+
+@query("op1_pieces")
+def op1(read):
+    import public_tokenizers
+
+    from scour.llm import pieces
+
+    df, name = pieces.encode_pieces(read("documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    return df.select("doc_id", F.col(f"{name}.n").alias("n_tokens"), F.sha2(f"{name}.ids", 256).alias("ids_sha256"), F.sha2(F.col(f"{name}.decoded").cast("binary"), 256).alias("decoded_sha256"))
