@@ -86,3 +86,12 @@ def op1(read):
 
     df, name = pieces.encode_pieces(read("documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
     return df.select("doc_id", F.col(f"{name}.n").alias("n_tokens"), F.sha2(f"{name}.ids", 256).alias("ids_sha256"), F.sha2(F.col(f"{name}.decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("op2_token_counts")
+def op2(read):
+    import public_tokenizers
+
+    from scour.llm import tokencount
+
+    return tokencount.count_tokens(read("documents"), public_tokenizers.path("word_bpe_49k.json"))

@@ -87,7 +87,7 @@ def test_spans_cover_the_text(texts):
         assert b"".join(data[a:b] for a, b in zip(starts, starts[1:])) == data
         for i, a, b in zip(ids.tolist()[:200], starts, starts[1:]):
             if own.sizes[i] > 1:
-                assert own.full.id_to_piece(i).replace("▁", " ").strip() == data[a:b].decode().strip()
+                assert own.full.id_to_piece(i).replace("▁", " ").strip() == data[a:b].decode().replace("▁", " ").strip()
 
 
 def test_query(spark, texts):
