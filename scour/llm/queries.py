@@ -107,3 +107,15 @@ def op5(read):
 
     turns = read("conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("int").alias("turn"), "role", "text")
     return chat.digests(chat.chat_windows(turns.unionByName(turns.sparkSession.sql(HOSTILE))))
+
+
+@query("op8_licence_scan")
+def op8(read):
+    from scour.llm import licences
+
+    df, name = licences.scan_licences(read("documents").select("doc_id", "text"))
+    best = F.array_max(F.transform(name, lambda f: F.struct(f["coverage"], f["template"])))
+    return df.select(
+        "doc_id", F.size(name).cast("long").alias("n_findings"), best["template"].alias("licence"), best["coverage"].alias("coverage"),
+        F.array_join(F.transform(name, lambda f: F.concat_ws(":", f["template"], f["start"], f["end"])), ",").alias("spans"),
+    )
