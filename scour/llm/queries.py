@@ -119,3 +119,11 @@ def op8(read):
         "doc_id", F.size(name).cast("long").alias("n_findings"), best["template"].alias("licence"), best["coverage"].alias("coverage"),
         F.array_join(F.transform(name, lambda f: F.concat_ws(":", f["template"], f["start"], f["end"])), ",").alias("spans"),
     )
+
+
+@query("op6_nearest_neighbours")
+def op6(read):
+    from scour.llm import neighbours
+
+    vectors = read("embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"))
