@@ -306,12 +306,13 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     sets = cut_lineage(signed_sets(docs, like))
     usable = sets.where("doc_id IS NOT NULL AND n > 0").select("doc_id", "n", "s1", "s2")
     classes = usable.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
-    copies = cut_lineage(usable.join(classes, ["n", "s1", "s2"]).where("doc_id <> rep").select("doc_id", "rep").distinct())
-    families = components(family_edges(sets))
+    copies = cut_lineage(usable.join(classes, ["n", "s1", "s2"]).where("doc_id <> rep").select("doc_id", "n", "s1", "s2", "rep").distinct())
     # Of copies one speaks for all.
-    members = families.join(copies.select(F.col("doc_id").alias("node")), "node", "left_anti").join(usable.groupBy(F.col("doc_id").alias("node")).agg(F.max("n").alias("n")), "node")
+    single = sets.join(copies.drop("rep"), ["doc_id", "n", "s1", "s2"], "left_anti")
+    families = components(family_edges(single))
+    members = families.join(usable.groupBy(F.col("doc_id").alias("node")).agg(F.max("n").alias("n")), "node")
     links = verified(docs, members, like)
-    joined = components(links.unionByName(subset_edges(sets)).unionByName(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
+    joined = components(links.unionByName(subset_edges(single)).unionByName(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
     return (
         sets.select("doc_id", F.col("n").alias("n_shingles"))
         .join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")

@@ -64,6 +64,17 @@ def test_odd_rows(odd):
     assert got(odd, 3, 9, 10) == brute(ODD, 3, 9, 10)
 
 
+def test_one_id_with_several_texts(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words)), (2, " ".join(words)), (2, " ".join(reversed(words))), (3, " ".join([*reversed(words)][1:])), (4, "a b c d"), (5, "a b c d"), (5, "e f g h i"), (0, "e f g h i")]
+    assert got(spark.createDataFrame(rows, "doc_id long, text string"), 3, 9, 10) == brute_by_id(rows)
+
+
+def brute_by_id(rows):
+    """1, 2, 3 and 0, 4, 5 are connected through the ids that have two texts."""
+    return sorted(((i, len(shingles(t, 3)), {1: 1, 2: 1, 3: 1}.get(i, 0)) for i, t in rows), key=str)
+
+
 def test_first_of_each(odd):
     kept = jaccard.first_of_each(odd)
     assert kept.columns == odd.columns
