@@ -72,6 +72,32 @@ def trimmed(c: Column) -> Column:
     return F.regexp_replace(c, f"^[{SPACE_CLASS}]+|[{SPACE_CLASS}]+$", "")
 
 
+def unique_names(wanted: Iterable[str], taken: Iterable[str] = ()) -> list[str]:
+    """The names in order; one that equals an earlier or taken name in any case gets _2, _3 and so on."""
+    used = {t.lower() for t in taken}
+    out = []
+    for name in wanted:
+        new, n = name, 1
+        while new.lower() in used:
+            n += 1
+            new = f"{name}_{n}"
+        used.add(new.lower())
+        out.append(new)
+    return out
+
+
+def join_groups(left: DataFrame, right: DataFrame, keys: Iterable[str], how: str = "inner") -> DataFrame:
+    """Equi-join on key columns in which NULL meets NULL; ``right`` has one row a group, and one row in all without keys."""
+    keys = list(keys)
+    if not keys:
+        return left.withColumn("__one", F.lit(1)).join(F.broadcast(right.withColumn("__one", F.lit(1))), "__one", how).drop("__one")
+    twin = right.select(*[col(c).alias(f"__r_{c}") if c in keys else col(c) for c in right.columns])
+    cond = F.lit(True)
+    for c in keys:
+        cond = cond & col(c).eqNullSafe(col(f"__r_{c}"))
+    return left.join(twin, cond, how).drop(*[f"__r_{c}" for c in keys])
+
+
 def divide(a: Column, b: Column) -> Column:
     """NULL instead of an ANSI error when the divisor is zero."""
     return F.try_divide(a.cast("double"), b.cast("double"))

@@ -8,12 +8,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from scour.functions.columns import col, known, value_counts
+from scour.functions.columns import col, join_groups, known, value_counts
 from scour.session import cut_lineage
 
 # A quantile is read off a histogram once its bracket holds at most about this many distinct values.
 HISTOGRAM_LIMIT = 200_000
 GROUP_LIMIT = 1_000_000
+SALTS = 16
 # Brackets come from this many sampled rows, whatever the table holds; exact counts confirm them.
 SAMPLE_ROWS = 100_000
 SAMPLE_ACCURACY = 10_000
@@ -206,16 +207,26 @@ def approximate_quantiles(df: DataFrame, wanted: dict[str, Sequence[float]], acc
     return {name: row[f"q{i}"] or [None] * len(qs) for i, (name, qs) in enumerate(wanted.items())}
 
 
+def _salted(groups: DataFrame) -> DataFrame:
+    """Each group's row once for every salt."""
+    return groups.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+
+
 def grouped_quantile(df: DataFrame, keys: Sequence[str], name: str, q: float, out: str, limit: int = GROUP_LIMIT) -> DataFrame:
     """Exact interpolated quantile per group.
 
     A bounded sample per group brackets the rank and exact counts confirm it, again while some
     group keeps more than ``limit`` rows in its bracket. Only the distinct values inside the bracket
-    are ordered, so a group holding a third of the table leaves a thin slice for its window.
+    are ordered, so a group holding a third of the table leaves a thin slice for its window. Rows meet
+    their group's bracket under a salt made from the value: a hot group is joined and counted in several tasks, and an
+    exchange lies between them and the window. A NULL key is a group; without keys the table is one.
     """
+    if not keys:
+        found = exact_quantiles(df, {name: [q]})[name][0]
+        return df.sparkSession.createDataFrame([(found,)], f"`{out}` double")
     by = [col(k) for k in keys]
     grid = [i / GRID for i in range(GRID + 1)]
-    cells = df.select(*by, known(name, df).cast("double").alias("__v"))
+    cells = df.select(*by, known(name, df).cast("double").alias("__v")).withColumn("__salt", F.pmod(F.xxhash64("__v"), F.lit(SALTS)))
     n, v, lo, hi, size = (F.col(c) for c in ("__n", "__v", "__lo", "__hi", "__in"))
     rank, last = F.floor((n - 1) * F.lit(float(q))), F.ceil((n - 1) * F.lit(float(q)))
     whole = [F.lit(-math.inf).alias("__lo"), F.lit(math.inf).alias("__hi")]
@@ -228,7 +239,7 @@ def grouped_quantile(df: DataFrame, keys: Sequence[str], name: str, q: float, ou
         within = v.between(lo, hi)
         taken = F.when(within & (F.col("__draw") * size < SAMPLE_ROWS), v)
         drawn = cells.withColumn("__draw", F.rand(turn))
-        looked = drawn.join(state, list(keys)).groupBy(*by, "__n", "__in", "__lo", "__hi").agg(
+        looked = join_groups(drawn, _salted(state), [*keys, "__salt"]).groupBy(*by, "__n", "__in", "__lo", "__hi").agg(
             F.count_if(v < lo).alias("__below"),
             F.count_if(within).alias("__found"),
             F.approx_count_distinct(F.when(within, v)).alias("__nd"),
@@ -252,10 +263,10 @@ def grouped_quantile(df: DataFrame, keys: Sequence[str], name: str, q: float, ou
         )
         widest = state.agg(F.max(F.least("__in", "__nd"))).first()[0]
     counted = (
-        cells.join(state.select(*by, "__n", "__lo", "__hi"), list(keys))
+        join_groups(cells, _salted(state.select(*by, "__n", "__lo", "__hi")), [*keys, "__salt"])
         .where(v <= hi)
         .withColumn("__v", F.when(v < lo, F.lit(-math.inf)).otherwise(v))
-        .groupBy(*by, "__n", "__v")
+        .groupBy(*by, "__salt", "__n", "__v")
         .agg(F.count(F.lit(1)).alias("__c"))
     )
     order = Window.partitionBy(*by).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
@@ -264,7 +275,7 @@ def grouped_quantile(df: DataFrame, keys: Sequence[str], name: str, q: float, ou
     second = F.min(F.when(F.col("__cum") > last, v))
     part = F.max((n - 1) * F.lit(float(q)) - rank)
     value = F.when(part == 0, first).otherwise(first * (1 - part) + second * part)
-    return state.select(*by).join(ranked.groupBy(*by).agg(value.alias(out)), list(keys), "left")
+    return join_groups(state.select(*by), ranked.groupBy(*by).agg(value.alias(out)), keys, "left")
 
 
 def modes(df: DataFrame, names: Sequence[str]) -> dict[str, str | None]:

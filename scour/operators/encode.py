@@ -6,10 +6,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from scour.functions.columns import col, value_counts
+from scour.functions.columns import col, unique_names, value_counts
 from scour.session import cut_lineage
 
-ONE_HOT_LIMIT = 1000
 BROADCAST_VALUES = 10_000
 # A value held by more than this share of the rows is spread over SALTS join keys.
 HOT_SHARE = 0.001
@@ -53,18 +52,25 @@ def _large(counts: DataFrame, table: DataFrame, rows: int) -> Codes:
     return Codes(table, False, tuple(r["value"] for r in hot))
 
 
-def one_hot_values(df: DataFrame, column: str, limit: int = ONE_HOT_LIMIT) -> list[str]:
-    found = [r[0] for r in df.select(col(column)).where(col(column).isNotNull()).distinct().limit(limit + 1).collect()]
-    if len(found) > limit:
+def one_hot_values(df: DataFrame, column: str, limit: int | None = None) -> list[str]:
+    """The sorted known values, which become columns; ``limit`` refuses more than so many."""
+    known = df.select(col(column)).where(col(column).isNotNull()).distinct()
+    found = [r[0] for r in (known if limit is None else known.limit(limit + 1)).collect()]
+    if limit is not None and len(found) > limit:
         raise ValueError(f"column {column} has more than {limit} distinct values")
     return sorted(found)
 
 
-def one_hot(df: DataFrame, column: str, values: list[str] | None = None, limit: int = ONE_HOT_LIMIT) -> DataFrame:
-    """One boolean column per sorted known value instead of the column; NULL is false everywhere."""
+def one_hot(df: DataFrame, column: str, values: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """One boolean column per sorted known value instead of the column; NULL is false everywhere.
+
+    Values that differ only in case get names of their own: the later one in sorted order ends in _2.
+    """
     values = one_hot_values(df, column, limit) if values is None else values
-    flags = [F.coalesce(col(column) == F.lit(v), F.lit(False)).alias(f"{column}_{v}") for v in values]
-    return df.select(*[col(c) for c in df.columns if c != column], *flags)
+    kept = [c for c in df.columns if c != column]
+    names = unique_names([f"{column}_{v}" for v in values], kept)
+    flags = [F.coalesce(col(column) == F.lit(v), F.lit(False)).alias(n) for v, n in zip(values, names)]
+    return df.select(*[col(c) for c in kept], *flags)
 
 
 def label_codes(df: DataFrame, column: str, limit: int = BROADCAST_VALUES) -> Codes:
@@ -125,6 +131,9 @@ def adaptive_method(df: DataFrame, column: str) -> str:
     return "one_hot" if few <= 5 else "label_encode" if few <= 50 else "frequency_encode"
 
 
-def encode(df: DataFrame, column: str, method: str | None = None) -> DataFrame:
-    methods = {"one_hot": one_hot, "label_encode": label_encode, "frequency_encode": frequency_encode}
-    return methods[method if method in methods else adaptive_method(df, column)](df, column)
+def encode(df: DataFrame, column: str, method: str | None = None, limit: int | None = None) -> DataFrame:
+    """``limit`` bounds the columns of a one-hot encoding."""
+    chosen = method if method in ("one_hot", "label_encode", "frequency_encode") else adaptive_method(df, column)
+    if chosen == "one_hot":
+        return one_hot(df, column, limit=limit)
+    return label_encode(df, column) if chosen == "label_encode" else frequency_encode(df, column)

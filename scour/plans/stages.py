@@ -6,10 +6,11 @@ table as it was and never stops the stage. Errors of the cluster are not caught.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException, ParseException
+from pyspark.errors import AnalysisException, ArithmeticException, DateTimeException, NumberFormatException, ParseException, SparkRuntimeException
 from pyspark.sql import DataFrame, functions as F
 
 from scour.functions.columns import is_numeric, is_string
@@ -63,6 +64,10 @@ class Stop(Exception):
         self.status = status
 
 
+# What a formula may raise while it runs; any other error is the cluster's and is passed on.
+DATA_ERRORS = (ArithmeticException, DateTimeException, NumberFormatException, SparkRuntimeException)
+
+
 def _need(ok: bool, status: str, details: str) -> None:
     if not ok:
         raise Stop(status, details)
@@ -145,7 +150,9 @@ def _drop(df: DataFrame, target: str, op: dict, ctx: Context) -> Result:
 def _feature(df: DataFrame, target: str, op: dict, ctx: Context) -> Result:
     name = op.get("new_feature_name", "engineered_feature")
     if op.get("formula") is not None:
-        return Result(schema.derive(df, op["formula"], name), details="derived from a formula", affected=1)
+        out = schema.derive(df, op["formula"], name)
+        out.agg(F.count(F.col(f"`{name}`"))).collect()  # an error in a row shows here, not in a later stage
+        return Result(out, details="derived from a formula", affected=1)
     groupings = {"age_grouping": ("age", features.age_groups), "bmi_categories": ("bmi", features.bmi_classes)}
     _need(op.get("method") in groupings, "skipped", f"unknown feature method {op.get('method')}")
     default, make = groupings[op["method"]]
@@ -187,7 +194,7 @@ def _encode(df: DataFrame, target: str, op: dict, ctx: Context) -> Result:
     method = op.get("method")
     if method not in ("one_hot", "label_encode", "frequency_encode"):
         method = encode.adaptive_method(df, target)
-    out = encode.encode(df, target, method)
+    out = encode.encode(df, target, method, op.get("limit"))
     return Result(out, details=method, affected=len([c for c in out.columns if c not in df.columns]))
 
 
@@ -201,7 +208,7 @@ def _text(df: DataFrame, target: str, op: dict, ctx: Context) -> Result:
 
 
 def _pivot(df: DataFrame, target: str, op: dict, ctx: Context) -> Result:
-    out = reshape.pivot(df, op["index"], op["columns"], op["values"], op.get("agg_func", "mean"), op.get("order"))
+    out = reshape.pivot(df, op["index"], op["columns"], op["values"], op.get("agg_func", "mean"), op.get("order"), op.get("limit"))
     return Result(out, details=op.get("agg_func", "mean"), affected=len(out.columns))
 
 
@@ -213,7 +220,7 @@ def _unpivot(df: DataFrame, target: str, op: dict, ctx: Context) -> Result:
 def _merge(df: DataFrame, target: str, op: dict, ctx: Context) -> Result:
     name = op.get("right_df_name")
     _need(name in ctx.tables, "skipped", f"table {name} is not known")
-    out = reshape.merge(df, ctx.tables[name], op["on"], op.get("how", "inner"), op.get("null_safe", False))
+    out = reshape.merge(df, ctx.tables[name], op["on"], op.get("how", "inner"), op.get("null_safe", False), tuple(op.get("suffixes", ("_x", "_y"))))
     return Result(out, details=f"{op.get('how', 'inner')} join with {name}")
 
 
@@ -283,9 +290,11 @@ def apply_stage(
             try:
                 _need(handler is not None, "skipped", f"unknown {stage} operation {name}")
                 result = handler(df, target, op, ctx)
+                twice = sorted(n for n, k in Counter(c.lower() for c in result.df.columns).items() if k > 1)
+                _need(not twice, "failed", f"columns of one name: {', '.join(twice)}")
             except Stop as stop:
                 result = Result(df, stop.status, str(stop))
-            except (AnalysisException, ParseException, ValueError, KeyError, TypeError) as e:
+            except (AnalysisException, ParseException, ValueError, KeyError, TypeError, *DATA_ERRORS) as e:
                 result = Result(df, "failed", f"{type(e).__name__}: {e}".splitlines()[0])
             df = result.df
             plain = {k: v for k, v in op.items() if k not in ("lexicon", "table")}

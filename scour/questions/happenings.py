@@ -9,7 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from scour.functions.columns import col, divide
+from scour.functions.columns import col, divide, join_groups
 
 
 def _by(keys: Sequence[str]) -> list[Column]:
@@ -103,7 +103,7 @@ def around_events(series: DataFrame, events: DataFrame, keys: Sequence[str], day
     offsets = F.explode(F.array(*[F.lit(i) for i in range(-days, days + 1) if i]))
     wide = events.select(*_by(keys), F.col("day").alias("event_day")).distinct().withColumn("offset", offsets)
     wide = wide.withColumn("day", F.date_add("event_day", F.col("offset")))
-    found = wide.join(series.select(*_by(keys), "day", col(value).alias("v")), [*keys, "day"], "left")
+    found = join_groups(wide, series.select(*_by(keys), "day", col(value).alias("v")), [*keys, "day"], "left")
     before, after = F.when(F.col("offset") < 0, F.col("v")), F.when(F.col("offset") > 0, F.col("v"))
     out = found.groupBy(*_by(keys), "event_day").agg(
         F.count(before).alias("n_before"), F.avg(before).alias("mean_before"),

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from scour.functions.columns import col, divide
+from scour.functions.columns import col, divide, join_groups
 from scour.functions.stats import grouped_quantile
 
 
@@ -102,14 +102,14 @@ def spread(bars: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
         F.stddev_samp(col(a)).alias(f"std_{a}"),
         F.stddev_samp(col(b)).alias(f"std_{b}"),
     )
-    return stats.join(grouped_quantile(diff, list(keys), "diff", 0.5, "median"), list(keys))
+    return join_groups(stats, grouped_quantile(diff, list(keys), "diff", 0.5, "median"), keys)
 
 
 def spikes(bars: DataFrame, keys: Sequence[str], k: float = 3.0, value: str = "close") -> DataFrame:
     """Days whose change lies more than k sample deviations from the mean change."""
     moved = with_change(bars, keys, value)
     usual = moved.groupBy(*_by(keys)).agg(F.avg("change").alias("usual"), F.stddev_samp("change").alias("deviation"))
-    far = moved.join(usual, list(keys)).where(F.abs(F.col("change") - F.col("usual")) > k * F.col("deviation"))
+    far = join_groups(moved, usual, keys).where(F.abs(F.col("change") - F.col("usual")) > k * F.col("deviation"))
     return far.select(*_by(keys), "day", col(value), "change")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session for tests and the benchmark; clusters bring their own."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("scour")
         .config("spark.driver.host", "127.0.0.1")
@@ -27,21 +28,25 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.sql.ansi.enabled", "true")
         .getOrCreate()
     )
+    return with_local_folder(spark)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
+def with_local_folder(spark: SparkSession) -> SparkSession:
+    """On one machine its own folder is the shared one; a folder that is set stays, and so does a cluster's lack of one."""
+    unset = not spark.sparkContext.getCheckpointDir() and spark.conf.get("spark.checkpoint.dir", None) is None
+    if unset and re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="scour-"))
+    return spark
 
-    Only a local master may fall back to a temporary folder of this machine.
-    """
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder every executor can reach: the cluster's ``spark.checkpoint.dir``. There is no fallback."""
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return os.path.dirname(current.rstrip("/"))
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        configured = tempfile.mkdtemp(prefix="scour-")
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     spark.sparkContext.setCheckpointDir(configured)
     return configured
 
@@ -58,6 +63,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     if not df.columns:
         return df
+    return copied(df)[0]
+
+
+def copied(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` as written by ``cut_lineage``, and the path, for ``discard`` once nothing reads it any more."""
     path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a copy made by ``copied``."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

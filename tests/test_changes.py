@@ -15,49 +15,48 @@ def run(df, ops, stage="transformation", **more):
 
 
 def test_scale_one_hot_and_bins(frame):
-    rows = [(1, "A", 1.0, 10), (2, "B", 2.0, 20), (3, "A", None, 30), (4, "C", 4.0, 40), (5, "B", 5.0, 50)]
-    df = frame(rows, "numeric_value long, category string, missing_data double, to_bin long")
+    rows = [(7, "oak", 120), (11, "elm", 345), (13, "oak", 410), (19, "fir", 720)]
+    df = frame(rows, "rings long, wood string, height long")
     out, log = run(
         df,
         {
-            "numeric_value": [{"operation": "scale_normalize", "method": "standard_scaler"}],
-            "category": [{"operation": "encode_categorical", "method": "one_hot"}],
-            "to_bin": [{"operation": "discretize_bin", "method": "equal_width", "bins": 3}],
+            "rings": [{"operation": "scale_normalize", "method": "standard_scaler"}],
+            "wood": [{"operation": "encode_categorical", "method": "one_hot"}],
+            "height": [{"operation": "discretize_bin", "method": "equal_width", "bins": 4}],
         },
     )
     assert [e.status for e in log] == ["completed"] * 3
-    scaled = values(out, "numeric_value")
+    scaled = values(out, "rings")
     assert abs(statistics.mean(scaled)) < 1e-10 and abs(statistics.stdev(scaled) - 1) < 1e-10
-    assert {"category_A", "category_B", "category_C"} <= set(out.columns) and "category" not in out.columns
-    assert len(set(values(out, "to_bin_binned"))) == 3
-    assert set(values(out, "to_bin_binned")) == {"(9.959, 23.333]", "(23.333, 36.667]", "(36.667, 50.0]"}
+    assert {"wood_oak", "wood_elm", "wood_fir"} <= set(out.columns) and "wood" not in out.columns
+    assert values(out, "height_binned") == ["(119.399, 270.0]", "(270.0, 420.0]", "(270.0, 420.0]", "(570.0, 720.0]"]
 
 
 def test_single_row_and_empty_table(spark, frame):
-    df = frame([(1, "A")], "numeric_value long, category string")
-    ops = {"numeric_value": [{"operation": "scale_normalize", "method": "standard_scaler"}], "category": [{"operation": "encode_categorical", "method": "one_hot"}]}
+    df = frame([(31, "ash")], "rings long, wood string")
+    ops = {"rings": [{"operation": "scale_normalize", "method": "standard_scaler"}], "wood": [{"operation": "encode_categorical", "method": "one_hot"}]}
     out, log = run(df, ops)
-    assert [e.status for e in log] == ["completed"] * 2 and values(out, "numeric_value") == [None]
+    assert [e.status for e in log] == ["completed"] * 2 and values(out, "rings") == [None]
     empty = spark.createDataFrame([], "x double")
     assert apply_stage(empty, {}, "transformation")[0].count() == 0
 
 
 def test_wrong_kind_of_column_fails_and_changes_nothing(frame):
-    df = frame([("a", 1), ("b", 2), ("c", 3)], "A string, B long")
+    df = frame([("wet", 40), ("dry", 12)], "soil string, depth long")
     ops = {
-        "A": [{"operation": "scale_normalize", "method": "standard_scaler"}, {"operation": "discretize_bin", "method": "equal_width", "bins": 2}],
-        "B": [{"operation": "encode_categorical", "method": "one_hot"}, {"operation": "text_processing", "method": "lowercase"}],
+        "soil": [{"operation": "scale_normalize", "method": "standard_scaler"}, {"operation": "discretize_bin", "method": "equal_width", "bins": 2}],
+        "depth": [{"operation": "encode_categorical", "method": "one_hot"}, {"operation": "text_processing", "method": "lowercase"}],
     }
     out, log = run(df, ops)
     assert [e.status for e in log] == ["failed"] * 4 and out.collect() == df.collect()
 
 
 def test_formula_rename_drop(frame):
-    df = frame([("John", "Doe", 30, "NYC"), ("Jane", "Roe", 25, "LA")], "first_name string, last_name string, age long, city string")
+    df = frame([("Quercus", "robur", 80, "moist"), ("Ulmus", "glabra", 35, "chalk")], "genus string, species string, years long, ground string")
     ops = [
-        {"operation": "create_new_feature", "formula": "concat(first_name, ' ', last_name)", "new_feature_name": "full_name"},
-        {"operation": "rename_column", "old_name": "age", "new_name": "person_age"},
-        {"operation": "drop_column", "column_name": "city"},
+        {"operation": "create_new_feature", "formula": "concat(genus, ' ', species)", "new_feature_name": "latin"},
+        {"operation": "rename_column", "old_name": "years", "new_name": "stands"},
+        {"operation": "drop_column", "column_name": "ground"},
         {"operation": "create_new_feature", "formula": "no_such_column + 1"},
         {"operation": "rename_column", "old_name": "gone", "new_name": "x"},
         {"operation": "create_new_feature", "method": "age_grouping"},
@@ -65,7 +64,7 @@ def test_formula_rename_drop(frame):
     ]
     out, log = run(df, {"global": ops}, "modification")
     assert [e.status for e in log] == ["completed"] * 3 + ["failed"] + ["skipped"] * 3
-    assert values(out, "full_name") == ["Jane Roe", "John Doe"] and out.columns == ["first_name", "last_name", "person_age", "full_name"]
+    assert values(out, "latin") == ["Quercus robur", "Ulmus glabra"] and out.columns == ["genus", "species", "stands", "latin"]
 
 
 def test_aggregate_guards_and_null_rules(frame):

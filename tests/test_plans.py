@@ -14,32 +14,32 @@ from scour.sources import tables as io
 from scour.streaming.fitted import apply_fitted, remove_stream_duplicates
 from tests.conftest import values
 
-ROWS = [(1.0, "x", 10), (2.0, "y", 20), (None, "z", 30), (2.0, "y", 20), (5.0, "x", 50), (100.0, "w", 60)]
-SCHEMA = "numeric double, category string, to_normalize long"
+ROWS = [(3.5, "barge", 7), (4.0, "tug", 9), (4.0, "tug", 9), (None, "ferry", 12), (4.5, "barge", 8), (5.0, "ferry", 11), (480.0, "liner", 30)]
+SCHEMA = "length double, ship string, crew long"
 PLAN = {
     "cleaning_operations": {
         "global": [{"operation": "remove_duplicates"}],
-        "numeric": [{"operation": "handle_missing_values", "method": "mean"}, {"operation": "handle_outliers", "method": "isolation_forest"}],
-        "category": [{"operation": "handle_missing_values", "method": "mode"}],
+        "length": [{"operation": "handle_missing_values", "method": "mean"}, {"operation": "handle_outliers", "method": "isolation_forest"}],
+        "ship": [{"operation": "handle_missing_values", "method": "mode"}],
     },
     "transformation_operations": {
-        "numeric": [{"operation": "scale_normalize", "method": "standard_scaler"}],
-        "category": [{"operation": "encode_categorical", "method": "one_hot"}],
+        "length": [{"operation": "scale_normalize", "method": "standard_scaler"}],
+        "ship": [{"operation": "encode_categorical", "method": "one_hot"}],
     },
 }
 
 
 def test_clean_then_transform(frame):
     clean, log = apply_stage(frame(ROWS, SCHEMA), PLAN, "cleaning")
-    assert clean.count() == 5 and clean.where("numeric IS NULL").count() == 0 and 100.0 not in values(clean, "numeric")
+    assert clean.count() == 6 and clean.where("length IS NULL").count() == 0 and 480.0 not in values(clean, "length")
     out, more = apply_stage(clean, PLAN, "transformation")
-    assert {e.status for e in log + more} == {"completed"} and "category_x" in out.columns
+    assert {e.status for e in log + more} == {"completed"} and "ship_tug" in out.columns
 
 
 def test_run_plan_warns_or_halts(frame):
     df = frame(ROWS, SCHEMA)
     run = run_plan(df, PLAN, max_retries=2)
-    assert run.df.count() == 5 and set(run.checks) == {"cleaning", "modification", "transformation"}
+    assert run.df.count() == 6 and set(run.checks) == {"cleaning", "modification", "transformation"}
     assert run.recorder.seconds() >= 0 and run.recorder.records[-1][1:3] == ("runner", "finished")
     heavy = frame([(float(i),) for i in range(30)] + [(9999.0,)], "x double")
     stopped = run_plan(heavy, {"cleaning_operations": {}}, on_fail="halt", max_retries=1)
@@ -60,27 +60,26 @@ def test_unknown_stage_and_empty_plan(frame):
     assert run.ok and list(run.checks) == ["cleaning"]
 
 
-CUSTOMERS = [
-    (1, "Ann", "2023-01-05", 250.5, "Books", "card", "True", 10, "North", 4.5),
-    (2, "Bob", "2023-02-05", 99.0, None, "cash", "False", 0, "South", 3.0),
-    (3, "Cid", "2023-03-05", None, "Books", "card", "True", 5, "North", 5.0),
-    (4, "Dan", "2023-04-05", 10.0, "Toys", "card", "False", 0, "East", 1.0),
+BERTHS = [
+    ("p1", "2031-04-02", 31.5, "tidal", "yes", 3),
+    ("p2", "2031-04-09", 12.0, None, "no", 0),
+    ("p3", "2031-05-01", None, "tidal", "yes", 7),
+    ("p4", "2031-06-11", 44.25, "locked", "no", 2),
 ]
-COLUMNS = """order_id long, customer_name string, order_date string, total_amount double, product_category string, payment_method string,
- is_premium string, discount_percentage long, shipping_region string, order_rating double"""
+BERTH_COLUMNS = "berth string, opened string, metres double, basin string, lit string, cranes long"
 
 
 def test_suggested_plan(frame):
-    df, warnings = schema.standardise_types(frame(CUSTOMERS, COLUMNS), {"order_date": "datetime", "is_premium": "bool", "total_amount": "float"})
+    df, warnings = schema.standardise_types(frame(BERTHS, BERTH_COLUMNS), {"opened": "datetime", "lit": "bool", "metres": "float"})
     plan = suggest.suggest_plan(df)
     ops = plan["suggested_operations"]
-    assert not warnings and len(plan["column_types"]) == 10 and plan["column_types"]["is_premium"] == "boolean"
-    assert [o["operation"] for o in ops["cleaning_operations"]["total_amount"]] == ["handle_missing_values", "handle_outliers"]
-    assert ops["cleaning_operations"]["product_category"][0]["method"] == "mode"
+    assert not warnings and len(plan["column_types"]) == 6 and plan["column_types"]["lit"] == "boolean"
+    assert [o["operation"] for o in ops["cleaning_operations"]["metres"]] == ["handle_missing_values", "handle_outliers"]
+    assert ops["cleaning_operations"]["basin"][0]["method"] == "mode"
     assert ops["cleaning_operations"]["global"] == [{"operation": "remove_duplicates", "method": None, "reason": "duplicate check of the whole table"}]
-    narrow = suggest.suggest_plan(df, {"pipeline_plan": ["cleaning"], "questions": ["q"]}, relevant=["order_id"])
-    assert narrow["pipeline_plan"] == ["cleaning"] and narrow["questions"] == ["q"] and len(narrow["removed_columns"]) == 9
-    assert suggest.plan_frame(df.sparkSession, narrow).where("operation = 'drop_column'").count() == 9
+    narrow = suggest.suggest_plan(df, {"pipeline_plan": ["cleaning"], "questions": ["q"]}, relevant=["berth"])
+    assert narrow["pipeline_plan"] == ["cleaning"] and narrow["questions"] == ["q"] and len(narrow["removed_columns"]) == 5
+    assert suggest.plan_frame(df.sparkSession, narrow).where("operation = 'drop_column'").count() == 5
 
 
 def test_recommendations_follow_failed_checks(frame):
