@@ -289,9 +289,12 @@ def modes(df: DataFrame, names: Sequence[str]) -> dict[str, str | None]:
 
 
 def distinct_counts(df: DataFrame, names: Sequence[str]) -> dict[str, int]:
-    """Exact number of distinct non-null values per column."""
+    """Number of distinct non-null values per column, told apart by 128 bits of hash: no text is shuffled."""
     out = {name: 0 for name in names}
     if names:
-        for row in value_counts(df, names).groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect():
-            out[row["column"]] = row["n"]
+        texts = [known(c, df).cast("string") for c in names]
+        cells = [F.when(v.isNotNull(), F.struct(F.lit(i).alias("item"), F.xxhash64(v).alias("h1"), F.xxhash64(F.lit(1), v).alias("h2"))) for i, v in enumerate(texts)]
+        hashed = df.select(F.explode(F.array(*cells)).alias("cell")).where("cell IS NOT NULL").select("cell.*").distinct()
+        for row in hashed.groupBy("item").agg(F.count(F.lit(1)).alias("n")).collect():
+            out[names[row["item"]]] = row["n"]
     return out

@@ -3,6 +3,7 @@
 import pytest
 
 from scour.catalog.base import QUERIES, Tables
+from scour.functions import stats
 from scour.operators import duplicates, encode, features, impute, reshape, schema
 from scour.questions import happenings as hp, series as qs
 
@@ -35,8 +36,8 @@ def test_duplicates_combine_before_the_shuffle(t):
     assert "partial_min" in plan and "Window" not in plan
 
 
-def test_samples_are_cut_before_the_shuffle(t):
-    assert plan_of(schema.sample_values(t.customer)).count("WindowGroupLimit") == 2
+def test_samples_need_no_shuffle(t):
+    assert "Exchange" not in plan_of(schema.sample_values(t.customer))
 
 
 def test_top_rows_use_take_ordered(t):
@@ -63,3 +64,10 @@ LAZY = ["moving_average", "longest_streak", "around_events", "last_before", "piv
 def test_no_cross_products(spark, name):
     plan = plan_of(QUERIES[name].run(spark, FOLDER))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_profile_shuffles_no_text(spark):
+    """Distinct counts and samples of long texts exchange hashes and single rows."""
+    df = spark.createDataFrame([(i, "long text " * 200 + str(i % 7)) for i in range(500)], "i int, t string")
+    assert stats.distinct_counts(df, ["i", "t"]) == {"i": 500, "t": 7}
+    assert [r.value[-1] for r in schema.sample_values(df.select("t")).collect()] == ["0", "1", "2"]
