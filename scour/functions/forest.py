@@ -99,30 +99,52 @@ class AnomalySteps:
         return hit
 
 
-def _sample(df: DataFrame, rows: int, wanted: int, seed: int) -> np.ndarray:
-    """About ``wanted`` known values, at random; everything when the column is small."""
-    if rows > 2 * wanted:
-        df = df.sample(fraction=2.0 * wanted / rows, seed=seed)
-    return np.sort(df.toPandas()["v"].to_numpy(dtype=float))
-
-
-def fit_steps(df: DataFrame, column: str, contamination: float, seed: int) -> AnomalySteps:
-    """Sample, grow the trees, then find the score threshold from exact counts per interval."""
-    values = df.select(known(column, df).cast("double").alias("v")).where(F.col("v").isNotNull())
-    rows = values.count()
-    if rows == 0:
-        return AnomalySteps((), (0.0,), (False,))
-    sample = _sample(values, rows, TREES * SAMPLE, seed)
-    edges, scores = forest_steps(sample, min(SAMPLE, len(sample)), seed)
-    steps = AnomalySteps(tuple(edges.tolist()), tuple(scores.tolist()), ())
-    # At most one row per interval comes back: bounded by trees * sample, whatever the table holds.
-    if not len(edges):
-        return AnomalySteps((), steps.scores, (False,))
-    counted = steps.located(values, "v").groupBy("interval").agg(F.count(F.lit(1)).alias("n")).toPandas()
-    hits = np.zeros(len(scores), dtype=np.int64)
-    hits[counted["interval"].to_numpy(dtype=int)] = counted["n"].to_numpy(dtype=np.int64)
-    threshold = _upper_quantile(scores, hits, contamination)
-    return AnomalySteps(steps.edges, steps.scores, tuple((scores > threshold + 1e-12).tolist()))
+def _samples(df: DataFrame, counts: dict[str, int], wanted: dict[str, int]) -> dict[str, np.ndarray]:
+    """About ``2 * wanted`` known values of each column, at random, in one job; every value of a column that has no more."""
+    cells = []
+    for i, (name, n) in enumerate(counts.items()):
+        v = known(name, df).cast("double")
+        drawn = v if n <= 2 * wanted[name] else F.when(F.rand(i) < 2.0 * wanted[name] / n, v)
+        cells.append(F.struct(F.lit(i).alias("item"), drawn.alias("v")))
+    rows = df.select(F.explode(F.array(*cells)).alias("x")).where("x.v IS NOT NULL").select("x.*").toPandas()
+    groups = dict(list(rows.groupby("item")["v"]))
+    return {name: np.sort(groups[i].to_numpy(float)) if i in groups else np.empty(0) for i, name in enumerate(counts)}
+
+
+def fit_many(df: DataFrame, wanted: dict[str, tuple[float, int]], trees: int = TREES, sample: int = SAMPLE) -> dict[str, tuple[AnomalySteps, int]]:
+    """The fitted steps of each column (contamination, seed) and how many rows they flag.
+
+    Three jobs whatever the number of columns: count, sample, exact counts per interval. Each column brings at most
+    about ``2 * trees * sample`` sampled values and as many interval counts to the driver.
+    """
+    names = list(wanted)
+    if not names:
+        return {}
+    row = df.agg(*[F.count(known(c, df)).alias(f"n{i}") for i, c in enumerate(names)]).first()
+    counts = {c: row[f"n{i}"] for i, c in enumerate(names)}
+    out: dict[str, tuple[AnomalySteps, int]] = {c: (AnomalySteps((), (0.0,), (False,)), 0) for c in names}
+    drawn = _samples(df, {c: n for c, n in counts.items() if n}, dict.fromkeys(names, trees * sample)) if any(counts.values()) else {}
+    grown: dict[str, AnomalySteps] = {}
+    for name, values in drawn.items():
+        if len(values):
+            edges, scores = forest_steps(values, min(sample, len(values)), wanted[name][1], trees)
+            if len(edges):
+                grown[name] = AnomalySteps(tuple(edges.tolist()), tuple(scores.tolist()), ())
+    if not grown:
+        return out
+    table = df.select(*[known(c, df).cast("double").alias(f"__v{i}") for i, c in enumerate(grown)])
+    for i, steps in enumerate(grown.values()):
+        table = steps.located(table, f"__v{i}").withColumnRenamed("interval", f"__i{i}")
+    cells = [F.when(F.col(f"__v{i}").isNotNull(), F.struct(F.lit(i).alias("item"), F.col(f"__i{i}").alias("interval"))) for i in range(len(grown))]
+    # At most one row per interval comes back: bounded by trees * sample a column, whatever the table holds.
+    counted = table.select(F.explode(F.array(*cells)).alias("x")).where("x IS NOT NULL").groupBy("x.item", "x.interval").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    for i, (name, steps) in enumerate(grown.items()):
+        mine = counted[counted["item"] == i]
+        scores, hits = np.array(steps.scores), np.zeros(len(steps.scores), dtype=np.int64)
+        hits[mine["interval"].to_numpy(dtype=int)] = mine["n"].to_numpy(dtype=np.int64)
+        flags = scores > _upper_quantile(scores, hits, wanted[name][0]) + 1e-12
+        out[name] = (AnomalySteps(steps.edges, steps.scores, tuple(flags.tolist())), int(hits[flags].sum()))
+    return out
 
 
 def _upper_quantile(scores: np.ndarray, hits: np.ndarray, share: float) -> float:

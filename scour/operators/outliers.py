@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scour.functions.columns import col, known, numeric_columns, with_columns
-from scour.functions.forest import AnomalySteps, fit_steps
+from scour.functions.forest import SAMPLE, TREES, AnomalySteps, fit_many
 from scour.functions.stats import exact_quantiles, moments
 
 FENCE = 1.5
@@ -122,9 +122,10 @@ class ForestFit:
     median: float | None
 
 
-def fit_forest(df: DataFrame, column: str, contamination: float = 0.1, seed: int = 42) -> ForestFit:
+def fit_forest(df: DataFrame, column: str, contamination: float = 0.1, seed: int = 42, trees: int = TREES, sample: int = SAMPLE) -> ForestFit:
+    """A forest of ``trees`` trees over ``sample`` values each, as published; every row is scored by it."""
     median = exact_quantiles(df, {column: [0.5]})[column][0]
-    return ForestFit(column, fit_steps(df, column, contamination, seed), median)
+    return ForestFit(column, fit_many(df, {column: (contamination, seed)}, trees, sample)[column][0], median)
 
 
 def replace_anomalies(df: DataFrame, fit: ForestFit) -> DataFrame:
@@ -139,6 +140,40 @@ def isolation_forest(df: DataFrame, column: str, contamination: float = 0.1, see
     return replace_anomalies(df, fit_forest(df, column, contamination, seed))
 
 
+def handle_outliers(df: DataFrame, wanted: dict[str, dict]) -> tuple[DataFrame, dict[str, int]]:
+    """Treat several columns, each by the method of its operation, and count the values touched.
+
+    The fits share their jobs, so their number does not grow with the columns. A column without outliers
+    outside its fences is left alone, type included.
+    """
+    forests = {c: op for c, op in wanted.items() if op.get("method") == "isolation_forest"}
+    scales = {c: op for c, op in wanted.items() if op.get("method") == "z_score_removal"}
+    clips = [c for c in wanted if c not in forests and c not in scales]
+    quartiles = exact_quantiles(df, {c: [0.25, 0.75] for c in clips} | {c: [0.5] for c in forests})
+    bounds = {c: Bounds(c, *quartiles[c]) for c in clips}
+    stats = moments(df, list(scales)) if scales else {}
+    far = {c: ZScale(c, stats[c]["mean"], stats[c]["std_pop"]) for c in scales}
+    grown = fit_many(df, {c: (op.get("contamination", 0.1), op.get("seed", 42)) for c, op in forests.items()})
+    hits = {c: n for c, (_, n) in grown.items()}
+    tests = {c: b.outside(known(c, df)) for c, b in bounds.items()} | {c: z.far(col(c).cast("double")) for c, z in far.items()}
+    if tests:
+        row = df.agg(*[F.count_if(t).alias(f"n{i}") for i, t in enumerate(tests.values())]).first()
+        hits |= {c: row[f"n{i}"] for i, c in enumerate(tests)}
+    for c, op in scales.items():
+        if op.get("mode", "nullify") != "nullify":
+            df = remove_far(df, far[c], op["mode"])
+    df = clip(df, [b for c, b in bounds.items() if hits[c]])
+    exprs = {}
+    for c, (steps, _) in grown.items():
+        v = known(c, df).cast("double")
+        if quartiles[c][0] is not None:
+            exprs[c] = F.when(steps.anomalous(v), F.lit(quartiles[c][0])).otherwise(v)
+    for c, op in scales.items():
+        if op.get("mode", "nullify") == "nullify":
+            exprs[c] = F.when(~F.coalesce(far[c].far(known(c, df)), F.lit(False)), known(c, df))
+    return with_columns(df, exprs), hits
+
+
 def outlier_report(df: DataFrame, names: Sequence[str] | None = None, k: int = 5) -> DataFrame:
     """(column, outliers, sample): columns with values outside their fences and the k smallest of them."""
     bounds = {c: b for c, b in iqr_bounds(df, names).items() if b.q1 is not None}

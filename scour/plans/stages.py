@@ -54,6 +54,7 @@ class Context:
     instructions: Mapping
     tables: Mapping[str, DataFrame]
     config: Mapping
+    filled: str | None = None  # how imputation, which treats all columns at once, ended, as long as no operation may have made NULLs since
 
 
 class Stop(Exception):
@@ -84,6 +85,7 @@ def _missing_values(df: DataFrame, target: str, op: dict, ctx: Context) -> Resul
     empty = [f.column for f in fills if f.value is None]
     note = f"; no known value in {', '.join(empty)}" if empty else ""
     status = "skipped" if empty and not done else "completed"
+    ctx.filled = status
     text_ = f"filled {', '.join(f'{f.column} ({f.method})' for f in done) or 'nothing'}{note}"
     return Result(impute.apply_fills(df, fills), status, text_, sum(f.nulls for f in done))
 
@@ -91,20 +93,44 @@ def _missing_values(df: DataFrame, target: str, op: dict, ctx: Context) -> Resul
 def _outliers(df: DataFrame, target: str, op: dict, ctx: Context) -> Result:
     _need(target in df.columns, "skipped", f"column {target} not found")
     _need(is_numeric(df, target), "skipped", f"column {target} is not numeric")
-    method = op.get("method")
-    c = F.col(f"`{target}`").cast("double")
-    if method == "isolation_forest":
-        fit = outliers.fit_forest(df, target, op.get("contamination", 0.1), op.get("seed", 42))
-        hit = df.agg(F.count_if(fit.steps.anomalous(c))).first()[0]
-        return Result(outliers.replace_anomalies(df, fit), details=f"replaced {hit} values by the median", affected=hit)
-    if method == "z_score_removal":
-        scale = outliers.fit_zscale(df, target)
-        hit = df.agg(F.count_if(scale.far(c))).first()[0]
-        return Result(outliers.remove_far(df, scale, op.get("mode", "nullify")), details=f"removed {hit} values", affected=hit)
-    bounds = outliers.iqr_bounds(df, [target])
-    hit = outliers.count_outside(df, bounds)[target][0]
-    # No outlier: the column is left alone, type included.
-    return Result(outliers.clip(df, bounds.values()) if hit else df, details=f"clipped {hit} values", affected=hit)
+    return _outlier_batch(df, [(target, op)], ctx)[-1]
+
+
+WORDS = {"isolation_forest": "replaced {} values by the median", "z_score_removal": "removed {} values"}
+
+
+def _outlier_batch(df: DataFrame, batch: list[tuple[str, dict]], ctx: Context) -> list[Result]:
+    """Outliers of several columns, fitted together, and calls of imputation that find nothing left to fill."""
+    out, hits = outliers.handle_outliers(df, {t: op for t, op in batch if op["operation"] == "handle_outliers"})
+    results = []
+    for target, op in batch:
+        if op["operation"] == "handle_outliers":
+            note = WORDS.get(op.get("method"), "clipped {} values").format(hits[target])
+            results.append(Result(out, details=note, affected=hits[target]))
+            if op.get("method") == "z_score_removal":
+                ctx.filled = None
+        else:
+            results.append(Result(out, ctx.filled or "completed", "all columns were filled before"))
+    return results
+
+
+def _batch(df: DataFrame, rest: list[tuple[str, dict]], ctx: Context) -> list[tuple[str, dict]]:
+    """The operations at the head of ``rest`` that may be fitted together: outliers of different numeric columns.
+
+    Their fits do not see each other. Imputation between them is done already; after a removal of values it is not.
+    """
+    batch: list[tuple[str, dict]] = []
+    seen: set[str] = set()
+    for target, op in rest:
+        kind = op.get("operation")
+        if kind == "handle_missing_values" and ctx.filled and not any(o.get("method") == "z_score_removal" for _, o in batch):
+            batch.append((target, op))
+        elif kind == "handle_outliers" and target in df.columns and target not in seen and is_numeric(df, target) and op.get("mode", "nullify") == "nullify":
+            batch.append((target, op))
+            seen.add(target)
+        else:
+            break
+    return batch
 
 
 def _duplicates(df: DataFrame, target: str, op: dict, ctx: Context) -> Result:
@@ -283,20 +309,38 @@ def apply_stage(
     ops_by_target = stage_map(instructions, stage)
     ctx = Context(stage, ops_by_target, tables or {}, config or {})
     log: list[Entry] = []
-    for target, ops in ops_by_target.items():
-        for op in ops if isinstance(ops, list) else []:
-            name = op.get("operation")
-            handler = OPERATIONS[stage].get(name)
-            try:
+    rest = [(target, op) for target, ops in ops_by_target.items() for op in (ops if isinstance(ops, list) else [])]
+    while rest:
+        batch = _batch(df, rest, ctx) if stage == "cleaning" else []
+        if len(batch) < 2:
+            batch = rest[:1]
+        try:
+            if len(batch) > 1:
+                results = _outlier_batch(df, batch, ctx)
+            else:
+                (target, op), name = batch[0], batch[0][1].get("operation")
+                handler = OPERATIONS[stage].get(name)
                 _need(handler is not None, "skipped", f"unknown {stage} operation {name}")
-                result = handler(df, target, op, ctx)
-                twice = sorted(n for n, k in Counter(c.lower() for c in result.df.columns).items() if k > 1)
+                results = [handler(df, target, op, ctx)]
+                twice = sorted(n for n, k in Counter(c.lower() for c in results[0].df.columns).items() if k > 1)
                 _need(not twice, "failed", f"columns of one name: {', '.join(twice)}")
-            except Stop as stop:
-                result = Result(df, stop.status, str(stop))
-            except (AnalysisException, ParseException, ValueError, KeyError, TypeError, *DATA_ERRORS) as e:
-                result = Result(df, "failed", f"{type(e).__name__}: {e}".splitlines()[0])
-            df = result.df
+        except Stop as stop:
+            results = [Result(df, stop.status, str(stop))]
+        except (AnalysisException, ParseException, ValueError, KeyError, TypeError, *DATA_ERRORS) as e:
+            if len(batch) > 1:  # find out one by one which of them it was
+                batch, results = rest[:1], [_alone(df, *rest[0], ctx)]
+            else:
+                results = [Result(df, "failed", f"{type(e).__name__}: {e}".splitlines()[0])]
+        for (target, op), result in zip(batch, results):
             plain = {k: v for k, v in op.items() if k not in ("lexicon", "table")}
-            log.append(Entry(stage, str(name), op.get("method"), _label(target, op), result.status, result.affected, result.details, plain | {"target": target}))
+            log.append(Entry(stage, str(op.get("operation")), op.get("method"), _label(target, op), result.status, result.affected, result.details, plain | {"target": target}))
+        df = results[-1].df
+        rest = rest[len(batch) :]
     return df, log
+
+
+def _alone(df: DataFrame, target: str, op: dict, ctx: Context) -> Result:
+    try:
+        return OPERATIONS["cleaning"][op["operation"]](df, target, op, ctx)
+    except (AnalysisException, ParseException, ValueError, KeyError, TypeError, *DATA_ERRORS) as e:
+        return Result(df, "failed", f"{type(e).__name__}: {e}".splitlines()[0])
