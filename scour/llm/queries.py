@@ -31,14 +31,39 @@ def op10(read):
     return df.select("doc_id", *[F.col(f"{name}.{s}") for s in [*quality.STATISTICS[:5], "base_failed", "kept", "rule"]])
 
 
-@query("op9_jaccard_join")
+OP9_SQL = r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x20\x09-\x0D]+') AS w FROM documents),
+ s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS g FROM d WHERE len(w) > 0),
+ n AS (SELECT doc_id, COUNT(*) AS n FROM s GROUP BY 1),
+ p AS (SELECT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id JOIN n nx ON nx.doc_id = x.doc_id JOIN n ny ON ny.doc_id = y.doc_id
+  GROUP BY 1, 2, nx.n, ny.n HAVING 100 * COUNT(*) >= 90 * (nx.n + ny.n - COUNT(*))),
+ e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+ r AS (SELECT doc_id AS node, doc_id AS c FROM n UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.node)
+SELECT d.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, coalesce(MIN(r.c), d.doc_id) AS component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN r ON r.node = d.doc_id GROUP BY d.doc_id"""
+
+
+@query("op9_jaccard_join", OP9_SQL)
 def op9(read):
     from scour.llm import jaccard
 
     return jaccard.jaccard_components(read("documents"), words=3, num=9, den=10)
 
 
-@query("op3_suffix_dedup")
+OP3_SQL = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+ w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, CAST(length(h) // 2 - 49 AS BIGINT))) AS p FROM d WHERE length(h) >= 100)),
+ m AS (SELECT s, MIN(doc_id) AS first FROM w GROUP BY s),
+ c AS (SELECT w.doc_id, p, p - lag(p) OVER (PARTITION BY w.doc_id ORDER BY p) AS gap FROM w JOIN m USING (s) WHERE first < w.doc_id),
+ i AS (SELECT doc_id, p, SUM(CASE WHEN gap <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM c),
+ r AS (SELECT doc_id, run, MIN(p) AS a, MAX(p) + 50 AS b FROM i GROUP BY ALL),
+ k AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM r),
+ t AS (SELECT doc_id, COUNT(*) AS n_spans, SUM(b - a) AS n_removed, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS kept, MAX(b) AS last
+  FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+ sha256(unhex(coalesce(kept || substr(h, 2 * last + 1), h))) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)"""
+
+
+@query("op3_suffix_dedup", OP3_SQL)
 def op3(read):
     from scour.llm import suffixes
 
