@@ -380,16 +380,22 @@ def run_totals(t: Tables):
 
 @query(
     "report_json",
-    "SELECT 'cleaning' AS stage, 3 AS completed, 0 AS failed, 3 AS skipped UNION ALL SELECT 'modification', 2, 0, 1 UNION ALL SELECT 'transformation', 1, 1, 0",
+    f"""{AFFECTED} SELECT 'cleaning' AS stage, 3 AS completed, 0 AS failed, 3 AS skipped, CAST(filled + clipped + removed AS BIGINT) AS affected FROM a
+ UNION ALL SELECT 'modification', 2, 0, 1, 2 UNION ALL SELECT 'transformation', 1, 1, 0, 1
+ UNION ALL SELECT 'overview', 6, 1, 4, CAST(removed AS BIGINT) FROM a""",
 )
 def report_json(t: Tables):
-    """The JSON report, written and read back: its stage summaries."""
+    """The JSON report, written and read back: its stage summaries, and its overview with the duplicates removed."""
     run = _run(t)
     path = scratch_path(t.spark, "report.json")
-    audit.write_report(path, run.recorder.frame(t.spark), audit.stage_summary(t.spark, run.log, run.checks))
-    records = t.spark.read.schema("kind string, record string").json(path).where("kind = 'stage'")
-    parsed = F.from_json("record", "stage string, completed int, failed int, skipped int")
-    return records.select(parsed.alias("r")).select("r.*")
+    summary = audit.overview(t.spark, run.log, run.checks, run.ok, run.recorder.seconds())
+    audit.write_report(path, run.recorder.frame(t.spark), audit.stage_summary(t.spark, run.log, run.checks), summary)
+    records = t.spark.read.schema("kind string, record string").json(path).where("kind <> 'activity'")
+    parsed = F.from_json("record", "stage string, completed int, failed int, skipped int, affected bigint, totals map<string,bigint>")
+    rows = records.select("kind", parsed.alias("r"))
+    return rows.select(
+        F.coalesce("r.stage", "kind").alias("stage"), "r.completed", "r.failed", "r.skipped", F.coalesce("r.affected", F.col("r.totals")["duplicates_removed"]).alias("affected")
+    )
 
 
 def _state_sql(source: str) -> str:
