@@ -2,10 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from scour.catalog.base import DIRTY_SQL, Tables, q6, query, rounded
+from scour.catalog.base import DIRTY_SQL, GAPS_SQL, HEAVY_SQL, Tables, q6, query, rounded
 from scour.catalog.series import K
 from scour.functions.stats import exact_quantiles, grouped_quantile
-from scour.operators import encode
+from scour.operators import encode, impute, outliers
 from scour.plans.runner import run_plan
 from scour.questions import happenings as hp, series as qs
 from scour.session import scratch_path
@@ -145,3 +145,31 @@ def json_array_source(t: Tables):
     rows = t.supplier.select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
     rows.agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value")).write.text(path)
     return io.read_table(t.spark, path, schema="s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double")
+
+
+@query(
+    "isolation_forest_invariants",
+    f"""{HEAVY_SQL} SELECT COUNT(*) AS n_rows, COUNT(*) - COUNT(l_extendedprice) AS nulls, {q6('quantile_cont(l_extendedprice, 0.5)')} AS replaced_by,
+ TRUE AS one_value, TRUE AS some_changed, TRUE AS at_most_a_tenth, TRUE AS largest_gone FROM g""",
+)
+def isolation_forest_invariants(t: Tables):
+    """What must hold whatever trees were drawn: rows and NULLs stay, the flagged tenth at most becomes the exact median, the largest values are among it."""
+    both = outliers.isolation_forest(t.heavy.withColumn("u", F.col("l_extendedprice")), "l_extendedprice").withColumnRenamed("l_extendedprice", "v")
+    changed = F.col("u") != F.col("v")
+    out = both.agg(
+        F.count("*").alias("n_rows"), F.count_if(F.col("v").isNull()).alias("nulls"), F.min(F.when(changed, F.col("v"))).alias("replaced_by"),
+        (F.min(F.when(changed, F.col("v"))) == F.max(F.when(changed, F.col("v")))).alias("one_value"), (F.count_if(changed) > 0).alias("some_changed"),
+        (F.count_if(changed) <= F.ceil(F.count("u") * 0.1)).alias("at_most_a_tenth"), (F.max("v") < F.max("u")).alias("largest_gone"),
+    )
+    return rounded(out, "replaced_by")
+
+
+@query("impute_median_sketch_rank", f"{GAPS_SQL} SELECT COUNT(*) - COUNT(l_extendedprice) AS filled, TRUE AS one_value, TRUE AS near_the_middle FROM g")
+def impute_median_sketch_rank(t: Tables):
+    """The sketch fills one existing value whose rank is within 0.1 % of the middle."""
+    both = impute.impute(t.gaps.withColumn("u", F.col("l_extendedprice")), "l_extendedprice", "median", exact=False).withColumnRenamed("l_extendedprice", "v")
+    filled = F.col("u").isNull() & F.col("v").isNotNull()
+    found = both.agg(F.count_if(filled).alias("filled"), F.min(F.when(filled, F.col("v"))).alias("lo"), F.max(F.when(filled, F.col("v"))).alias("hi")).first()
+    ranks = both.agg(F.count_if(F.col("u") < found.lo).alias("below"), F.count_if(F.col("u") <= found.lo).alias("upto"), F.count("u").alias("n"))
+    near = (F.col("below") <= F.col("n") * 0.501) & (F.col("upto") >= F.col("n") * 0.499)
+    return ranks.select(F.lit(found.filled).alias("filled"), F.lit(found.lo == found.hi).alias("one_value"), near.alias("near_the_middle"))
