@@ -48,7 +48,7 @@ PLURAL = "SELECT p_partkey, concat(p_name, 's and ', split_part(p_name, ' ', 1),
 def text_lemmatize(t: Tables):
     """Plural part names, with the nouns of the part table as lexicon."""
     nouns = t.part.select(F.element_at(F.split("p_name", " "), -1).alias("form")).distinct()
-    lexicon = text.read_lexicon(nouns.select("form", F.col("form").alias("lemma"))) | {"box": "box"}
+    lexicon = nouns.select("form", F.col("form").alias("lemma")).unionByName(t.part.limit(1).select(F.lit("box").alias("form"), F.lit("box").alias("lemma")))
     plural = t.part.selectExpr("p_partkey", "concat(p_name, 's and ', split_part(p_name, ' ', 1), ' boxes') AS text")
     return text.process_text(plural, "text", "lemmatize", lexicon=lexicon).select("p_partkey", "text_lemmatize")
 

@@ -11,11 +11,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from scour.functions.columns import SPACE_CLASS, col, trimmed, with_columns
 from scour.functions.words import STOPWORDS, contractions
+from scour.session import cut_lineage
 
 # Letters, digits and underscore in any script, plus white space.
 PUNCTUATION = rf"[^\p{{L}}\p{{N}}_{SPACE_CLASS}]"
 PIECES = r"([\p{L}\p{N}_'’]+|[^\p{L}\p{N}_'’]+)"
-LEXICON_LIMIT = 1_000_000
 
 # Noun endings and what replaces them.
 NOUN_ENDINGS = [
@@ -67,9 +67,7 @@ def lemma_of(word: str, lexicon: Mapping[str, str]) -> str:
 
 
 def lemmatise(c: Column, lexicon: Mapping[str, str]) -> Column:
-    """Case-sensitive noun lemmas, word by word; ``lexicon`` maps forms to lemmas (a lemma maps to itself)."""
-    if len(lexicon) > LEXICON_LIMIT:
-        raise ValueError(f"lexicon holds more than {LEXICON_LIMIT} forms")
+    """Case-sensitive noun lemmas, word by word; ``lexicon`` maps forms to lemmas (a lemma maps to itself) and travels with the tasks."""
     table = dict(lexicon)
 
     @F.pandas_udf("string")
@@ -80,12 +78,28 @@ def lemmatise(c: Column, lexicon: Mapping[str, str]) -> Column:
     return lemmas(c)
 
 
-def read_lexicon(table: DataFrame, form: str = "form", lemma: str = "lemma") -> dict[str, str]:
-    """A lexicon table as a driver dictionary, after checking its size."""
-    rows = table.select(col(form), col(lemma)).limit(LEXICON_LIMIT + 1).collect()
-    if len(rows) > LEXICON_LIMIT:
-        raise ValueError(f"lexicon holds more than {LEXICON_LIMIT} forms")
-    return {r[0]: r[1] for r in rows}
+def lemma_table(words: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(word, lemma) for the distinct ``words`` that have another lemma than themselves, by joins with ``lexicon`` (form, lemma)."""
+    word = F.col("word")
+    stems = [F.when(word.endswith(end), F.concat(F.expr(f"left(word, length(word) - {len(end)})"), F.lit(new))) for end, new in NOUN_ENDINGS]
+    tries = words.select("word", F.explode(F.array_distinct(F.array_compact(F.array(word, *stems)))).alias("form"))
+    found = tries.join(lexicon.dropDuplicates(["form"]), "form")
+    own = F.col("form") == word
+    # The form itself, else the shortest stem that is a lemma.
+    found = found.where(own | (F.col("form") == F.col("lemma")))
+    best = found.groupBy("word").agg(F.min_by("lemma", F.struct((~own).alias("stem"), F.length("form").alias("size"), F.col("form").alias("form"))).alias("lemma"))
+    return best.where("lemma <> word")
+
+
+def lemmatised(df: DataFrame, column: str, lexicon: DataFrame, name: str) -> DataFrame:
+    """``lemmatise`` with a lexicon of any size: the distinct words are looked up by joins, and only words that change are mapped back."""
+    rows = cut_lineage(df.withColumn("__row", F.monotonically_increasing_id()))
+    placed = rows.where(col(column).isNotNull()).select("__row", F.posexplode(words(col(column))).alias("place", "word"))
+    changed = lemma_table(placed.select("word").distinct(), lexicon)
+    mapped = placed.join(changed, "word", "left").select("__row", F.struct("place", F.coalesce("lemma", "word").alias("word")).alias("w"))
+    texts = mapped.groupBy("__row").agg(F.array_join(F.sort_array(F.collect_list("w")).getField("word"), " ").alias("__text"))
+    joined = rows.join(texts, "__row", "left")
+    return with_columns(joined, {name: F.col("__text")}).drop("__row", "__text")
 
 
 def remove_accents(c: Column) -> Column:
@@ -110,7 +124,9 @@ METHODS: dict[str, Callable[..., Column]] = {
 
 
 def process_text(df: DataFrame, column: str, method: str, name: str | None = None, **options) -> DataFrame:
-    """Apply one text method into ``{column}_{method}``."""
+    """Apply one text method into ``{column}_{method}``. The lexicon of ``lemmatize`` is a mapping, or a table (form, lemma) of any size."""
     if method not in METHODS:
         raise ValueError(f"unknown text method {method!r}")
+    if method == "lemmatize" and isinstance(options.get("lexicon"), DataFrame):
+        return lemmatised(df, column, options["lexicon"], name or f"{column}_{method}")
     return with_columns(df, {name or f"{column}_{method}": METHODS[method](col(column), **options)})

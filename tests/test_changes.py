@@ -208,3 +208,13 @@ def test_declared_types(frame):
 def test_compact_types(frame):
     df = frame([(1, 300, 2**40, 0.5), (None, -5, 7, 1.5)], "a long, b long, c long, d double")
     assert dict(schema.compact_types(df, floats=True).dtypes) == {"a": "tinyint", "b": "smallint", "c": "bigint", "d": "float"}
+
+
+def test_lemmas_by_join_equal_lemmas_by_word(spark, frame):
+    lexicon = {"box": "box", "wolf": "wolf", "wolves": "wolf", "glass": "glass", "bus": "bus", "buse": "buse", "city": "city", "men": "men", "ox": "ox", "oxen": "ox"}
+    texts = ["boxes wolves wolfs glasses", "  buses cities  oxen ", "unknowns men mens boxs", "", None, "glass box", "boxes"]
+    df = frame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    table = spark.createDataFrame(list(lexicon.items()), "form string, lemma string")
+    by_word, by_join = (text.process_text(df, "t", "lemmatize", lexicon=x) for x in (lexicon, table))
+    assert by_join.columns == by_word.columns
+    assert sorted(by_join.collect(), key=lambda r: r.i) == sorted(by_word.collect(), key=lambda r: r.i)
