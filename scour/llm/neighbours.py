@@ -10,8 +10,8 @@ two codes differ in at most r bits, some substring differs in at most r / substr
 values within that distance in every table finds every code within r. The radius grows table by
 table until ``candidates`` codes lie within it; those are ranked by the double-precision inner product of the original vectors.
 
-*Spreading.* All rows are indexed, in tiles of ``tile_rows`` rows, each searched in a task of its own for a tile
-of queries; the best of each tile meet at the query, cut to the wanted number before the shuffle. Equal vectors are
+*Spreading.* All rows are indexed, in tiles of ``tile_bytes`` of vectors, each searched in a task of its own for a tile
+of ``query_rows`` queries; the best of each tile meet at the query, cut to the wanted number before the shuffle. Equal vectors are
 indexed once, with their smallest ids, as many as can be wanted, so a vector that a third of all rows share is one row.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite numbers take no part, nor do
@@ -77,28 +77,34 @@ class Tables:
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes
-        self.order = np.argsort(codes, axis=0, kind="stable")
-        self.starts = np.array([np.searchsorted(codes[self.order[:, j], j], np.arange(257)) for j in range(codes.shape[1])])
+        self.columns = np.ascontiguousarray(codes.T)
+        self.words = np.ascontiguousarray(np.pad(codes, ((0, 0), (0, -codes.shape[1] % 8)))).view(np.uint64)
+        self.order = np.argsort(self.columns, axis=1, kind="stable")
+        self.starts = np.array([np.searchsorted(c[o], np.arange(257)) for c, o in zip(self.columns, self.order, strict=True)])
 
-    def within(self, code: np.ndarray, reach: int) -> np.ndarray:
-        """Rows of which some substring lies within ``reach`` bits of the query's."""
+    def ring(self, code: np.ndarray, reach: int) -> np.ndarray:
+        """Which rows have some substring exactly ``reach`` bits from the query's: few values are looked up, many are marked in one pass."""
         found = np.zeros(len(self.codes), bool)
         for j, value in enumerate(code.tolist()):
-            for v in np.flatnonzero(DISTANCE[value] <= reach).tolist():
-                found[self.order[self.starts[j, v] : self.starts[j, v + 1], j]] = True
-        return np.flatnonzero(found)
+            near = DISTANCE[value] == reach
+            if reach < 2:
+                for v in np.flatnonzero(near).tolist():
+                    found[self.order[j, self.starts[j, v] : self.starts[j, v + 1]]] = True
+            else:
+                found |= near[self.columns[j]]
+        return found
 
     def nearest_codes(self, code: np.ndarray, wanted: int) -> np.ndarray:
         """All rows within the smallest radius that holds ``wanted`` of them, or all rows."""
-        parts = self.codes.shape[1]
+        parts, wanted = self.codes.shape[1], min(wanted, len(self.codes))
+        word = np.pad(code, (0, -parts % 8)).view(np.uint64)
+        distance = np.full(len(self.codes), 8 * parts + 1, np.int16)
         for reach in range(CHUNK + 1):
-            rows = self.within(code, reach)
+            rows = np.flatnonzero(self.ring(code, reach) & (distance > 8 * parts))
+            distance[rows] = np.bitwise_count(self.words[rows] ^ word).sum(axis=1)
             # Everything up to this radius has been found, by the pigeonhole principle.
-            radius = parts * (reach + 1) - 1
-            distance = np.bitwise_count(self.codes[rows] ^ code).sum(axis=1)
-            if (distance <= radius).sum() >= min(wanted, len(self.codes)):
-                cut = np.partition(distance, min(wanted, len(rows)) - 1)[min(wanted, len(rows)) - 1]
-                return rows[distance <= cut]
+            if (distance < parts * (reach + 1)).sum() >= wanted:
+                return np.flatnonzero(distance <= np.partition(distance, wanted - 1)[wanted - 1])
         return np.arange(len(self.codes))
 
 
@@ -118,7 +124,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 def nearest(
     vectors: DataFrame, queries: DataFrame, k: int = 20, bits: int = 256, candidates: int = 1000, sample_rows: int = 4096,
-    tile_rows: int = 16_384, vec_id: str = "vec_id", embedding: str = "embedding",
+    tile_bytes: int = 32_000_000, query_rows: int = 2048, vec_id: str = "vec_id", embedding: str = "embedding",
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of ``queries`` its k nearest rows of ``vectors`` with other ids."""
     rows = cut_lineage(usable(vectors, vec_id, embedding))
@@ -132,8 +138,8 @@ def nearest(
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = np.array([r.x for r in index.orderBy(F.xxhash64("x"), "x").limit(sample_rows).select("x").collect()])
     codes = learn(sample, head.longest, bits)
-    tiles = int(head.n // tile_rows) + 1
-    query_tiles = int(asked.count() // tile_rows) + 1
+    tiles = int(head.n * sample.shape[1] * 8 // tile_bytes) + 1
+    query_tiles = int(asked.count() // query_rows) + 1
 
     def encoded(query: bool, name: str):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

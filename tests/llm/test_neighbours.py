@@ -53,7 +53,7 @@ def test_hot_vector_and_tiles(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [1.0, 2.0, 3.0, 4.0]) for i in range(100)] + [(i, rng.standard_normal(4).tolist()) for i in range(100, 300)]
     df = spark.createDataFrame(rows, SCHEMA)
-    found = collected(neighbours.nearest(df, df.where("vec_id % 7 = 0"), k=5, candidates=10**6, tile_rows=40))
+    found = collected(neighbours.nearest(df, df.where("vec_id % 7 = 0"), k=5, candidates=10**6, tile_bytes=1280, query_rows=10))
     want = brute(rows, {i for i in range(300) if i % 7 == 0}, 5)
     assert {q: [j for j, _ in v] for q, v in found.items()} == {q: [j for j, _ in v] for q, v in want.items()}
 
@@ -74,7 +74,10 @@ def test_tables_find_all_within_a_radius():
     tables = neighbours.Tables(codes)
     for code in codes[:20]:
         distance = np.bitwise_count(codes ^ code).sum(axis=1)
-        for reach in range(3):
-            assert set(np.flatnonzero(distance < 4 * (reach + 1))) <= set(tables.within(code, reach))
-        near = tables.nearest_codes(code, 50)
-        assert len(near) >= 50 and set(near) == set(np.flatnonzero(distance <= distance[near].max()))
+        found = np.zeros(len(codes), bool)
+        for reach in range(9):
+            found |= tables.ring(code, reach)
+            assert found[distance < 4 * (reach + 1)].all()
+        for wanted in (1, 50, 500, 9999):
+            near = tables.nearest_codes(code, wanted)
+            assert len(near) >= min(wanted, 500) and set(near) == set(np.flatnonzero(distance <= distance[near].max()))
