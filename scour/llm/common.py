@@ -34,6 +34,14 @@ def encoded(column: pa.Array) -> list[bytes]:
     return [b or b"" for b in column.cast(pa.binary()).to_pylist()]
 
 
+def if_small(ids: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """Marked for broadcast if a count shows at most ``rows`` rows of a few numbers each (some 30 MB); else joined by shuffle.
+
+    ``ids`` should be a written table, which is cheap to count.
+    """
+    return F.broadcast(ids) if ids.limit(rows + 1).count() <= rows else ids
+
+
 def worker_cache(key: object, build: Callable[[], object]) -> object:
     """An object that a Python worker keeps between tasks. Functions travel by value, so their module's globals do not last."""
     home = sys.modules.setdefault("scour_worker_cache", types.ModuleType("scour_worker_cache"))

@@ -6,8 +6,9 @@ Two sets of sizes a and b link when they share at least ``overlap(a, b)`` shingl
 Equal subsets prove a link, so nothing is left to verify.
 
 *Large sets* are counted against inverted lists. Sets that may link are first brought together: a set of a
-size class is dealt by hash into three parts more than two linked sets of the class can differ in, so linked
-sets agree on three parts or more, and sets that agree on a part belong to one family. Inside a family the
+size class is dealt by hash into ``SPARE`` parts more than two linked sets of the class can differ in, so linked
+sets agree on so many parts or more. Sets that agree on few parts with all others together are dropped, and sets
+that still agree on a part belong to one family. Inside a family the
 lists run from each shingle to the sets that hold it; scanning the lists of one set counts its overlap with
 all others at once. Scanning stops as soon as the family is connected. A family too large for one task is
 cut into tiles that meet two at a time in tasks of their own.
@@ -36,11 +37,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from scour.llm.common import Forest, WordHashes, components, encoded, mixed, shingle_hashes, texts_of, worker_cache
-from scour.session import cut_lineage
+from scour.llm.common import Forest, WordHashes, components, encoded, if_small, mixed, shingle_hashes, texts_of, worker_cache
+from scour.session import copied, cut_lineage, discard
 
 LIST_COST = 4
-SPARE = 3
+# Linked sets agree on this many parts; at most SPARE - KEEP of them are empty and not listed.
+SPARE = 9
+KEEP = 5
+PRUNINGS = 3
 TILE_SHINGLES = 1_000_000
 
 
@@ -113,8 +117,8 @@ def list_keys(shingles: np.ndarray, like: Likeness, boundary: int) -> np.ndarray
         present, starts = np.unique(part[order], return_index=True)
         sums = np.zeros(parts, np.uint64)
         sums[present] = np.add.reduceat(mixed(shingles, 7)[order], starts)
-        # Three parts agree at least. With two empty ones at most, one that agrees has shingles.
-        named = np.arange(parts) if parts - len(present) >= SPARE else present
+        # SPARE parts agree at least. Without the empty ones, if these are few, KEEP that have shingles do.
+        named = np.arange(parts) if parts - len(present) > SPARE - KEEP else present
         out.append(mixed(sums[named] + mixed((np.uint64(klass) << np.uint64(32)) + named.astype(np.uint64), 11), 13))
     return np.concatenate(out).view(np.int64)
 
@@ -166,54 +170,37 @@ def signed_sets(docs: DataFrame, like: Likeness) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, list_keys array<long>, subset_keys array<long>")
 
 
-def _stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tie the nodes of each run of equal keys to the first of the run.
+def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of runs of equal keys with two nodes or more; rows come sorted by (key, node).
 
-    The rows come sorted by (key, node). A run may go on in the next partition, so the first and the last run of
-    a partition are also returned with their key, to be tied across partitions. At most 200,000 nodes are held.
+    A run may go on in the next partition or batch, so the first and the last run of a batch are always returned.
     """
-    forest = Forest()
-    first: tuple[int, int] | None = None
-    last: tuple[int, int] | None = None
-
-    def flush() -> pa.RecordBatch:
-        a, b = forest.edges()
-        forest.parent.clear()
-        return _edge_rows(a, b, [None] * len(a))
-
     for batch in batches:
         key, node = (batch.column(i).to_numpy() for i in range(2))
-        if not len(key):
-            continue
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        heads = node[starts].copy()
-        if last is not None and last[0] == key[0]:
-            heads[0] = last[1]
-        head = np.repeat(heads, np.diff(np.r_[starts, len(key)]))
-        if first is None:
-            first = (int(key[0]), int(head[0]))
-        last = (int(key[-1]), int(head[-1]))
-        tied = head != node
-        for a, b in zip(node[tied].tolist(), head[tied].tolist(), strict=True):
-            forest.union(a, b)
-        if len(forest.parent) > 200_000:
-            yield flush()
-    yield flush()
-    ends = sorted({x for x in (first, last) if x is not None})
-    yield _edge_rows([x[1] for x in ends], [x[1] for x in ends], [x[0] for x in ends])
-
-
-def _edge_rows(a: list[int], b: list[int], key: list[int | None]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(key, pa.int64())], ["a", "b", "key"])
+        if len(key):
+            starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            ends = np.append(starts[1:], len(key)) - 1
+            kept = node[starts] != node[ends]
+            kept[[0, -1]] = True
+            rows = np.repeat(kept, ends - starts + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(node[rows])], ["key", "node"])
 
 
 def family_edges(sets: DataFrame) -> DataFrame:
-    """(a, b): edges that connect all documents sharing a list key. Ranges of (key, node) split hot keys."""
+    """(a, b): edges that connect documents sharing a list key, of which each shares ``KEEP`` keys at least.
+
+    Linked sets do, so dropping the others, again as long as that takes others with it, loses no link. Ranges
+    of (key, node) split hot keys, and only keys that two documents have go further.
+    """
     rows = sets.where("doc_id IS NOT NULL").select(F.explode("list_keys").alias("key"), F.col("doc_id").alias("node"))
-    found = cut_lineage(rows.repartitionByRange("key", "node").sortWithinPartitions("key", "node").mapInArrow(_stars, "a long, b long, key long"))
-    ends = found.where("key IS NOT NULL")
-    least = ends.groupBy("key").agg(F.min("a").alias("m"))
-    return found.where("key IS NULL").select("a", "b").union(ends.join(least, "key").where("a <> m").select("a", "m"))
+    rows = cut_lineage(rows.repartitionByRange("key", "node").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long"))
+    for _ in range(PRUNINGS):
+        several = rows.groupBy("key").agg(F.min("node").alias("m"), F.max("node").alias("x")).where("m < x").select("key")
+        rows = rows.join(several, "key")
+        strong = rows.groupBy("node").agg(F.count("*").alias("keys")).where(F.col("keys") >= KEEP).select("node")
+        rows = cut_lineage(rows.join(if_small(cut_lineage(strong)), "node"))
+    least = rows.groupBy("key").agg(F.min("node").alias("m"))
+    return rows.join(least, "key").where("node <> m").select(F.col("node").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def subset_edges(sets: DataFrame) -> DataFrame:
@@ -262,8 +249,8 @@ def verified(docs: DataFrame, families: DataFrame, like: Likeness) -> DataFrame:
     """(a, b): links among the members (node, component, n) of each family, enough to connect what is connected."""
     sizes = families.groupBy("component").agg(F.count("*").alias("members"), F.sum("n").alias("load")).where("members > 1")
     tiles = F.ceil(F.col("load") / TILE_SHINGLES).cast("int")
-    members = families.join(sizes.select("component", tiles.alias("tiles"), "load"), "component")
-    total = sizes.agg(F.sum("load")).first()[0] or 0
+    members = cut_lineage(families.join(sizes, "component").select(F.col("node").alias("doc_id"), "component", tiles.alias("tiles"), "n"))
+    total = members.agg(F.sum("n")).first()[0] or 0
     buckets = int(total // TILE_SHINGLES) + 1
 
     def collect(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +260,7 @@ def verified(docs: DataFrame, families: DataFrame, like: Likeness) -> DataFrame:
                 sets = [shingle_set(t, like.words, hashes).tobytes() for t in encoded(part.column("text"))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("component"), part.column("tiles"), pa.array(sets, pa.binary())], ["node", "component", "tiles", "shingles"])
 
-    fetched = docs.join(members.select(F.col("node").alias("doc_id"), "component", "tiles"), "doc_id").select("doc_id", "component", "tiles", "text")
+    fetched = docs.join(if_small(members.drop("n")), "doc_id").select("doc_id", "component", "tiles", "text")
     sets = fetched.mapInArrow(collect, "node long, component long, tiles int, shingles binary")
     tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     # Small families share tasks; each tile of a large one meets every other tile, and itself.
@@ -303,16 +290,20 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     """(doc_id, n_shingles, component_id) of every row of ``docs``; documents are connected by links of similarity >= num / den."""
     like = Likeness(words, num, den)
     docs = texts_of(docs, doc_id, text)
-    sets = cut_lineage(signed_sets(docs, like))
+    keyed, keys = copied(signed_sets(docs, like))
+    sets = cut_lineage(keyed.drop("list_keys", "subset_keys"))
     usable = sets.where("doc_id IS NOT NULL AND n > 0").select("doc_id", "n", "s1", "s2")
     classes = usable.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
     copies = cut_lineage(usable.join(classes, ["n", "s1", "s2"]).where("doc_id <> rep").select("doc_id", "n", "s1", "s2", "rep").distinct())
     # Of copies one speaks for all.
-    single = sets.join(copies.drop("rep"), ["doc_id", "n", "s1", "s2"], "left_anti")
-    families = components(family_edges(single))
+    single = keyed.join(if_small(copies.drop("rep")), ["doc_id", "n", "s1", "s2"], "left_anti")
+    exact = cut_lineage(subset_edges(single))
+    shared = family_edges(single)
+    discard(docs.sparkSession, keys)  # the largest table; all that is needed of it has been written
+    families = components(shared)
     members = families.join(usable.groupBy(F.col("doc_id").alias("node")).agg(F.max("n").alias("n")), "node")
     links = verified(docs, members, like)
-    joined = components(links.unionByName(subset_edges(single)).unionByName(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
+    joined = components(links.unionByName(exact).unionByName(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
     return (
         sets.select("doc_id", F.col("n").alias("n_shingles"))
         .join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
@@ -322,5 +313,5 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
 
 def first_of_each(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """The documents whose id is the smallest of their component; rows with a null id stay."""
-    kept = jaccard_components(docs, words, num, den).where("component_id = doc_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left").where("_kept IS NOT NULL OR doc_id IS NULL").select(*[F.col(f"`{c}`") for c in docs.columns])
+    later = cut_lineage(jaccard_components(docs, words, num, den).where("component_id <> doc_id").select(F.col("doc_id").alias("_later")).distinct())
+    return docs.join(if_small(later), F.col("doc_id").cast("long") == F.col("_later"), "left_anti")
