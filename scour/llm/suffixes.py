@@ -35,7 +35,7 @@ from scour.session import cut_lineage
 GRAM = 16
 MATCH = 50
 LAST_ID = 2**63 - 1
-SAMPLE_BYTES = 8_000_000
+SAMPLE_SUFFIXES = 100_000
 BLOCK_BYTES = 8_000_000
 SORT_WINDOWS = 4_000_000
 
@@ -61,8 +61,9 @@ def anchors(text: bytes, match: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     if step < width:
         low = np.minimum(low[: len(low) - (width - step)], low[width - step :])
     at = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    last = np.r_[first[1:], len(at)] - 1
+    change = np.flatnonzero(at[1:] != at[:-1]) + 1
+    first = np.concatenate((np.zeros(1, np.int64), change))
+    last = np.concatenate((change - 1, [len(at) - 1]))
     return at[first], first, last, x[at[first]]
 
 
@@ -162,8 +163,9 @@ def _sorted_by_bucket(found: dict[tuple[int, bytes], list[int]], splitters: np.n
     return [keys[i] for i in order.tolist()], bucket[order]
 
 
-def _lowest_ids(stretches: list[tuple[int, bytes]], low: np.ndarray, many: np.ndarray, match: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each stretch with windows that two documents have: its index and, of each window, the smallest id or -1."""
+def _lowest_ids(stretches: list[tuple[int, bytes]], low: np.ndarray, many: np.ndarray, match: int) -> np.ndarray:
+    """Runs of windows that two documents have: rows of (stretch, first window, last window, smallest id), by stretch."""
+    out = [np.empty((4, 0), np.int64)]
     lead = np.array([text[at : at + GRAM] for at, text in stretches], f"S{GRAM}")
     order = np.argsort(lead, kind="stable")
     sizes = np.array([len(stretches[i][1]) - match + 1 for i in order.tolist()])
@@ -185,8 +187,14 @@ def _lowest_ids(stretches: list[tuple[int, bytes]], low: np.ndarray, many: np.nd
             edges = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
             least = np.minimum.reduceat(low[rows][owner[index]], edges)
             lowest[index] = np.repeat(least, np.diff(np.r_[edges, len(group)]))
-        for i in np.unique(owner[lowest >= 0]).tolist():
-            yield int(rows[i]), lowest[ends[i] - count[i] : ends[i]]
+        edges = np.flatnonzero(np.concatenate(([True], (lowest[1:] != lowest[:-1]) | (owner[1:] != owner[:-1]))))
+        stops = np.append(edges[1:], len(lowest)) - 1
+        real = lowest[edges] >= 0
+        edges, stops = edges[real], stops[real]
+        base = (ends - count)[owner[edges]]
+        out.append(np.array([rows[owner[edges]], edges - base, stops - base, lowest[edges]]))
+    runs = np.concatenate(out, axis=1)
+    return runs[:, np.argsort(runs[0], kind="stable")]
 
 
 def repeated_spans(docs: DataFrame, match: int = MATCH, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, str]:
@@ -201,7 +209,7 @@ def repeated_spans(docs: DataFrame, match: int = MATCH, doc_id: str = "doc_id",
     blocks = int(total // size) + 1
     asking = max(1, blocks // 4)
     splitters = _splitters(docs, total, 2 * blocks, match, text)
-    shared_splitters = spark.sparkContext.broadcast(splitters)  # at most 512 of 16 bytes for each TB; see README
+    shared_splitters = spark.sparkContext.broadcast(splitters)  # two a block, of 16 bytes each: 25 MB at 100 TB
     ids = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LAST_ID))
     dealt = docs.withColumn(order, ids).withColumn(block, F.pmod(F.xxhash64(order, F.octet_length(F.col(f"`{text}`"))), F.lit(blocks)).cast("int"))
 
@@ -270,22 +278,18 @@ def repeated_spans(docs: DataFrame, match: int = MATCH, doc_id: str = "doc_id",
             places.append(mine)
             lows.append(least)
             manys.append(several)
-        runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for k, lowest in _lowest_ids(list(index), np.array(low, np.int64), np.array(many), match):
-            edges = np.flatnonzero(np.r_[True, lowest[1:] != lowest[:-1]])
-            ends = np.r_[edges[1:], len(lowest)] - 1
-            real = lowest[edges] >= 0
-            runs[k] = (edges[real], ends[real], lowest[edges][real])
+        owner, begin, end, least_id = _lowest_ids(list(index), np.array(low, np.int64), np.array(many), match)
+        first = np.searchsorted(owner, np.arange(len(low) + 1))
         rows = []
         for mine, least, several in zip(places, lows, manys, strict=True):
-            sent: list[list[np.ndarray]] = [[], [], [], []]
-            for j, k in enumerate(mine):
-                if k in runs:
-                    begin, end, least_id = runs[k]
-                    useful = least_id < least[j] if not several[j] else least_id <= least[j]
-                    for where, what in zip(sent, (np.full(len(begin), j), begin, end, least_id), strict=True):
-                        where.append(what[useful])
-            rows.append(_pack(*[np.concatenate([*s, np.empty(0, np.int64)]).astype(np.int64) for s in sent]))
+            k = np.array(mine, np.int64)
+            count = first[k + 1] - first[k]
+            j = np.repeat(np.arange(len(k)), count)
+            run = np.arange(len(j)) + np.repeat(first[k] - np.cumsum(count) + count, count)
+            # Only documents behind the smallest one lose anything.
+            useful = (least_id[run] < least[j]) | several[j] & (least_id[run] == least[j])
+            j, run = j[useful], run[useful]
+            rows.append(_pack(j, begin[run], end[run], least_id[run]))
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "sorted": pa.array([True] * len(rows)), "payload": pa.array(rows, pa.binary())})
 
     sent = dealt.groupBy(block).cogroup(seen.groupBy("block")).applyInArrow(send, "bucket int, block int, payload binary")
@@ -333,19 +337,17 @@ def repeated_spans(docs: DataFrame, match: int = MATCH, doc_id: str = "doc_id",
 
 
 def _splitters(docs: DataFrame, total: int, buckets: int, match: int, text: str) -> np.ndarray:
-    """Quantiles of the leading bytes of suffixes, from a random sample of about ``SAMPLE_BYTES`` of text."""
+    """Quantiles of the leading bytes of a random sample of suffixes, at least four for each bucket."""
 
     def leads(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for t in encoded(batch.column(0)):
-                at, _, _, hashes = anchors(t, match)
-                found += [t[a : a + GRAM] for a in at[hashes % np.uint64(16) == 0].tolist()]
+            found = [t[a : a + GRAM] for t in encoded(batch.column(0)) for a in anchors(t, match)[0].tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["lead"])
 
-    sample = docs.select(text) if total <= SAMPLE_BYTES else docs.select(text).sample(SAMPLE_BYTES / total, seed=1)
-    found = sorted(r.lead for r in sample.mapInArrow(leads, "lead binary").collect())
-    return np.unique(np.array([found[i * len(found) // buckets] for i in range(1, buckets)] if found else [], f"S{GRAM}"))
+    share = max(SAMPLE_SUFFIXES, 4 * buckets) * (match - GRAM) // 2 / max(total, 1)
+    sample = docs.select(F.col(f"`{text}`")) if share >= 1 else docs.select(F.col(f"`{text}`")).sample(share, seed=1)
+    found = np.sort(np.array(sample.mapInArrow(leads, "lead binary").toArrow().column(0).to_pylist(), f"S{GRAM}"))
+    return np.unique(found[np.arange(1, buckets) * len(found) // buckets]) if len(found) else found
 
 
 def without_repeats(docs: DataFrame, match: int = MATCH) -> DataFrame:
