@@ -5,19 +5,17 @@ Two sets of sizes a and b link when they share at least ``overlap(a, b)`` shingl
 *Small sets* enumerate all their subsets of that fixed size, one group of subsets for each partner size.
 Equal subsets prove a link, so nothing is left to verify.
 
-*Large sets* are counted against inverted lists. Sets that may link are first brought together: a set of a
-size class is dealt by hash into ``SPARE`` parts more than two linked sets of the class can differ in, so linked
-sets agree on so many parts or more. Sets that agree on few parts with all others together are dropped, and sets
-that still agree on a part belong to one family. Inside a family the
-lists run from each shingle to the sets that hold it; scanning the lists of one set counts its overlap with
-all others at once. Scanning stops as soon as the family is connected. A family too large for one task is
-cut into tiles that meet two at a time in tasks of their own.
+*Large sets* are counted against inverted lists. A set of a size class is dealt by hash into ``SPARE`` parts more
+than two linked sets of the class can differ in, so linked sets agree on so many parts or more. A list holds the sets
+that agree on one part; scanning the lists counts on how many parts two sets agree, and pairs that agree on ``KEEP``
+or more are verified on their shingles. A first scan counts each set against the smallest set of each list only, and
+what it links is a cluster; the second counts pairs of different clusters.
 
 The *boundary* is the largest size up to which enumerating is the cheaper of the two, by the number of rows a
 set emits, a list row counting ``LIST_COST`` times since it must be verified.
 
-Copies meet as one representative, and no group is expanded into pairs: members of a group are tied to its
-smallest, and tasks return spanning forests.
+Copies meet as one representative, and members of a group are tied to its smallest; pairs are made only between
+clusters that share a list.
 
 Defined results: texts that are null, empty or without words have no shingles and link with nothing; texts
 with fewer words than a shingle have one shingle, all their words. Rows that share an id are one document for
@@ -37,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from scour.llm.common import Forest, WordHashes, components, encoded, if_small, mixed, shingle_hashes, texts_of, worker_cache
+from scour.llm.common import WordHashes, components, encoded, if_small, mixed, shingle_hashes, texts_of, worker_cache
 from scour.session import copied, cut_lineage, discard
 
 LIST_COST = 4
@@ -45,7 +43,7 @@ LIST_COST = 4
 SPARE = 9
 KEEP = 5
 PRUNINGS = 3
-TILE_SHINGLES = 1_000_000
+PARTNERS = 500
 
 
 @dataclass(frozen=True)
@@ -186,10 +184,10 @@ def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(node[rows])], ["key", "node"])
 
 
-def family_edges(sets: DataFrame) -> DataFrame:
-    """(a, b): edges that connect documents sharing a list key, of which each shares ``KEEP`` keys at least.
+def listed(sets: DataFrame) -> DataFrame:
+    """(key, node): the inverted lists with two documents or more, of documents that stand in ``KEEP`` of them at least.
 
-    Linked sets do, so dropping the others, again as long as that takes others with it, loses no link. Ranges
+    Linked sets do, so dropping the others, again as that takes others with it, loses no link. Ranges
     of (key, node) split hot keys, and only keys that two documents have go further.
     """
     rows = sets.where("doc_id IS NOT NULL").select(F.explode("list_keys").alias("key"), F.col("doc_id").alias("node"))
@@ -199,8 +197,56 @@ def family_edges(sets: DataFrame) -> DataFrame:
         rows = rows.join(several, "key")
         strong = rows.groupBy("node").agg(F.count("*").alias("keys")).where(F.col("keys") >= KEEP).select("node")
         rows = cut_lineage(rows.join(if_small(cut_lineage(strong)), "node"))
-    least = rows.groupBy("key").agg(F.min("node").alias("m"))
-    return rows.join(least, "key").where("node <> m").select(F.col("node").alias("a"), F.col("m").alias("b")).distinct()
+    return rows
+
+
+def list_links(docs: DataFrame, rows: DataFrame, like: Likeness) -> DataFrame:
+    """(a, b): links, enough to connect what is connected.
+
+    The lists are scanned twice. First each document is counted against the smallest of each list, and the pairs that
+    share ``KEEP`` lists are verified; that ties families of copies. Then only pairs from different clusters are counted.
+    """
+    least = rows.groupBy("key").agg(F.min("node").alias("b"))
+    near = rows.join(least, "key").where("node <> b").groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("n")).where(F.col("n") >= KEEP).select("a", "b")
+    first = cut_lineage(verified(docs, near, like))
+    clusters = components(first)
+    placed = rows.join(clusters, "node", "left").select("key", "node", F.coalesce("component", "node").alias("cluster"))
+    mixed_keys = placed.groupBy("key").agg(F.min("cluster").alias("m"), F.max("cluster").alias("x")).where("m < x").select("key")
+    placed = cut_lineage(placed.join(mixed_keys, "key"))
+    other = placed.select("key", F.col("node").alias("b"), F.col("cluster").alias("other"))
+    across = placed.join(other, "key").where("cluster < other").groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("n")).where(F.col("n") >= KEEP).select("a", "b")
+    return first.unionByName(verified(docs, across, like))
+
+
+def verified(docs: DataFrame, pairs: DataFrame, like: Likeness) -> DataFrame:
+    """The pairs (a, b) whose shingle sets link. Texts of ``a`` come to the text of ``b``, whose many partners are spread over salts."""
+    pairs = cut_lineage(pairs)
+    heads = pairs.groupBy("b").agg(F.ceil(F.count("*") / PARTNERS).alias("salts"))
+    pairs = cut_lineage(pairs.join(heads, "b"))
+    homes = pairs.count() // PARTNERS + 1
+    home = F.pmod(F.xxhash64("b", "salt"), F.lit(homes))
+    left = docs.join(if_small(pairs.withColumnRenamed("a", "doc_id")), "doc_id").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")))
+    right = docs.join(if_small(pairs.select(F.col("b").alias("doc_id"), "salts").distinct()), "doc_id")
+    right = right.select(F.col("doc_id").alias("b"), F.col("text").alias("centre"), F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"))
+
+    def link(members: pa.Table, centres: pa.Table) -> pa.Table:
+        hashes = worker_cache("words", WordHashes)
+        sets: dict[int, list[np.ndarray]] = {}
+        for b, text in zip(centres.column("b").to_pylist(), centres.column("centre").to_pylist(), strict=True):
+            sets.setdefault(b, []).append(shingle_set(text.encode(), like.words, hashes))
+        out: tuple[list[int], list[int]] = ([], [])
+        for a, b, text in zip(*(members.column(c).to_pylist() for c in ("a", "b", "member")), strict=True):
+            mine = shingle_set(text.encode(), like.words, hashes)
+            for other in sets.get(b, ()):
+                shared = len(np.intersect1d(mine, other, assume_unique=True))
+                if len(mine) and shared * (like.num + like.den) >= like.num * (len(mine) + len(other)):
+                    out[0].append(a)
+                    out[1].append(b)
+        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+
+    left = left.select(home.alias("home"), F.col("doc_id").alias("a"), "b", F.col("text").alias("member"))
+    right = right.select(home.alias("home"), "b", "centre")
+    return left.groupBy("home").cogroup(right.groupBy("home")).applyInArrow(link, "a long, b long")
 
 
 def subset_edges(sets: DataFrame) -> DataFrame:
@@ -212,80 +258,6 @@ def subset_edges(sets: DataFrame) -> DataFrame:
     return rows.join(least, "key").select("a", other.alias("b")).where("a <> b").distinct()
 
 
-def scan_lists(nodes: np.ndarray, sets: list[np.ndarray], like: Likeness) -> tuple[list[int], list[int]]:
-    """Edges of a spanning forest of all links among the sets.
-
-    One inverted list for each shingle; the lists of one set, laid end to end and counted, give its overlaps.
-    """
-    count = len(sets)
-    sizes = np.array([len(s) for s in sets])
-    _, token = np.unique(np.concatenate(sets), return_inverse=True)
-    ends = np.cumsum(sizes)
-    holder = np.repeat(np.arange(count), sizes)[np.argsort(token, kind="stable")]
-    lists = np.concatenate(([0], np.cumsum(np.bincount(token))))
-    forest, open_sets = Forest(), count - 1
-    # Sets whose shingles are held most widely first: the centre of a family ties it at once.
-    width = np.add.reduceat(np.diff(lists)[token], ends - sizes) / sizes
-    groups = np.arange(count)
-    for u in np.argsort(-width, kind="stable").tolist():
-        own = token[ends[u] - sizes[u] : ends[u]]
-        begin, length = lists[own], lists[own + 1] - lists[own]
-        total = int(length.sum())
-        at = np.repeat(begin - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(total)
-        shared = np.bincount(holder[at], minlength=count)
-        linked = shared * (like.num + like.den) >= like.num * (sizes + sizes[u])
-        linked[u] = False
-        for v in np.flatnonzero(linked & (groups != groups[u])).tolist():
-            if forest.union(u, v):
-                open_sets -= 1
-                groups[groups == groups[v]] = groups[u]
-        if not open_sets:
-            break
-    a, b = forest.edges()
-    return nodes[a].tolist(), nodes[b].tolist()
-
-
-def verified(docs: DataFrame, families: DataFrame, like: Likeness) -> DataFrame:
-    """(a, b): links among the members (node, component, n) of each family, enough to connect what is connected."""
-    sizes = families.groupBy("component").agg(F.count("*").alias("members"), F.sum("n").alias("load")).where("members > 1")
-    tiles = F.ceil(F.col("load") / TILE_SHINGLES).cast("int")
-    members = cut_lineage(families.join(sizes, "component").select(F.col("node").alias("doc_id"), "component", tiles.alias("tiles"), "n"))
-    total = members.agg(F.sum("n")).first()[0] or 0
-    buckets = int(total // TILE_SHINGLES) + 1
-
-    def collect(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = worker_cache("words", WordHashes)
-        for batch in batches:
-            for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
-                sets = [shingle_set(t, like.words, hashes).tobytes() for t in encoded(part.column("text"))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("component"), part.column("tiles"), pa.array(sets, pa.binary())], ["node", "component", "tiles", "shingles"])
-
-    fetched = docs.join(if_small(members.drop("n")), "doc_id").select("doc_id", "component", "tiles", "text")
-    sets = fetched.mapInArrow(collect, "node long, component long, tiles int, shingles binary")
-    tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
-    # Small families share tasks; each tile of a large one meets every other tile, and itself.
-    dealt = sets.withColumn("tile", tile).withColumn("other", F.explode(F.expr("CASE WHEN tiles = 1 THEN array(0) ELSE sequence(0, tiles - 1) END")))
-    dealt = dealt.select(
-        F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("component"), F.lit(buckets))).otherwise(F.col("component")).alias("home"),
-        (F.col("tiles") > 1).alias("cut"), F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "component", "node", "shingles",
-    )
-
-    def link(table: pa.Table) -> pa.Table:
-        component, node = table.column("component").to_numpy(), table.column("node").to_numpy()
-        held = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
-        out: tuple[list[int], list[int]] = ([], [])
-        order = np.argsort(component, kind="stable")
-        for rows in np.split(order, np.flatnonzero(np.diff(component[order])) + 1):
-            rows = rows[[len(held[i]) > 0 for i in rows]]
-            if len(rows) > 1:
-                a, b = scan_lists(node[rows], [held[i] for i in rows], like)
-                out[0].extend(a)
-                out[1].extend(b)
-        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
-
-    return dealt.groupBy("home", "cut", "low", "high").applyInArrow(link, "a long, b long")
-
-
 def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``; documents are connected by links of similarity >= num / den."""
     like = Likeness(words, num, den)
@@ -298,11 +270,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     # Of copies one speaks for all.
     single = keyed.join(if_small(copies.drop("rep")), ["doc_id", "n", "s1", "s2"], "left_anti")
     exact = cut_lineage(subset_edges(single))
-    shared = family_edges(single)
+    lists = listed(single)
     discard(docs.sparkSession, keys)  # the largest table; all that is needed of it has been written
-    families = components(shared)
-    members = families.join(usable.groupBy(F.col("doc_id").alias("node")).agg(F.max("n").alias("n")), "node")
-    links = verified(docs, members, like)
+    links = list_links(docs, lists, like)
     joined = components(links.unionByName(exact).unionByName(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
     return (
         sets.select("doc_id", F.col("n").alias("n_shingles"))

@@ -53,9 +53,9 @@ def family(seed, sizes, copies):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("words,num,den,tile", [(1, 9, 10, 10**6), (3, 9, 10, 300), (2, 4, 5, 10**6), (5, 4, 5, 500)])
-def test_edited_families(spark, monkeypatch, words, num, den, tile):
-    monkeypatch.setattr(jaccard, "TILE_SHINGLES", tile)
+@pytest.mark.parametrize("words,num,den,partners", [(1, 9, 10, 500), (3, 9, 10, 2), (2, 4, 5, 500), (5, 4, 5, 3)])
+def test_edited_families(spark, monkeypatch, words, num, den, partners):
+    monkeypatch.setattr(jaccard, "PARTNERS", partners)
     rows = family(words, [2, 5, 9, 12, 18, 19, 20, 25, 30, 40, 60, 90, 130], 9)
     assert got(spark.createDataFrame(rows, "doc_id long, text string"), words, num, den) == brute(rows, words, num, den)
 
