@@ -70,3 +70,28 @@ def test_odd_rows(odd):
     assert licences.scan_licences(odd.limit(0))[0].count() == 0
     with pytest.raises(ValueError):
         licences.scan_licences(odd, {"empty": "!"})
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Licensed under CC BY 4.0.", ["CC-BY-4.0-notice"]), ("Licensed under CC BY-NC-SA 4.0.", ["CC-BY-NC-SA-4.0-notice"]), ("Released under the BSD License.", ["BSD-notice"]),
+        ("Licensed under the MIT License.", ["MIT-notice"]), ("Licensed under the Frob License, Version 2.0.", []),
+        (licences.TEMPLATES["GPL-3.0-header"].replace("3", "2"), ["GPL-2.0-header"]), (licences.TEMPLATES["GPL-3.0-header"].replace("General", "Lesser General").replace("program", "library"), ["LGPL-3.0-header"]),
+        (licences.TEMPLATES["GPL-3.0-notice"].replace("General", "Lesser General"), ["LGPL-3.0-notice"]), (licences.TEMPLATES["GPL-3.0-notice"].replace("version 3", "v3.0"), ["GPL-3.0-notice"]),
+    ],
+)
+def test_kin_are_told_apart(text, want):
+    found = licences.Scanner(licences.TEMPLATES, 0.8, 1.5).findings(f"Some words before. {text} And some words after that.")
+    assert [f[0] for f in found] == want
+
+
+def test_whole_licences_and_later_parts():
+    scanner = licences.Scanner(licences.TEMPLATES, 0.8, 1.5)
+    for name, text in licences._texts().items():
+        found = scanner.findings(text)
+        assert any(f[0] == name and f[1] > 0.97 for f in found) and max(found, key=lambda f: f[3] - f[2])[0] == name, (name, found)
+    for name in ("GPL-2.0", "LGPL-2.1", "MPL-2.0", "Apache-2.0", "MIT"):
+        text = licences.TEMPLATES[name]
+        later = [f for f in scanner.findings("words before " + text[len(text) // 2 :]) if f[0] == name]
+        assert len(later) == 1 and 0.3 < later[0][1] < 0.6, (name, later)
