@@ -1,12 +1,13 @@
 """Personal data: four base kinds by pattern, and the terms around them that give them away.
 
 All of it is DataFrame and SQL functions. The base kinds are e-mail and IP addresses, card and phone numbers.
-An *entity* is a base value. A *term* is a word within ``REACH`` characters of a mention of it. From the whole
-corpus come n(e) and n(t), the documents with the entity and with the term, and n(e, t), those with both near
-each other. Among N documents the entity carries ``log N / n(e)`` of information, and the term discloses
-``log N n(e, t) / (n(e) n(t))`` of that. A term that discloses the share ``generalise_at`` or more is
-generalised, from ``remove_at`` on it is removed; both in every place where it stands near the entity. Evidence from
-one context alone, however often copied, does not count.
+An *entity* is a base value. A *term* is a word of a document that has it. From the whole corpus come n(e) and n(t),
+the documents with the entity and with the term, and n(e, t), those with both, however far apart. Among N documents
+the entity carries ``log N / n(e)`` of information, and the term discloses ``log N n(e, t) / (n(e) n(t))`` of that.
+A term that discloses the share ``generalise_at`` or more of some entity is generalised, from ``remove_at`` on it is
+removed; both in every place where it stands, in documents without the entity too. Evidence from one context alone,
+however often copied, does not count: a context is the text within ``REACH`` characters of a mention, and a document
+has one, or, for the words within it, one for each mention.
 
 Patterns use possessive loops and look at each run of characters once, so that long runs cost linear time and no
 stack; they match what the plain patterns match from left to right.
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from scour.llm.common import fresh
+from scour.llm.common import fresh, if_small
 from scour.session import cut_lineage
 
 # The kinds in the order in which they are listed.
@@ -37,6 +38,8 @@ BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 ADDED = ["generalised", "removed"]
 WORD = r"\p{L}[\p{L}\p{M}\p{N}_'-]*+"
 REACH = 100
+# Tables of at most so many words are broadcast; larger ones are joined by shuffle.
+BROADCAST = 200_000
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
@@ -92,58 +95,89 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*every))
 
 
-def _terms(mentions: DataFrame) -> DataFrame:
-    """(key, entity, context, term, start, end) of the words near each mention, whole words only."""
+def _mentions(some: DataFrame) -> DataFrame:
+    """(key, base, m, low, near, n, entity, context) of every mention of an entity, with the text around it."""
     low = F.greatest(F.col("m.start") - REACH, F.lit(0))
-    rows = mentions.select("key", "text", "base", F.explode("base").alias("m")).select("key", "base", "m", low.alias("low"), F.substring("text", low + 1, F.col("m.end") - low + REACH).alias("near"), F.length("text").alias("n"))
-    rows = rows.withColumn("w", F.explode(located(F.col("near"), WORD)))
+    value = F.when(F.col("m.kind") == KINDS.index("email"), F.lower("m.value")).when(F.col("m.kind") == KINDS.index("ip"), F.col("m.value")).otherwise(_digits(F.col("m.value")))
+    rows = some.select("key", "text", "base", F.explode("base").alias("m")).select("key", "base", "m", low.alias("low"), F.substring("text", low + 1, F.col("m.end") - low + REACH).alias("near"), F.length("text").alias("n"))
+    return rows.withColumns({"entity": F.concat_ws(":", F.col("m.kind"), value), "context": F.xxhash64("near")})
+
+
+def _near_terms(mentions: DataFrame) -> DataFrame:
+    """(key, entity, context, term) of the words near each mention, whole words only."""
+    rows = mentions.withColumn("w", F.explode(located(F.col("near"), WORD)))
     start, end = F.col("low") + F.col("w.start"), F.col("low") + F.col("w.end")
     whole = ((F.col("w.start") > 0) | (F.col("low") == 0)) & ((F.col("w.end") < F.length("near")) | (end == F.col("n")))
     clear = ~F.exists("base", lambda b: (b["start"] < end) & (start < b["end"]))
-    value = F.when(F.col("m.kind") == KINDS.index("email"), F.lower("m.value")).when(F.col("m.kind") == KINDS.index("ip"), F.col("m.value")).otherwise(_digits(F.col("m.value")))
-    return rows.where(whole & clear & (F.length("w.value") > 1)).select(
-        "key", F.concat_ws(":", F.col("m.kind"), value).alias("entity"), F.xxhash64("near").alias("context"), F.lower("w.value").alias("term"), start.alias("start"), end.alias("end"), F.col("w.value").alias("value")
-    )
-
-
-def disclosing(docs: DataFrame, terms: DataFrame, text: Column, generalise_at: float, remove_at: float, contexts: int) -> DataFrame:
-    """(entity, term, kind) of the terms that disclose too much, from counts over the whole corpus."""
-    n = docs.count()
-    together = terms.groupBy("entity", "term").agg(F.countDistinct("key").alias("both"), F.countDistinct("context").alias("contexts")).where(F.col("contexts") >= contexts)
-    entities = terms.groupBy("entity").agg(F.countDistinct("key").alias("n_entity"))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))).alias("term"))
-    counts = words.groupBy("term").agg(F.count("*").alias("n_term"))
-    total = F.lit(float(max(n, 2)))
-    carried = F.log(total / F.col("n_entity"))
-    told = F.log(total * F.col("both") / (F.col("n_entity") * F.col("n_term")))
+    return rows.where(whole & clear & (F.length("w.value") > 1)).select("key", "entity", "context", F.lower("w.value").alias("term"))
+
+
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
+
+
+def _without_base(text: Column, base: Column) -> Column:
+    """The text with a blank for each base span."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, b: Column) -> Column:
+        gap = F.substring(text, acc["at"] + 1, F.greatest(b["start"] - acc["at"], F.lit(0)))
+        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["out"], F.array(gap)).alias("out"))
+
+    return F.aggregate(base, start, step, lambda acc: F.concat_ws(" ", acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+
+
+def disclosing(docs: DataFrame, some: DataFrame, text: Column, generalise_at: float, remove_at: float, contexts: int) -> DataFrame:
+    """(term, kind) of the terms that disclose too much of some entity, from counts over the whole corpus.
+
+    ``some`` are the documents with a base match, each once. Two kinds of pairs are counted: words near a mention,
+    where each mention is a context, and words anywhere in a document, where the document is one context.
+    """
+    total = float(max(docs.count(), 2))
+    mentions = cut_lineage(_mentions(some))
+    counts = cut_lineage(docs.select(F.explode(_words(text)).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")))
+    here = mentions.groupBy("key", "entity").agg(F.min("context").alias("context"))
+    entities = cut_lineage(here.groupBy("entity").agg(F.count("*").alias("n_entity")))
+    near = _near_terms(mentions).groupBy("entity", "term").agg(F.countDistinct("key").alias("both"), F.countDistinct("context").alias("contexts"))
+    # A term that stands in more documents than this cannot disclose the share, whatever the entity has in common with it;
+    # and where a document is one context, entity and term need several documents.
+    least = min(contexts, 2)
+    most = F.lit(total) * F.pow(F.col("n_entity") / F.lit(total), F.lit(float(generalise_at))) * 1.000001
+    again = cut_lineage(here.join(if_small(entities.where(F.col("n_entity") >= least)), "entity").withColumn("most", most))
+    limit = again.agg(F.max("most")).first()[0] or 0.0
+    rare = cut_lineage(counts.where(F.col("n_term").between(least, limit) & (F.length("term") > 1)))
+    held = some.join(again.select("key").distinct(), "key", "left_semi").select("key", F.explode(_words(_without_base(F.col("text"), F.col("base")))).alias("term"))
+    pairs = held.join(if_small(rare, BROADCAST), "term").join(again, "key").where(F.col("n_term") <= F.col("most"))
+    # Copies of one context are added up before the contexts are counted.
+    anywhere = pairs.groupBy("entity", "term", "context").agg(F.count("*").alias("both")).groupBy("entity", "term").agg(F.sum("both").alias("both"), F.count("*").alias("contexts"))
+    together = near.unionByName(anywhere).groupBy("entity", "term").agg(F.max("both").alias("both"), F.max("contexts").alias("contexts")).where(F.col("contexts") >= contexts)
+    carried = F.log(F.lit(total) / F.col("n_entity"))
+    told = F.log(F.lit(total) * F.col("both") / (F.col("n_entity") * F.col("n_term")))
     share = F.when(carried > 0, told / carried).otherwise(0.0)
-    return (
-        together.join(entities, "entity").join(counts, "term").withColumn("share", share).where(F.col("share") >= generalise_at)
-        .select("entity", "term", F.when(F.col("share") >= remove_at, len(KINDS) + 1).otherwise(len(KINDS)).alias("kind"))
-    )
+    judged = together.join(entities, "entity").join(counts, "term").withColumn("share", share).where(F.col("share") >= generalise_at)
+    # A word may disclose several entities: the stronger verdict holds.
+    return judged.groupBy("term").agg(F.max(F.when(F.col("share") >= remove_at, len(KINDS) + 1).otherwise(len(KINDS))).alias("kind"))
 
 
 def personal_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", generalise_at: float = 0.85, remove_at: float = 0.95, contexts: int = 2) -> tuple[DataFrame, str]:
     """All columns and, under a free name that is returned too, all spans (start, kind, end, value).
 
-    Kinds count through ``KINDS`` and then ``ADDED``. Documents without a base match cannot have other spans, so
-    only those with one go through the counts and the join.
+    Kinds count through ``KINDS`` and then ``ADDED``. Only documents with a base match have entities to count; the
+    terms found there are marked wherever they stand in any document.
     """
     found, key = fresh(docs, "personal"), "key"
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     inputs = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), body.alias("text"), F.xxhash64(F.col(f"`{doc_id}`"), body).alias(key))
     base = inputs.withColumn("base", base_spans(F.col("text")))
-    some = cut_lineage(base.where(F.size("base") > 0))
-    terms = cut_lineage(_terms(some.dropDuplicates([key])))
-    flagged = disclosing(docs, terms, body, generalise_at, remove_at, contexts)
-    places = terms.join(flagged, ["entity", "term"]).select(key, F.struct("start", "kind", "end", "value").alias("span"))
-    # A word may stand near several entities: the stronger verdict holds.
-    places = places.groupBy(key, "span.start", "span.end", "span.value").agg(F.max("span.kind").alias("kind"))
-    added = places.groupBy(key).agg(F.collect_list(F.struct("start", "kind", "end", "value")).alias("added"))
-    spans = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(SPAN))))
-    with_spans = some.join(added, key, "left").select("row", spans.cast(SPAN).alias(found))
-    clean = base.where(F.size("base") == 0).select("row", F.array().cast(SPAN).alias(found))
-    return clean.unionByName(with_spans).select("row.*", found), found
+    some = cut_lineage(base.where(F.size("base") > 0).select(key, "text", "base").dropDuplicates([key]))
+    flagged = cut_lineage(disclosing(docs, some, body, generalise_at, remove_at, contexts))
+    words = inputs.select(key, F.explode(_words(F.col("text"))).alias("term"))
+    marks = words.join(if_small(flagged, BROADCAST), "term").groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("term", "kind"))).alias("marks"))
+    marked = base.join(marks, key, "left")
+    places = F.filter(located(F.col("text"), WORD), lambda w: F.map_contains_key("marks", F.lower(w["value"])) & ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
+    added = F.transform(places, lambda w: F.struct(w["start"].alias("start"), F.element_at("marks", F.lower(w["value"])).alias("kind"), w["end"].alias("end"), w["value"].alias("value")))
+    spans = F.when(F.col("marks").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", added.cast(SPAN))))
+    return marked.select("row", spans.cast(SPAN).alias(found)).select("row.*", found), found
 
 
 def spans_text(spans: Column) -> Column:

@@ -70,6 +70,20 @@ def test_terms_that_disclose(spark):
     assert clean[101] == "by the house [NAME] has [EMAIL] and the road"
 
 
+def test_terms_far_off_and_alone(spark):
+    filler = ["the house stands by the river and the road", "a long road by the river leads to the house", "the river and the road and the house"]
+    far = " ".join(filler) + " "
+    rows = [(i, f"{filler[i % 3]} {i}") for i in range(60)]
+    rows += [(100, f"the road Zorblatt {far * 2}from z@mail.example about the river, Zorblatt"), (101, f"by z@mail.example the house {far * 3}Zorblatt and the road")]
+    rows += [(102, "zorblatt alone by the river"), (103, "one Once and q@mail.example by the road, then again q@mail.example at the house Once")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    df, name = privacy.personal_spans(docs, generalise_at=0.8, remove_at=0.85)
+    found = {r.doc_id: [(s.value, s.kind) for s in r[name]] for r in df.collect()}
+    assert found[100] == [("Zorblatt", 5), ("z@mail.example", 0), ("Zorblatt", 5)]
+    assert found[101] == [("z@mail.example", 0), ("Zorblatt", 5)] and found[102] == [("zorblatt", 5)]
+    assert ("river", 5) not in found[0] and found[0] == []
+
+
 def test_no_python_on_the_main_path(documents):
     plan = privacy.personal_spans(documents)[0]._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
