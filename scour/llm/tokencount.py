@@ -10,9 +10,10 @@ are made when they are first reached.
 
 A text is cut into chunks. The state map of a chunk is (head, count, tail): white space resets the transducer, so
 from any state a chunk runs its head from there, adds the count of what lies between its first and last white
-space and stops in the state after its tail. Maps compose, composition is associative, and a prefix scan by
-doubling over the maps of a document gives the state in which each chunk begins. Chunks of long documents are
-spread over tasks; only their maps meet again.
+space and stops in the state after its tail. In a chunk without white space the ends of words do the same. Heads
+and tails are kept as text. Maps compose, composition is associative, and the maps of a document are folded as a
+tree. Chunks of long documents are spread over tasks; only their maps meet again. A single word longer than a chunk
+is put together again and counted by one task, in memory of its length.
 
 Special tokens inside a text count one each, as the library has it by default.
 
@@ -26,7 +27,6 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
-from functools import reduce
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -185,6 +185,9 @@ class Counter(dict):
             raise ValueError("a vocabulary of lower-case words with an end mark is needed")
         self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"])) if spec["added_tokens"] else None
         added = {t["content"] for t in spec["added_tokens"]}
+        if any(t[0] != "<" for t in added):
+            raise ValueError("special tokens are expected to begin with <")
+        self.room = max(map(len, added), default=0)
         vocabulary, closed = {}, {}
         for text, i in model["vocab"].items():
             if text not in added:
@@ -226,10 +229,32 @@ class StateMap(NamedTuple):
     tail: str
 
 
+def _kind(c: str) -> str:
+    """L for letters, N for numbers, O for others; empty for what normalisation may change or join to its neighbours."""
+    kind = unicodedata.category(c)[0]
+    if kind == "M" or "\u1100" <= c <= "\u11ff" or len(c.lower()) > 1 or unicodedata.normalize("NFC", c) != c:
+        return ""
+    return kind if kind in "LN" else "O"
+
+
+def _parts_words(text: str, at: int, room: int) -> bool:
+    """Whether a word ends before ``at`` whatever stands around ``text``; no special token of up to ``room`` characters reaches across."""
+    before, after = _kind(text[at - 1]), _kind(text[at])
+    if not before or not after or before == after != "N" or (text[at - 1] == "'" and after == "L"):
+        return False
+    return at >= room and "<" not in text[at - room : at]
+
+
 def state_map(chunk: str, counter: Counter) -> StateMap:
     first = SPACE.search(chunk)
     if first is None:
-        return StateMap(chunk, None, "")
+        # Without white space, ends of words reset the transducer too.
+        places = range(max(counter.room, 1), len(chunk))
+        low = next((i for i in places if _parts_words(chunk, i, counter.room)), None)
+        if low is None:
+            return StateMap(chunk, None, "")
+        high = next(i for i in reversed(places) if _parts_words(chunk, i, counter.room))
+        return StateMap(chunk[:low], counter.of(chunk[low:high]), chunk[high:])
     last = next(i for i in range(len(chunk) - 1, -1, -1) if SPACE.match(chunk[i]))
     return StateMap(chunk[: first.start()], counter.of(chunk[first.start() : last + 1]), chunk[last + 1 :])
 
@@ -252,8 +277,15 @@ def prefix_scan(maps: list[StateMap], counter: Counter) -> list[StateMap]:
     return maps
 
 
+def folded(maps: list[StateMap], counter: Counter) -> StateMap:
+    """The composition of all maps, neighbours first, so that no prefix is held more than once."""
+    while len(maps) > 1:
+        maps = [composed(maps[i], maps[i + 1], counter) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+    return maps[0]
+
+
 def total(maps: list[StateMap], counter: Counter) -> int:
-    last = reduce(lambda a, b: composed(a, b, counter), maps)
+    last = folded(maps, counter)
     return counter.of(last.head) + (last.count or 0) + counter.of(last.tail)
 
 
@@ -290,8 +322,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, chunk: int
         own = counter()
         table = table.sort_by("place")
         maps = [StateMap(*m) for m in zip(*(table.column(c).to_pylist() for c in ("head", "count", "tail")), strict=True)]
-        last = prefix_scan(maps, own)[-1]
-        return table.select(["doc_id", "n_bytes"]).slice(0, 1).append_column("n_tokens", pa.array([total([last], own)], pa.int64()))
+        return table.select(["doc_id", "n_bytes"]).slice(0, 1).append_column("n_tokens", pa.array([total(maps, own)], pa.int64()))
 
     result = "doc_id long, n_bytes long, n_tokens long"
     short = docs.where(F.length("text") <= chunk).mapInArrow(whole, result)

@@ -58,6 +58,21 @@ def test_maps_compose(counter, library, width):
             assert tokencount.total([m], counter) == size(library, text[: (i + 1) * width])
 
 
+def test_texts_without_spaces_are_cut_at_words(counter, library):
+    rng = random.Random(8)
+    alphabet = ["ab", "Z", "é", "e\u0301", "İ", "Σ", "東京", "。", "，", "7", "½", "'", "'s", "'re", "!", "<", "<|endoftext|>", "<|start", "|>", "\u1100\u1161", "각", "क्", "🙂", "\u0301", "Å", "\u2126"]
+    for width in (20, 33, 64, 100):
+        for _ in range(150):
+            text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(20, 200)))
+            maps = [tokencount.state_map(text[i : i + width], counter) for i in range(0, len(text), width)]
+            assert tokencount.total(maps, counter) == size(library, text), (width, text)
+    for text in ("東京都は日本の首都です。" * 3000, "aGVsbG8gd29ybGQ3Kz/" * 3000):
+        maps = [tokencount.state_map(text[i : i + 1000], counter) for i in range(0, len(text), 1000)]
+        assert all(m.count is not None and len(m.head) + len(m.tail) < 100 for m in maps)
+        whole = tokencount.folded(maps, counter)
+        assert len(whole.head) + len(whole.tail) < 100 and tokencount.total(maps, counter) == size(library, text)
+
+
 @pytest.mark.parametrize("chunk", [16, 65_536])
 def test_table(spark, library, texts, chunk):
     docs = spark.createDataFrame([*texts.items(), *ODD], "doc_id long, text string")
