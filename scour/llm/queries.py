@@ -152,3 +152,49 @@ def op6(read):
 
     vectors = read("embeddings").select("vec_id", "embedding")
     return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+def _op12_sql(levels: int = 7) -> str:
+    """All levels of the trees side by side (16**7 rows a source, 16**7 sources); a lone node stays as it is."""
+    h = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    row = lambda text: "sha256(" + " || ".join(h(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    bit = "CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    step = "list_reduce(list_prepend(xor(acc, b), range(8)), lambda c, k: " + bit + ")"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)), lambda acc, b: {step}), 4294967295)"
+
+    def climb(first: str, tree: str, name: str) -> str:
+        out, below = "", first
+        for k in range(levels):
+            out += f""", {name}{k}g AS (SELECT {tree}, idx // 16 AS up, COUNT(*) AS kids, list(digest ORDER BY idx) AS ds, any_value(width) AS width FROM {below} GROUP BY 1, 2),
+ {name}{k} AS (SELECT {tree}, up AS idx, CASE WHEN width = 1 THEN ds[1] ELSE sha256(array_to_string(ds, '')) END AS digest, CASE WHEN width = 1 THEN 1 ELSE (width + 15) // 16 END AS width,
+  ds AS kids, width > 1 AS folds FROM {name}{k}g)"""
+            below = f"{name}{k}"
+        return out
+
+    sql = f"""WITH d AS (SELECT doc_id, source, {row("text")} AS digest, CASE WHEN {crc} % 5 = 0 THEN {row(lower)} ELSE {row("text")} END AS seen FROM documents),
+ l AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx, COUNT(*) OVER (PARTITION BY source) AS width FROM d)"""
+    sql += climb("l", "source", "s")
+    sql += f""", t AS (SELECT 0 AS one, source, digest, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS idx, COUNT(*) OVER () AS width FROM s{levels - 1})"""
+    sql += climb("t", "one", "t")
+    sql += ", p0 AS (SELECT *, idx AS pos, seen AS f, '' AS proof FROM l)"
+    names = [("s", "p.source IS NOT DISTINCT FROM n.source", k) for k in range(levels)] + [("t", "true", k) for k in range(levels)]
+    for i, (name, same, k) in enumerate(names):
+        at = "p.pos" if (name, k) != ("t", 0) else "(SELECT idx FROM t WHERE t.source IS NOT DISTINCT FROM p.source)"
+        sql += f""", q{i} AS (SELECT p.* EXCLUDE (pos), {at} AS pos FROM p{i} p),
+ p{i + 1} AS (SELECT p.* EXCLUDE (pos, f, proof), p.pos // 16 AS pos,
+  CASE WHEN n.folds THEN sha256(array_to_string(n.kids[1:p.pos % 16], '') || f || array_to_string(n.kids[p.pos % 16 + 2:], '')) ELSE f END AS f,
+  CASE WHEN n.folds THEN proof || array_to_string(n.kids[1:p.pos % 16], '') || array_to_string(n.kids[p.pos % 16 + 2:], '') ELSE proof END AS proof
+  FROM q{i} p JOIN {name}{k} n ON {same} AND n.idx = p.pos // 16)"""
+    return sql + f""" SELECT p.doc_id, p.digest AS leaf, t.digest AS subroot, r.digest AS root, sha256(p.proof) AS proof_sha256, p.f AS folded_root, p.f = r.digest AS verified
+ FROM p{len(names)} p JOIN t ON t.source IS NOT DISTINCT FROM p.source, t{levels - 1} r"""
+
+
+@query("op12_merkle_manifest", _op12_sql())
+def op12(read):
+    from scour.llm import manifest
+
+    docs = read("documents")
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, lower).otherwise(F.col("text"))
+    return manifest.verified(docs, manifest.row_hash([tampered if f == "text" else F.col(f) for f in manifest.FIELDS]))
