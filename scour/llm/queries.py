@@ -198,3 +198,11 @@ def op12(read):
     lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, lower).otherwise(F.col("text"))
     return manifest.verified(docs, manifest.row_hash([tampered if f == "text" else F.col(f) for f in manifest.FIELDS]))
+
+
+@query("op13_conversation_repair")
+def op13(read):
+    from scour.llm import repair
+
+    rows = read("conversations").select("conv_id", "turn", "role", "text")
+    return repair.reports(F.col("conv_id"), rows, repair.repair(repair.damaged(rows)))
