@@ -10,19 +10,20 @@ is that of one pass over the whole text. Two texts that share ``WINDOW + GRAM -
 Likeness is Dice's coefficient of the sets of hashes: twice the shared ones over the sum of both sizes. Two empty sets are
 alike (1); an empty one and another are not (0).
 
-``with_next`` hands each document the head of the next one in descending order of ids, and that one's hashes. The order is found
-over ranges of ids; its links (two ids a row) meet the texts by joins on ids, so no task sees more than its share.
+``beside_next`` lays each document beside the next one in descending order of ids. Ids are parted into stretches of about 256 rows
+(at most 16,384 stretches, split points found on the ids alone); a stretch also receives the first row of the one that follows it,
+so one exchange of the texts is all that is moved, and a text is winnowed where it arrives.
 
 Defined results: a null text is empty, and an empty text has an empty fingerprint. A text shorter than a gram is one gram; one
-that is shorter than a window is one window. Rows with one id each get their own fingerprint, follow the same next id, and the
-smallest head under an id is the one handed on. A null id counts as the smallest one. Extra columns take no part.
+that is shorter than a window is one window. Rows with one id are documents of their own, ordered by their texts; a null id
+comes last, and the first follows the last. Extra columns take no part.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from scour.functions.ranges import neighbours
+from scour.functions.ranges import place, split_points
 from scour.llm.common import texts_of
 
 GRAM = 16
@@ -31,31 +32,45 @@ STRETCH = 64
 HIGH = 32
 LOW = (1 << HIGH) - 1
 LAST = (1 << 31) - 1
-LEAST_ID = -(1 << 63)
+LOCAL = 127
 
 
-def winnowed(text: Column) -> Column:
-    """Packed (hash, position) numbers of a text's fingerprint, by position."""
+def winnowed(text: Column, skipped: Column | None = None) -> Column:
+    """Packed (hash, position) numbers of a text's fingerprint, by position; ``skipped`` code points came before the text."""
     cuts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0))
     overlap = GRAM + WINDOW - 2
     pieces = F.zip_with(cuts, F.slice(cuts, F.lit(2), F.size(cuts)), lambda a, b: F.concat(a, F.coalesce(F.left(b, F.lit(overlap)), F.lit(""))))
 
-    def numbers(piece: Column, stretch: Column) -> Column:
-        count = F.greatest(F.least(F.length(piece), F.lit(STRETCH + overlap)) - (GRAM - 1), F.lit(1))
+    def numbers(piece: Column) -> Column:
+        """For each gram its hash without the lowest bits, which hold its reversed place in the stretch."""
+        count = F.greatest(F.length(piece) - (GRAM - 1), F.lit(1))
+        return F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.substring(piece, i, F.lit(GRAM))).bitwiseAND(F.lit(~LOCAL)).bitwiseOR(F.lit(LOCAL) - i))
 
-        def number(i: Column) -> Column:
-            h = F.shiftrightunsigned(F.xxhash64(F.substring(piece, i, F.lit(GRAM))), 33)
-            return F.shiftleft(h, HIGH).bitwiseOR(F.lit(LAST).cast("long") - (stretch * STRETCH + i - 1))
+    def least(of: Column) -> Column:
+        """Minima of all windows, doubling their width; of all grams where there is no whole window."""
 
-        return F.transform(F.sequence(F.lit(1), count), number)
+        def doubled(v: Column, width: int = 1) -> Column:
+            if width == WINDOW:
+                return v
+            step = min(width, WINDOW - width)
+            left = F.size(v) - step
+            return _bound(F.zip_with(F.slice(v, F.lit(1), left), F.slice(v, F.lit(step + 1), left), lambda a, b: F.least(a, b)), lambda v: doubled(v, width + step))
 
-    def chosen(of: Column, stretch: Column) -> Column:
-        # Windows that start in this stretch; a stretch that is only the tail of the last window has none.
-        starts = F.least(F.size(of) - (WINDOW - 1), F.lit(STRETCH))
-        least = F.transform(F.sequence(F.lit(1), F.greatest(starts, F.lit(1))), lambda i: F.array_min(F.slice(of, i, F.lit(WINDOW))))
-        return F.when((starts >= 1) | (stretch == 0), F.array_distinct(least)).otherwise(F.array().cast("array<bigint>"))
+        return _bound(of, lambda v: F.when(F.size(v) < WINDOW, F.array(F.array_min(v))).otherwise(doubled(v)))
 
-    return F.array_distinct(F.flatten(F.transform(F.transform(pieces, numbers), chosen)))
+    def chosen(piece: Column, stretch: Column) -> Column:
+        begin = stretch * STRETCH + (F.lit(0) if skipped is None else skipped)
+        spread = lambda v: F.shiftleft(F.shiftrightunsigned(v, 33), HIGH).bitwiseOR(LAST - begin - (LOCAL - 1 - v.bitwiseAND(F.lit(LOCAL))))
+        # A stretch that is only the tail of the last window begins none.
+        whole = (F.length(piece) > overlap) | (stretch == 0)
+        return F.when(whole, F.transform(F.array_distinct(F.slice(least(numbers(piece)), F.lit(1), F.lit(STRETCH))), spread)).otherwise(F.array().cast("array<bigint>"))
+
+    return F.array_distinct(F.flatten(F.transform(pieces, chosen)))
+
+
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is read."""
+    return F.transform(F.array(value), body)[0]
 
 
 def hashes(packed: Column) -> Column:
@@ -86,21 +101,51 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return texts.select("doc_id", "text", F.length("text").cast("long").alias("n_chars"), winnowed(F.col("text")).alias("packed"))
 
 
-def with_next(docs: DataFrame, share: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``fingerprints`` with ``head``, the first code points of the next document (as many as a ``share``-th of this one), and ``next_hashes``."""
-    prints = fingerprints(docs, doc_id, text).withColumn("own", F.coalesce("doc_id", F.lit(LEAST_ID)))
-    short = texts_of(docs, doc_id, text).select(F.bitwise_not(F.coalesce("doc_id", F.lit(LEAST_ID))).alias("at"), F.floor(F.length("text") / share).alias("need"))
-    links = neighbours(short, "at").join(short.groupBy("at").agg(F.max("need").alias("need")), "at")
-    links = links.select(F.bitwise_not("at").alias("to"), F.bitwise_not("next").alias("next"), "need")
-    handed = prints.join(links, prints["own"] == links["next"]).select("to", F.struct(F.left("text", F.col("need")).alias("head"), hashes(F.col("packed")).alias("next_hashes")).alias("gift"))
-    handed = handed.groupBy("to").agg(F.min("gift").alias("gift"))
-    joined = prints.join(handed, prints["own"] == handed["to"])
-    return joined.select("doc_id", "text", "n_chars", "packed", F.left("gift.head", F.floor(F.col("n_chars") / share)).alias("head"), "gift.next_hashes")
+def beside_next(docs: DataFrame) -> tuple[DataFrame, Column, WindowSpec]:
+    """(doc_id, text) rows dealt by stretches of ids, a column that tells a stretch's own rows, and the window in which the next
+    row of a table so dealt is the next document."""
+    texts = texts_of(docs)
+    ids = texts.select("doc_id")
+    points = split_points(ids, "doc_id")
+    at = place(F.col("doc_id"), points)
+    # A row a stretch: its largest id, and the stretch that comes before it in descending order; the last one is followed by the first.
+    ends = ids.select(at.alias("at"), "doc_id").groupBy("at").agg(F.max("doc_id").alias("top"), F.count("*").alias("n")).collect()
+    found = sorted(((r["at"], r["top"]) for r in ends), reverse=True)
+    heirs = [(at_, top, found[i - 1][0]) for i, (at_, top) in enumerate(found)]
+    first = docs.sparkSession.createDataFrame(heirs, "at int, top long, before int")  # at most a row a stretch
+    a, b = texts.withColumn("at", at).alias("a"), F.broadcast(first).alias("b")
+    joined = a.join(b, (F.col("a.at") == F.col("b.at")) & F.col("a.doc_id").eqNullSafe(F.col("b.top")), "left")
+    own = F.struct(F.col("a.at").alias("at"), F.lit(False).alias("halo"))
+    halo = F.struct(F.col("b.before").alias("at"), F.lit(True).alias("halo"))
+    homes = F.explode(F.when(F.col("b.before").isNull(), F.array(own)).otherwise(F.array(own, halo))).alias("home")
+    rows = joined.select("a.doc_id", "a.text", homes).select("doc_id", "text", "home.at", "home.halo")
+    n = max(len(found), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(n, "at"), ~F.col("halo"), Window.partitionBy("at").orderBy("halo", F.desc_nulls_last("doc_id"), "text")
 
 
 def edited(docs: DataFrame, share: int = 3) -> DataFrame:
-    """Each document beside its edited text, whose last ``share``-th is replaced by the head of the next document."""
-    rows = with_next(docs, share)
-    kept = F.left("text", F.col("n_chars") - F.floor(F.col("n_chars") / share))
-    rows = rows.select("doc_id", "n_chars", "packed", "next_hashes", F.concat(kept, F.col("head")).alias("edited"))
-    return rows.withColumn("edited_packed", winnowed(F.col("edited")))
+    """(doc_id, n_chars, packed, edited, edited_packed, next_hashes): each document beside its edited text, whose last
+    ``share``-th is replaced by as many code points (or all) of the next document.
+
+    Windows that lie in what the two texts share are winnowed once.
+    """
+    rows, own, order = beside_next(docs)
+    n = F.length("text")
+    rows = rows.select("*", n.alias("n"), (n - F.floor(n / share).cast("int")).alias("kept"))
+    # What comes before a window's end in the kept part; short texts are winnowed whole.
+    reach = GRAM + WINDOW - 2
+    long = F.col("kept") > reach
+    rows = rows.select("*", F.when(long, F.col("kept") - reach).otherwise(0).alias("from"))
+    rows = rows.select(
+        "*", F.when(long, winnowed(F.left("text", F.col("kept")))).otherwise(F.array().cast("array<bigint>")).alias("same"),
+        winnowed(F.substring("text", F.col("from") + 1, F.col("n")), F.col("from")).alias("rest"),
+    )
+    rows = rows.withColumn("packed", F.array_distinct(F.concat("same", "rest")))
+    follows = F.lead(F.struct("text", hashes(F.col("packed")).alias("hashes"))).over(order)
+    rows = rows.withColumn("next", follows).where(own)
+    head = F.left("next.text", F.col("n") - F.col("kept"))
+    rows = rows.select("doc_id", F.col("n").cast("long").alias("n_chars"), "packed", "kept", "from", "same", F.concat(F.left("text", F.col("kept")), head).alias("edited"), F.col("next.hashes").alias("next_hashes"))
+    # Nothing follows where the next text is empty: then the kept part has all windows.
+    tail = F.when((F.col("from") > 0) & (F.length("edited") == F.col("kept")), F.array().cast("array<bigint>"))
+    tail = tail.otherwise(winnowed(F.substring("edited", F.col("from") + 1, F.length("edited")), F.col("from")))
+    return rows.select("doc_id", "n_chars", "packed", "edited", F.array_distinct(F.concat("same", tail)).alias("edited_packed"), "next_hashes")

@@ -5,6 +5,7 @@ import re
 import xxhash
 from pyspark.sql import functions as F
 
+from scour.functions.ranges import place, split_points
 from scour.llm import queries, winnow
 from tests.llm.conftest import FOLDER, ODD
 
@@ -14,13 +15,14 @@ def least(text):
     if not text:
         return []
     k, w = winnow.GRAM, winnow.WINDOW
-    grams = [xxhash.xxh64_intdigest(text[i : i + k].encode(), seed=42) >> 33 for i in range(max(1, len(text) - k + 1))]
+    grams = [xxhash.xxh64_intdigest(text[i : i + k].encode(), seed=42) for i in range(max(1, len(text) - k + 1))]
+    order = [(h - (h >> 63 << 64)) >> 7 for h in grams]
     out = []
     for i in range(max(1, len(grams) - w + 1)):
-        window = grams[i : i + w]
+        window = order[i : i + w]
         at = i + max(j for j, h in enumerate(window) if h == min(window))
-        if (grams[at], at) not in out[-1:]:
-            out.append((grams[at], at))
+        if (grams[at] >> 33, at) not in out[-1:]:
+            out.append((grams[at] >> 33, at))
     return out
 
 
@@ -86,10 +88,10 @@ def test_match_guarantee(spark):
 
 
 def test_repeated_and_null_ids(spark):
-    """One row for each row; rows with one id follow the same next document; a null id is the last in the order."""
+    """One row for each row; rows with one id go by their texts; a null id is the last in the order."""
     rows = [(3, "c" * 9), (2, "bb1"), (2, "aa1"), (None, None), (1, "zzz" * 100)]
-    found = {(r.doc_id, r.n_chars, r.edited) for r in winnow.edited(spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, own long, head string")).collect()}
-    assert found == {(3, 9, "c" * 6 + "aa1"), (2, 3, "bbz"), (2, 3, "aaz"), (1, 300, "zzz" * 66 + "zz"), (None, 0, "")}
+    found = {(r.doc_id, r.n_chars, r.edited) for r in winnow.edited(spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, at long, halo string")).collect()}
+    assert found == {(3, 9, "c" * 6 + "aa1"), (2, 3, "aab"), (2, 3, "bbz"), (1, 300, "zzz" * 66 + "zz"), (None, 0, "")}
     assert winnow.edited(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     (alone,) = winnow.edited(spark.createDataFrame([(7, "abcdef")], "doc_id long, text string")).collect()
     assert alone.edited == "abcdab"
@@ -98,3 +100,17 @@ def test_repeated_and_null_ids(spark):
 def test_no_python_on_the_main_path(spark):
     plan = queries.QUERIES["op11_fingerprints"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_edited_texts_of_all_lengths(spark, monkeypatch):
+    """Shared windows are winnowed once; short and empty neighbours, many stretches of ids, ids far apart."""
+    rng = random.Random(6)
+    ids = rng.sample(range(-(2**61), 2**61), 400) + list(range(300))
+    rows = [(i, "".join(rng.choice("abc ") for _ in range(rng.choice([0, 1, 2, 3, 20, 44, 45, 46, 47, 90, 300])))) for i in ids]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    monkeypatch.setattr(winnow, "split_points", lambda d, c: split_points(d, c, rows=9))
+    monkeypatch.setattr(winnow, "place", lambda v, p: place(v, p, fan=8))
+    want = {r[0]: r for r in brute(rows)}
+    shown_as = winnow.edited(df).select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256), winnow.written(F.col("packed")), winnow.written(F.col("edited_packed")))
+    found = shown_as.collect()
+    assert len(found) == len(rows) and all(tuple(r) == want[r.doc_id][:5] for r in found)
