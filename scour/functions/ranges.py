@@ -74,3 +74,26 @@ def neighbours(df: DataFrame, value: str, name: str = "next", rows: int = RANGE_
     linked = by_range(parts).withColumn("__inside", F.lead(col(value)).over(own))
     linked = linked.join(F.broadcast(after.where("range IS NOT NULL")), "range", "left").join(F.broadcast(wrap))
     return linked.select(col(value), F.coalesce("__inside", "__first", "__least").alias(name))
+
+
+def split_points(df: DataFrame, value: str, rows: int = 256, most: int = 16_384) -> list:
+    """At most ``most`` ascending values of a numeric column that part its known rows about evenly, one for each ``rows`` rows."""
+    n = min(most, df.where(col(value).isNotNull()).count() // rows)
+    if n < 1:
+        return []
+    shares = F.array(*[F.lit(i / (n + 1)) for i in range(1, n + 1)])
+    found = df.agg(F.percentile_approx(col(value), shares, F.lit(min(20 * n, 1_000_000)))).first()[0]
+    return sorted(set(found))
+
+
+def place(value: Column, points: list, fan: int = 128) -> Column:
+    """How many of the points are at most ``value``, in two steps of at most about ``fan`` comparisons; null gives 0."""
+    if not points:
+        return F.lit(0)
+    groups = [points[i : i + fan] for i in range(0, len(points), fan)]
+    array = lambda xs: F.array(*[F.lit(x) for x in xs])
+    below = lambda xs: F.coalesce(F.size(F.filter(xs, lambda p: p <= value)), F.lit(0))
+    if len(groups) == 1:
+        return F.greatest(below(array(points)), F.lit(0))
+    group = F.greatest(below(array([g[0] for g in groups[1:]])), F.lit(0))
+    return group * fan + F.greatest(below(F.element_at(F.array(*map(array, groups)), group + 1)), F.lit(0))
