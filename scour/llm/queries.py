@@ -213,9 +213,9 @@ def op11(read):
     from scour.llm import winnow
 
     rows = winnow.edited(read("documents"))
-    rows = rows.select("*", winnow.hashes(F.col("packed")).alias("own"), winnow.hashes(F.col("edited_packed")).alias("changed"))
+    rows = rows.withColumn("changed", winnow.hashes(F.col("edited_packed")))
     return rows.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), winnow.written(F.col("packed")).alias("fingerprint"),
-        winnow.written(F.col("edited_packed")).alias("edited_fingerprint"), winnow.likeness(F.col("own"), F.col("changed")).alias("near_edited"),
-        winnow.likeness(F.col("own"), F.col("next_hashes")).alias("near_next"),
+        winnow.written(F.col("edited_packed")).alias("edited_fingerprint"), winnow.likeness(F.col("hashes"), F.col("changed")).alias("near_edited"),
+        winnow.likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"),
     )

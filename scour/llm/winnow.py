@@ -60,7 +60,8 @@ def winnowed(text: Column, skipped: Column | None = None) -> Column:
 
     def chosen(piece: Column, stretch: Column) -> Column:
         begin = stretch * STRETCH + (F.lit(0) if skipped is None else skipped)
-        spread = lambda v: F.shiftleft(F.shiftrightunsigned(v, 33), HIGH).bitwiseOR(LAST - begin - (LOCAL - 1 - v.bitwiseAND(F.lit(LOCAL))))
+        offset = F.lit(LAST - LOCAL + 1).cast("long") - begin
+        spread = lambda v: F.shiftleft(F.shiftrightunsigned(v, 33), HIGH) + offset + v.bitwiseAND(F.lit(LOCAL))
         # A stretch that is only the tail of the last window begins none.
         whole = (F.length(piece) > overlap) | (stretch == 0)
         return F.when(whole, F.transform(F.array_distinct(F.slice(least(numbers(piece)), F.lit(1), F.lit(STRETCH))), spread)).otherwise(F.array().cast("array<bigint>"))
@@ -84,9 +85,8 @@ def positions(packed: Column) -> Column:
 
 
 def written(packed: Column) -> Column:
-    """A fingerprint as text: ``hash:position``, comma-joined, by position."""
-    one = lambda p: F.concat_ws(":", F.hex(F.shiftright(p, HIGH)), (F.lit(LAST).cast("long") - p.bitwiseAND(F.lit(LOW))).cast("string"))
-    return F.array_join(F.transform(packed, one), ",")
+    """A fingerprint as text: its packed numbers, comma-joined, by position."""
+    return F.array_join(packed.cast("array<string>"), ",")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -124,7 +124,7 @@ def beside_next(docs: DataFrame) -> tuple[DataFrame, Column, WindowSpec]:
 
 
 def edited(docs: DataFrame, share: int = 3) -> DataFrame:
-    """(doc_id, n_chars, packed, edited, edited_packed, next_hashes): each document beside its edited text, whose last
+    """(doc_id, n_chars, packed, hashes, edited, edited_packed, next_hashes): each document beside its edited text, whose last
     ``share``-th is replaced by as many code points (or all) of the next document.
 
     Windows that lie in what the two texts share are winnowed once.
@@ -140,12 +140,12 @@ def edited(docs: DataFrame, share: int = 3) -> DataFrame:
         "*", F.when(long, winnowed(F.left("text", F.col("kept")))).otherwise(F.array().cast("array<bigint>")).alias("same"),
         winnowed(F.substring("text", F.col("from") + 1, F.col("n")), F.col("from")).alias("rest"),
     )
-    rows = rows.withColumn("packed", F.array_distinct(F.concat("same", "rest")))
-    follows = F.lead(F.struct("text", hashes(F.col("packed")).alias("hashes"))).over(order)
+    rows = rows.withColumn("packed", F.array_distinct(F.concat("same", "rest"))).withColumn("hashes", hashes(F.col("packed")))
+    follows = F.lead(F.struct("text", "hashes")).over(order)
     rows = rows.withColumn("next", follows).where(own)
     head = F.left("next.text", F.col("n") - F.col("kept"))
-    rows = rows.select("doc_id", F.col("n").cast("long").alias("n_chars"), "packed", "kept", "from", "same", F.concat(F.left("text", F.col("kept")), head).alias("edited"), F.col("next.hashes").alias("next_hashes"))
+    rows = rows.select("doc_id", F.col("n").cast("long").alias("n_chars"), "packed", "hashes", "kept", "from", "same", F.concat(F.left("text", F.col("kept")), head).alias("edited"), F.col("next.hashes").alias("next_hashes"))
     # Nothing follows where the next text is empty: then the kept part has all windows.
     tail = F.when((F.col("from") > 0) & (F.length("edited") == F.col("kept")), F.array().cast("array<bigint>"))
     tail = tail.otherwise(winnowed(F.substring("edited", F.col("from") + 1, F.length("edited")), F.col("from")))
-    return rows.select("doc_id", "n_chars", "packed", "edited", F.array_distinct(F.concat("same", tail)).alias("edited_packed"), "next_hashes")
+    return rows.select("doc_id", "n_chars", "packed", "hashes", "edited", F.array_distinct(F.concat("same", tail)).alias("edited_packed"), "next_hashes")

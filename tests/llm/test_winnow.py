@@ -32,7 +32,7 @@ def dice(a, b):
 
 
 def shown(pairs):
-    return ",".join(f"{h:X}:{p}" for h, p in pairs)
+    return ",".join(str(h << winnow.HIGH | winnow.LAST - p) for h, p in pairs)
 
 
 def brute(rows):
