@@ -8,11 +8,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from scour.functions.columns import col, stacked, string_columns, trimmed, value_counts, with_columns
-from scour.functions.similarity import SCORERS, best_scores, partial_ratios, ratios, token_sort_ratios
+from scour.functions.ranges import numbered
+from scour.functions.similarity import SCORERS, best_scores, partial_ratios, ratios, sorted_words, token_sort_ratios
 from scour.functions.stats import distinct_counts
+from scour.operators.clusters import greedy_clusters
+from scour.operators.contained import contained_pairs
+from scour.operators.encode import BROADCAST_VALUES, HOT_SHARE, Codes, join_codes
 from scour.operators.pairs import similar_values
+from scour.session import cut_lineage
 
-MAX_UNIQUE = 1000
+# So few spellings are compared pair by pair in one job; the result does not depend on the way.
+FEW_VALUES = 1000
 MERGE_ABOVE = 80
 REPORT_ABOVE = 85
 
@@ -110,24 +116,77 @@ def merge_map(counts: Sequence[tuple[str, int]], edges: Sequence[tuple[int, int]
     return out
 
 
-def fit_merge(
-    df: DataFrame, column: str, scorers: Sequence[str] = tuple(SCORERS), above: int = MERGE_ABOVE, max_unique: int = MAX_UNIQUE
-) -> dict[str, str] | None:
-    """Spelling -> canonical spelling, or None when the column has more than ``max_unique`` values."""
-    head = value_counts(df, [column]).select("value", "n").limit(max_unique + 1).collect()
-    if len(head) > max_unique:
-        return None
-    counts = sorted(((r["value"], r["n"]) for r in head), key=lambda x: (-x[1], x[0]))
-    return merge_map(counts, similar_edges(df.sparkSession, [v for v, _ in counts], scorers, above))
+def similarity_graph(nodes: DataFrame, scorers: Sequence[str], above: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """What is similar by the largest of the scores, without comparing every pair: nodes with their sorted words as ``form``,
+    edges (a, b) between ids, and links (f, g) between forms. ``nodes``: id and value, both unique.
+    """
+    values = nodes.select(F.lit("v").alias("column"), "value")
+    edges = nodes.select(F.col("id").alias("a"), F.col("id").alias("b")).where("false")
+    if "ratio" in scorers:
+        near = similar_values(values, above)
+        a = nodes.select(F.col("id").alias("a"), F.col("value").alias("value1"))
+        b = nodes.select(F.col("id").alias("b"), F.col("value").alias("value2"))
+        edges = edges.union(near.join(a, "value1").join(b, "value2").select("a", "b"))
+    if "partial" in scorers:
+        edges = edges.union(contained_pairs(nodes, above))
+    if "token_sort" not in scorers:
+        return nodes.withColumn("form", F.lit(None).cast("string")), edges, None
+
+    @F.pandas_udf("string")
+    def words(texts: pd.Series) -> pd.Series:
+        return pd.Series([sorted_words(t) or None for t in texts], index=texts.index, dtype=object)
+
+    formed = cut_lineage(nodes.withColumn("form", words("value")))
+    forms = formed.where("form IS NOT NULL").select(F.lit("f").alias("column"), F.col("form").alias("value")).distinct()
+    return formed, edges, similar_values(forms, above).select(F.col("value1").alias("f"), F.col("value2").alias("g"))
+
 
+def merge_table(counts: DataFrame, scorers: Sequence[str] = tuple(SCORERS), above: int = MERGE_ABOVE) -> DataFrame:
+    """(value, code): each merged spelling and its canonical one, as ``merge_map`` finds them, for any number of spellings.
 
-def apply_merge(df: DataFrame, column: str, mapping: dict[str, str]) -> DataFrame:
-    """Replace spellings through a broadcast lookup; the mapping is bounded by the distinct-value limit."""
-    if not mapping:
-        return df
-    table = df.sparkSession.createDataFrame(list(mapping.items()), "__from string, __to string")
-    joined = df.join(F.broadcast(table), col(column) == F.col("__from"), "left")
-    return with_columns(joined, {column: F.coalesce("__to", col(column))}).drop("__from", "__to")
+    ``counts``: value and n. The rank of a spelling is its place by falling count, then by value.
+    """
+    ranked = numbered(counts.select("value", (-F.col("n")).alias("few")), [], ["few", "value"], "id")
+    nodes = cut_lineage(ranked.select("id", "value"))
+    taken = greedy_clusters(*similarity_graph(nodes, scorers, above))
+    tops = nodes.select(F.col("id").alias("centre"), F.col("value").alias("code"))
+    return cut_lineage(taken.join(nodes, "id").join(tops, "centre").select("value", "code"))
+
+
+def fit_merge(
+    df: DataFrame, column: str, scorers: Sequence[str] = tuple(SCORERS), above: int = MERGE_ABOVE, max_unique: int | None = None
+) -> dict[str, str] | Codes | None:
+    """Spelling -> canonical spelling; None when ``max_unique`` is given and the column has more values.
+
+    Few spellings are compared pair by pair and merged as a dictionary; more of them meet in joins and give a table.
+    """
+    counts = value_counts(df, [column]).select("value", "n")
+    head = counts.limit(FEW_VALUES + 1).collect()
+    if max_unique is not None and (len(head) > max_unique or len(head) > FEW_VALUES and counts.limit(max_unique + 1).count() > max_unique):
+        return None
+    if len(head) <= FEW_VALUES:
+        ranked = sorted(((r["value"], r["n"]) for r in head), key=lambda x: (-x[1], x[0]))
+        return merge_map(ranked, similar_edges(df.sparkSession, [v for v, _ in ranked], scorers, above))
+    counts = cut_lineage(counts)
+    table = merge_table(counts, scorers, above)
+    if table.limit(BROADCAST_VALUES + 1).count() <= BROADCAST_VALUES:
+        return Codes(table, True, ())
+    rows = counts.agg(F.sum("n")).first()[0]
+    return Codes(table, False, tuple(r["value"] for r in counts.where(F.col("n") > HOT_SHARE * rows).select("value").collect()))
+
+
+def merged_spellings(mapping: dict[str, str] | Codes) -> int:
+    return len(mapping) if isinstance(mapping, dict) else mapping.table.count()
+
+
+def apply_merge(df: DataFrame, column: str, mapping: dict[str, str] | Codes) -> DataFrame:
+    """Replace spellings through a lookup: broadcast if the table is small, else joined with frequent spellings salted."""
+    if isinstance(mapping, dict):
+        if not mapping:
+            return df
+        mapping = Codes(df.sparkSession.createDataFrame(list(mapping.items()), "value string, code string"), True, ())
+    joined = join_codes(df, column, mapping, "__to")
+    return with_columns(joined, {column: F.coalesce("__to", col(column))}).drop("__to")
 
 
 def fuzzy_merge(df: DataFrame, column: str, **options) -> DataFrame:

@@ -152,13 +152,14 @@ def _inconsistencies(df: DataFrame, target: str, op: dict, ctx: Context) -> Resu
     method = op.get("method")
     if method == "standardize_case":
         return Result(categories.standardise_case(df, target), details="trimmed and lower-cased")
-    options = {"max_unique": ctx.config.get("max_unique_for_fuzzy_matching", categories.MAX_UNIQUE)}
+    options = {"max_unique": ctx.config.get("max_unique_for_fuzzy_matching")}
     if "scorers" in op:
         options["scorers"] = tuple(op["scorers"])
     base = df if method == "fuzzy_match" else categories.standardise_case(df, target)
     mapping = categories.fit_merge(base, target, **options)
     _need(mapping is not None, "skipped", f"column {target} has more than {options['max_unique']} values")
-    return Result(categories.apply_merge(base, target, mapping), details=f"merged {len(mapping)} spellings", affected=len(mapping))
+    merged = categories.merged_spellings(mapping)
+    return Result(categories.apply_merge(base, target, mapping), details=f"merged {merged} spellings", affected=merged)
 
 
 def _rename(df: DataFrame, target: str, op: dict, ctx: Context) -> Result:
