@@ -2,8 +2,8 @@
 
 For the partial score the shorter string meets windows of the longer one of its own length, cut at the longer one's end. A
 score above the limit leaves so few unmatched characters on both sides that, of one more disjoint piece of the shorter
-string, one stands whole in the window. Pieces are looked up among the substrings of all strings by an equi-join; a pair that
-meets must also have nearly all letters of the shorter string in the longer one, which bit masks tell inside the join. What
+string, one stands whole in the window. Pieces are looked up among the substrings of all strings by an equi-join; a piece that very
+many strings hold (a common prefix, say) must have a second one from the rest of the string on the same side of it. A pair that meets must also have nearly all letters of the shorter string in the longer one, which bit masks tell inside the join. What
 is left is scored: first by the common subsequence with the whole longer string, a bound that runs over batches, then exactly.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from scour.functions.similarity import lcs_lengths, partial_ratios
 from scour.operators.pairs import _least_common, least_common
+from scour.session import cut_lineage
+
+# A piece that would bring more than this many pairs together is joined with one more piece.
+HOT_PAIRS = 250_000
 
 # One bit for each letter, by its code.
 MASK = "aggregate(array_distinct(split(value, '')), 0L, (m, c) -> m | shiftleft(1L, pmod(ascii(c), 64)))"
@@ -41,34 +46,91 @@ def least_shared(n: int, above: int) -> int:
     return min((least_common(n + w, above) for w in range(1, n + 1) if least_common(n + w, above) <= w), default=n)
 
 
-def _substrings(size: int) -> Column:
-    starts = F.sequence(F.lit(1), F.greatest(F.col("n") - (size - 1), F.lit(1)))
-    return F.transform(starts, lambda i: F.substring(F.col("value"), i, F.lit(size)))
+def _substrings(text: Column, size: int) -> Column:
+    """All substrings of a length, in order; a shorter text gives itself."""
+    starts = F.sequence(F.lit(1), F.greatest(F.char_length(text) - (size - 1), F.lit(1)))
+    return F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))
 
 
-def contained_pairs(nodes: DataFrame, above: int) -> DataFrame:
-    """(a, b) ids, smaller first, of pairs whose partial score is above the limit, the smaller id's value as the first string.
+def _cut(text: Column, first: Column, length: Column, parts: Column, side: int) -> Column:
+    """Structs (side, start, piece) of ``parts`` even pieces of ``length`` characters from ``first`` on; none if there are no parts."""
 
-    ``nodes``: id and value, both unique. An empty string is in no pair.
-    """
-    rows = nodes.where("value <> ''").select("id", "value", F.char_length("value").alias("n"), F.expr(MASK).alias("mask"))
-    parts = _edits(F.col("n"), above) + 1
-    short = rows.withColumn("parts", F.least(parts, F.col("n"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    start = F.floor(F.col("i") * F.col("n") / F.col("parts"))
-    size = F.floor((F.col("i") + 1) * F.col("n") / F.col("parts")) - start
-    short = short.withColumn("gram", F.substring("value", start.cast("int") + 1, size.cast("int"))).drop("i")
-    # Which lengths pieces have: a few small numbers.
-    sizes = sorted(r[0] for r in short.select(F.char_length("gram")).distinct().collect())
-    if not sizes:
-        return nodes.select(F.col("id").alias("a"), F.col("id").alias("b")).where("false")
-    long = rows.select("id", "value", "n", "mask", F.explode(F.array_distinct(F.concat(*map(_substrings, sizes)))).alias("gram"))
-    x, y = short.select("id", "value", "n", "mask", "gram").distinct().alias("x"), long.alias("y")
+    def piece(i: Column) -> Column:
+        start = F.floor(i * length / parts).cast("int")
+        size = F.floor((i + 1) * length / parts).cast("int") - start
+        return F.struct(F.lit(side).alias("side"), (first + start).alias("start"), F.substring(text, first + start + 1, size).alias("piece"))
+
+    return F.when(parts > 0, F.transform(F.sequence(F.lit(0), F.greatest(parts - 1, F.lit(0))), piece)).otherwise(F.array().cast("array<struct<side:int,start:int,piece:string>>"))
+
+
+def _lengths(pieces: DataFrame) -> list[int]:
+    """Which lengths pieces have: a few small numbers."""
+    return sorted(r[0] for r in pieces.select(F.char_length("piece")).distinct().collect())
+
+
+def _met(short: DataFrame, long: DataFrame, keys: list[str], above: int) -> DataFrame:
+    """Pairs (s, l) that share a key and nearly all letters, the shorter first; of two equally long ones the smaller id."""
     # With w >= common >= r * (n + w) / 2, at most this share of the shorter string's characters has no partner.
     spare = (2 - 2 * _share(above)) / (2 - _share(above)) + 1e-9
+    x, y = short.alias("x"), long.alias("y")
     missing = F.bit_count(F.col("x.mask").bitwiseAND(F.bitwise_not(F.col("y.mask"))))
     ordered = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") < F.col("y.id")))
-    met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & ordered & (missing <= F.floor(F.col("x.n") * spare)))
-    met = met.select(F.col("x.id").alias("s"), F.col("y.id").alias("l"), F.col("x.value").alias("short"), F.col("y.value").alias("long")).dropDuplicates(["s", "l"])
+    same = reduce(lambda a, b: a & b, [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys])
+    met = x.join(y, same & ordered & (missing <= F.floor(F.col("x.n") * spare)))
+    return met.select(F.col("x.id").alias("s"), F.col("y.id").alias("l"), F.col("x.value").alias("short"), F.col("y.value").alias("long"))
+
+
+def _refined(rows: DataFrame, short: DataFrame, hot: DataFrame, above: int) -> DataFrame:
+    """Pairs that share a piece held by very many strings, by one more piece before or behind it.
+
+    If a piece stands whole in the window, the rest of the shorter string, cut into as many pieces again, has one that does, on the same side.
+    """
+    before, behind = F.col("start"), F.col("n") - F.col("start") - F.col("size")
+    ahead = F.floor(F.col("parts") * before / (before + behind)).cast("int")
+    rest = F.concat(_cut(F.col("value"), F.lit(0), before, ahead, 0), _cut(F.col("value"), F.col("start") + F.col("size"), behind, F.col("parts") - ahead, 1))
+    seconds = short.withColumnRenamed("piece", "first").withColumn("second", F.explode(rest)).select("id", "value", "n", "mask", "first", "second.side", "second.piece")
+    sizes = _lengths(seconds)
+    if not sizes:
+        return _met(seconds, seconds, ["id"], above)
+    longest = short.agg(F.max("n")).first()[0]
+    firsts = F.concat(*[F.transform(_substrings(F.col("value"), k), lambda p, i: F.struct((i + 1).alias("at"), p.alias("first"))) for k in _lengths(hot)])
+    spots = rows.withColumn("spot", F.explode(firsts)).select("id", "value", "n", "mask", "spot.*").join(hot.withColumnRenamed("piece", "first"), "first")
+    left = F.substring("value", F.greatest(F.col("at") - longest, F.lit(1)), F.least(F.col("at") - 1, F.lit(longest)))
+    right = F.substring("value", F.col("at") + F.char_length("first"), F.lit(longest))
+    near = [F.transform(_substrings(text, k), lambda p: F.struct(F.lit(side).alias("side"), p.alias("piece"))) for side, text in ((0, left), (1, right)) for k in sizes]  # noqa: B023
+    other = spots.withColumn("o", F.explode(F.array_distinct(F.concat(*near)))).select("id", "value", "n", "mask", "first", "o.*")
+    return _met(seconds, other, ["first", "side", "piece"], above)
+
+
+def _candidates(rows: DataFrame, above: int) -> DataFrame:
+    parts = F.least(_edits(F.col("n"), above) + 1, F.col("n"))
+    short = rows.withColumn("parts", parts).withColumn("cut", F.explode(_cut(F.col("value"), F.lit(0), F.col("n"), F.col("parts"), 0)))
+    short = short.select("id", "value", "n", "mask", "parts", "cut.start", "cut.piece", F.char_length("cut.piece").alias("size"))
+    sizes = _lengths(short)
+    if not sizes:
+        return _met(short, short, ["id"], above)
+    every = F.array_distinct(F.concat(*[_substrings(F.col("value"), k) for k in sizes]))
+    long = rows.withColumn("piece", F.explode(every))
+    if rows.count() ** 2 <= HOT_PAIRS:
+        return _met(short, long, ["piece"], above)
+    n, m = (df.groupBy("piece").agg(F.count(F.lit(1)).alias(c)) for df, c in ((short, "n"), (long, "m")))
+    hot = cut_lineage(n.join(m, "piece").where(F.col("n") * F.col("m") > HOT_PAIRS).select("piece"))
+    if not hot.limit(1).count():
+        return _met(short, long, ["piece"], above)
+    # A piece with too little around it stays with the first join; its pairs are similar but for a few characters.
+    fits = F.col("n") - F.col("size") >= F.col("parts")
+    crowded = short.join(hot, "piece", "left_semi").where(fits)
+    plain = short.join(hot.withColumn("hot", F.lit(True)), "piece", "left").where(F.col("hot").isNull() | ~fits)
+    return _met(plain, long, ["piece"], above).union(_refined(rows, cut_lineage(crowded), hot, above))
+
+
+def contained_pairs(nodes: DataFrame, above: int) -> DataFrame:
+    """(a, b) ids, smaller first, of pairs whose partial score is above the limit, the smaller id's value as the first string.
+
+    ``nodes``: id and value, both unique. An empty string is in no pair.
+    """
+    rows = cut_lineage(nodes.where("value <> ''").select("id", "value", F.char_length("value").alias("n"), F.expr(MASK).alias("mask")))
+    met = _candidates(rows, above).dropDuplicates(["s", "l"])
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         need: dict[int, int] = {}

@@ -6,7 +6,7 @@ from itertools import combinations
 import pytest
 
 from scour.functions import similarity as sim
-from scour.operators import categories
+from scour.operators import categories, contained
 from scour.operators.clusters import greedy_clusters
 from scour.operators.contained import contained_pairs
 from tests.test_spelling import some_texts
@@ -43,8 +43,10 @@ def test_rounds_equal_the_sequential_rule(spark, frame, seed, n, m):
     assert dict(map(tuple, found.collect())) == sequential(n, near)
 
 
-@pytest.mark.parametrize("above", [80, 90])
-def test_contained_pairs_equal_brute_force(frame, above):
+@pytest.mark.parametrize("above, hot", [(80, 20), (80, 10**9), (90, 20)])
+def test_contained_pairs_equal_brute_force(frame, monkeypatch, above, hot):
+    """Also where every common piece needs a second one."""
+    monkeypatch.setattr(contained, "HOT_PAIRS", hot)
     texts = some_texts(21, 130, "abcd", 9) + some_texts(5, 60, "abcdefgh", 40) + ["Ä🙂b", "xÄ🙂bx", ""]
     texts = sorted(set(texts))
     random.Random(3).shuffle(texts)
