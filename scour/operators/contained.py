@@ -18,15 +18,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from scour.functions.similarity import lcs_lengths, partial_ratios
-from scour.operators.pairs import _least_common, least_common
+from scour.operators.pairs import LETTERS, _least_common, least_common
 from scour.session import cut_lineage
 
 # A piece that would bring more than this many pairs together is joined with one more piece.
 HOT_PAIRS = 250_000
 
-# One bit for each letter, by its code.
-MASK = "aggregate(array_distinct(split(value, '')), 0L, (m, c) -> m | shiftleft(1L, pmod(ascii(c), 64)))"
-
 
 def _share(above: int) -> float:
     """The least ratio, from 0 to 1, that rounds to more than ``above``."""
@@ -129,7 +126,7 @@ def contained_pairs(nodes: DataFrame, above: int) -> DataFrame:
 
     ``nodes``: id and value, both unique. An empty string is in no pair.
     """
-    rows = cut_lineage(nodes.where("value <> ''").select("id", "value", F.char_length("value").alias("n"), F.expr(MASK).alias("mask")))
+    rows = cut_lineage(nodes.where("value <> ''").select("id", "value", F.char_length("value").alias("n"), F.expr(LETTERS).alias("mask")))
     met = _candidates(rows, above).dropDuplicates(["s", "l"])
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -22,6 +22,8 @@ PIECE_LENGTH = 64
 HOT_PAIRS = 250_000
 BLOCK_VALUES = 256
 BAG_BINS = 128
+# One bit for each letter, by its code.
+LETTERS = "aggregate(array_distinct(split(value, '')), 0L, (m, c) -> m | shiftleft(1L, pmod(ascii(c), 64)))"
 
 
 def _least_common(total: Column, above: int) -> Column:
@@ -36,17 +38,17 @@ def least_common(total: int, above: int) -> int:
     return scaled // 2000 + 1 if above % 2 == 0 else -(-scaled // 2000)
 
 
-def _length_pairs(values: DataFrame, side: str, above: int) -> DataFrame:
-    """Each value with every partner length it can be similar to, as (short_len, long_len, edits)."""
+def _length_pairs(values: DataFrame, side: str, above: int, lengths: list[int]) -> DataFrame:
+    """Each value with every partner length that occurs and that it can be similar to, as (short_len, long_len, edits)."""
     part = (10 * above + 5) / (2000 - (10 * above + 5))
     n = F.char_length("value")
     if side == "short":
         rows = values.where(n <= PIECE_LENGTH).withColumn("short_len", n)
-        rows = rows.withColumn("long_len", F.explode(F.sequence(n, F.floor(n / part + 1e-9).cast("int"))))
+        rows = rows.withColumn("long_len", F.explode(F.sequence(n, F.floor(n / part + 1e-9).cast("int")))).where(F.col("long_len").isin(lengths))
     else:
         rows = values.where(n <= PIECE_LENGTH / part + 1).withColumn("long_len", n)
         rows = rows.withColumn("short_len", F.explode(F.sequence(F.ceil(n * part - 1e-9).cast("int"), n)))
-        rows = rows.where(F.col("short_len") <= PIECE_LENGTH)
+        rows = rows.where((F.col("short_len") <= PIECE_LENGTH) & F.col("short_len").isin(lengths))
     total = F.col("short_len") + F.col("long_len")
     rows = rows.withColumn("edits", (total - 2 * _least_common(total, above)).cast("int"))
     return rows.where(F.col("edits") >= F.col("long_len") - F.col("short_len"))
@@ -77,25 +79,37 @@ def _pieces(rows: DataFrame, side: str) -> DataFrame:
 
 def _sides(values: DataFrame, above: int) -> tuple[DataFrame, DataFrame]:
     out = []
+    n = F.char_length("value").alias("n")
+    reach = 2 * PIECE_LENGTH * 1000 // (5 * above + 1) + 2  # no string of piece length is similar to a longer one
+    lengths = sorted(r["n"] for r in values.select(n).where(F.col("n") <= reach).distinct().collect())
     for side in ("short", "long"):
-        rows = _length_pairs(values, side, above).withColumns(
+        rows = _length_pairs(values, side, above, lengths).withColumns(
             {
                 "rest": F.col("value"),
                 "short_rest": F.col("short_len"),
                 "long_rest": F.col("long_len"),
                 "key": F.xxhash64("column", "short_len", "long_len"),
+                "letters": F.expr(LETTERS),
+                "spare_short": ((F.col("edits") - F.col("long_len") + F.col("short_len")) / 2).cast("int"),
+                "spare_long": ((F.col("edits") + F.col("long_len") - F.col("short_len")) / 2).cast("int"),
             }
         )
         out.append(_pieces(rows.drop("short_len", "long_len"), side))
     return out[0], out[1]
 
 
+def _lacking(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseAND(F.bitwise_not(F.col(b))))
+
+
 def _met(short: DataFrame, long: DataFrame) -> DataFrame:
     """Pairs that share a key, each once; of two equally long strings the smaller counts as the short one."""
-    a = short.select("key", "column", F.col("value").alias("a"))
-    b = long.select("key", F.col("column").alias("__column"), F.col("value").alias("b"))
+    a = short.select("key", "column", F.col("value").alias("a"), F.col("letters").alias("__a"), F.col("spare_short").alias("__s"))
+    b = long.select("key", F.col("column").alias("__column"), F.col("value").alias("b"), F.col("letters").alias("__b"), F.col("spare_long").alias("__l"))
     ordered = (F.char_length("a") < F.char_length("b")) | (F.col("a") < F.col("b"))
-    meet = a.join(b, (a["key"] == b["key"]) & (F.col("column") == F.col("__column")) & ordered)
+    # Every letter that the other string lacks is an unmatched character.
+    alike = (_lacking("__a", "__b") <= F.col("__s")) & (_lacking("__b", "__a") <= F.col("__l"))
+    meet = a.join(b, (a["key"] == b["key"]) & (F.col("column") == F.col("__column")) & ordered & alike)
     return meet.select("column", "a", "b").distinct()
 
 
