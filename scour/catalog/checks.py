@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from scour.catalog.base import DIRTY_SQL, GAPS_SQL, HEAVY_SQL, Tables, q6, query, rounded
+from scour.catalog.base import DIRTY_SQL, GAPS_SQL, HEAVY_SQL, Tables, q6, query, r6, rounded
 from scour.catalog.cleaning import MODE_SQL, _adaptive, _fences
 from scour.catalog.spelling import similar_sql
 from scour.operators import profile
@@ -292,12 +292,17 @@ def clean_stage(t: Tables):
     return rounded(out, "l_quantity", "l_extendedprice")
 
 
-@query("clean_and_aggregate", f"{CLEANED} SELECT l_returnflag, ROUND(SUM(l_extendedprice), 2) AS l_extendedprice FROM c GROUP BY 1")
+@query(
+    "clean_and_aggregate",
+    f"{CLEANED} SELECT l_returnflag, CAST(ROUND(SUM(CAST({q6('l_extendedprice')} AS DECIMAL(24, 6))), 2) AS DOUBLE) AS l_extendedprice FROM c GROUP BY 1",
+)
 def clean_and_aggregate(t: Tables):
+    """Sums of decimals: a sum of doubles depends on the order of its terms."""
     clean, _ = apply_stage(t.gaps, CLEAN_PLAN, "cleaning", config={"count_rows": False})
+    clean = clean.withColumn("l_extendedprice", r6("l_extendedprice").cast("decimal(24, 6)"))
     op = {"operation": "aggregate", "group_by_cols": "l_returnflag", "target_column": "l_extendedprice", "method": "sum"}
     out, _ = apply_stage(clean, {"global": [op]}, "modification")
-    return out.withColumn("l_extendedprice", F.round("l_extendedprice", 2))
+    return out.withColumn("l_extendedprice", F.round("l_extendedprice", 2).cast("double"))
 
 
 def _run(t: Tables):

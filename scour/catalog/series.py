@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from scour.catalog.base import Tables, q6, query, rounded
-from scour.questions import happenings as hp, series as qs
+from scour.questions import happenings as hp, rows as rq, series as qs
 
 K = ["o_orderstatus"]
 
@@ -315,3 +315,47 @@ def compare_datasets(t: Tables):
         "events": qs.daily_bars(t.events, "ts", "value", ["ts", "event_id"]),
     }
     return rounded(qs.compare_datasets(tables), "mean", "std")
+
+
+ROW = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+LINES = f"ORDER BY {', '.join(ROW)}"
+
+
+@query(
+    "moving_average_rows",
+    f"""SELECT {', '.join(ROW)}, CASE WHEN COUNT(*) OVER a = 5 THEN {q6("AVG(l_quantity) OVER a")} END AS ma_5,
+ CASE WHEN COUNT(*) OVER b = 30 THEN {q6("AVG(l_quantity) OVER b")} END AS ma_30
+ FROM lineitem WINDOW a AS ({LINES} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), b AS ({LINES} ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)""",
+)
+def moving_average_rows(t: Tables):
+    """One series of all rows, without a key."""
+    lines = t.lineitem.select(*ROW, "l_quantity")
+    out = rq.moving_average(lines, [], ROW, "l_quantity", [5, 30])
+    return rounded(out, "ma_5", "ma_30").drop("l_quantity")
+
+
+@query(
+    "percent_change_rows",
+    f"""SELECT {', '.join(ROW)}, l_returnflag, {q6("(l_quantity - lag(l_quantity) OVER w) * 100 / nullif(lag(l_quantity) OVER w, 0)")} AS change_pct
+ FROM lineitem WINDOW w AS (PARTITION BY l_returnflag {LINES})""",
+)
+def percent_change_rows(t: Tables):
+    """Few keys, each with a large share of the rows."""
+    lines = t.lineitem.select(*ROW, "l_returnflag", "l_quantity")
+    out = rq.changes(lines, ["l_returnflag"], ROW, "l_quantity")
+    return rounded(out, "change_pct").drop("l_quantity", "previous", "change")
+
+
+@query(
+    "longest_streak_rows",
+    f"""WITH s AS (SELECT *, row_number() OVER ({LINES}) AS r, sign(l_quantity - lag(l_quantity) OVER ({LINES})) AS g FROM lineitem),
+ i AS (SELECT *, r - row_number() OVER (PARTITION BY g ORDER BY r) AS run FROM s WHERE g IS NOT NULL),
+ n AS (SELECT g, run, COUNT(*) AS length, MIN(r) AS first, MAX(r) AS last FROM i GROUP BY 1, 2),
+ b AS (SELECT g, arg_min({{'n': length, 'f': first, 'l': last}}, (-length, first)) AS x FROM n GROUP BY g)
+ SELECT CASE WHEN b.g > 0 THEN 'rising' WHEN b.g < 0 THEN 'falling' ELSE 'equal' END AS direction, x.n AS length,
+  {', '.join(f"{t}.{c} AS {side}_{c}" for t, side in (("f", "first"), ("e", "last")) for c in ROW)}
+ FROM b JOIN s f ON f.r = x.f JOIN s e ON e.r = x.l""",
+)
+def longest_streak_rows(t: Tables):
+    """Runs over all rows, without a key."""
+    return rq.longest_streaks(t.lineitem, [], ROW, "l_quantity")
