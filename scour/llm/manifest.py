@@ -114,16 +114,16 @@ def _linked(nodes: DataFrame) -> DataFrame:
 
 
 CLIMB = """WITH RECURSIVE climb(tree, run, at_tree, at_level, at_idx, at_copy, folded, path) MAX RECURSION LEVEL 100 AS (
- SELECT tree, run, at_tree, at_level, at_idx, 0, folded, '' FROM {runs}
+ SELECT tree, run, at_tree, at_level, at_idx, 0, folded, CAST('' AS BINARY) FROM {runs}
  UNION ALL
  SELECT c.tree, c.run, n.parent_tree, n.parent_level, n.parent_idx, CAST(pmod(xxhash64(c.tree, c.run), n.parent_copies) AS INT),
-  transform(c.folded, h -> IF(n.folds, sha2(concat(n.left, h, n.right), 256), h)), concat(c.path, n.left, n.right)
+  transform(c.folded, h -> IF(n.folds, sha2(concat(n.left, h, n.right), 256), h)), concat(c.path, unhex(n.left), unhex(n.right))
  FROM climb c JOIN {nodes} n ON n.tree = c.at_tree AND n.level = c.at_level AND n.idx = c.at_idx AND n.copy = c.at_copy)
 SELECT tree, run, folded, path FROM climb WHERE at_tree IS NULL"""
 
 
 def climb(manifest: dict[str, DataFrame]) -> DataFrame:
-    """(tree, run, folded, path) for each run of leaves: what its leaves' ``seen`` hashes fold to, and the siblings above the run."""
+    """(tree, run, folded, path) for each run of leaves: what its leaves' ``seen`` hashes fold to, and the siblings' digests above the run, in bytes."""
     runs = manifest["runs"]
     spark = runs.sparkSession
     siblings = lambda x, i: (F.array_join(F.slice("digests", F.lit(1), i), ""), F.array_join(F.slice("digests", i + 2, F.lit(FAN)), ""))
@@ -155,7 +155,7 @@ def verified(docs: DataFrame, seen: Column | None = None, fields: Sequence[str]
     runs, above, roots = manifest["runs"], climb(manifest), manifest["roots"]
     rows = runs.join(above, ["tree", "run"]).join(if_small(roots), "tree")
     rows = rows.select("*", F.transform("leaves", lambda x: x["digest"]).alias("digests")).select("*", F.posexplode("leaves").alias("place", "own"))
-    proof = F.concat(F.array_join(F.slice("digests", F.lit(1), F.col("place")), ""), F.array_join(F.slice("digests", F.col("place") + 2, F.lit(FAN)), ""), F.col("path"))
+    proof = F.concat(F.array_join(F.slice("digests", F.lit(1), F.col("place")), ""), F.array_join(F.slice("digests", F.col("place") + 2, F.lit(FAN)), ""), F.lower(F.hex("path")))
     folded = F.element_at("folded", F.col("place") + 1)
     return rows.select(
         F.col("own.doc_id").alias("doc_id"), F.col("own.digest").alias("leaf"), "subroot", "root", F.sha2(proof, 256).alias("proof_sha256"),
