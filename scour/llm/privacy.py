@@ -10,10 +10,14 @@ however often copied, does not count: a context is the text within ``REACH`` cha
 has one, or, for the words within it, one for each mention.
 
 Patterns use possessive loops and look at each run of characters once, so that long runs cost linear time and no
-stack; they match what the plain patterns match from left to right.
+stack; they match what the plain patterns match from left to right (runs of fewer than 12 digits, which are dropped,
+are not looked for). Positions are running sums that are put together from blocks (``running``), and pieces of a long
+text are taken from blocks of it (``stretch``), so that a text of many matches costs time in proportion to them. Base
+spans are covered by ``MASK`` before words are read, so that no word is compared with all spans.
 
 Defined results: a null text is empty. Positions are code points, ends exclusive. Rows are judged one by one;
-rows equal in id and text get equal spans. Terms never overlap base spans. Extra columns pass through.
+rows equal in id and text get equal spans. Terms never overlap base spans, nor stand against one without a character
+in between. Extra columns pass through.
 """
 
 from __future__ import annotations
@@ -30,14 +34,19 @@ HOST = "[A-Za-z0-9-]"
 PATTERNS = {
     "email": rf"(?:(?<!{LOCAL})|\G){LOCAL}++@{HOST}++(?:\.{HOST}++)++",
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[ -]?[0-9])++",
+    "card": r"[0-9](?:[ -]?[0-9]){11,}+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 HINTS = {"email": "@", "ip": ".", "phone": "+"}
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 ADDED = ["generalised", "removed"]
-WORD = r"\p{L}[\p{L}\p{M}\p{N}_'-]*+"
+# Stands for each character of a base span; Unicode sets it aside for the inside of programs.
+MASK = "\ufdd0"
+WORD = rf"[\p{{L}}{MASK}][\p{{L}}\p{{M}}\p{{N}}_'{MASK}-]*+"
 REACH = 100
+# Items and code points of a block.
+BLOCK = 256
+STRETCH = 1024
 # Tables of at most so many words are broadcast; larger ones are joined by shuffle.
 BROADCAST = 200_000
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
@@ -68,19 +77,74 @@ def _valid(kind: str, value: Column) -> Column:
     return F.when(F.length(digits).between(12, 19), _luhn(digits)).otherwise(False)
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(numbers: Column, add) -> Column:
+    """For each number all before it, put together by ``add`` from 0 on. Only arrays of a block, and that of the blocks' totals, grow."""
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.struct(add(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    def walk(first: Column, block: Column) -> Column:
+        return F.aggregate(block, F.struct(first.alias("at"), F.array().cast("array<int>").alias("out")), step, lambda acc: acc["out"])
+
+    def joined(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), add))
+        return F.flatten(F.zip_with(walk(F.lit(0), totals), blocks, walk))
+
+    # Without numbers the blocks 0 and -1 are asked for, and both are empty.
+    numbered = F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / BLOCK).cast("int"))
+    return _let(F.transform(numbered, lambda b: F.slice(numbers, b * BLOCK + 1, BLOCK)), joined)
+
+
 def located(text: Column, pattern: str) -> Column:
     """(start, end, value) of all matches from left to right: what lies between matches and the matches, laid end to end."""
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("values"), F.split(text, pattern, -1).alias("between"))
+
+    def spans(pairs: Column) -> Column:
+        def span(at: Column, x: Column) -> Column:
+            return F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["size"]).alias("end"), x["value"].alias("value"))
+
+        return _let(F.transform(pairs, lambda x: x["gap"] + x["size"]), lambda sizes: F.zip_with(running(sizes, lambda a, b: a + b), pairs, span))
+
+    def pair(gap: Column, v: Column) -> Column:
+        return F.struct(F.length(gap).alias("gap"), F.length(v).alias("size"), v.alias("value"))
+
+    return _let(both, lambda p: _let(F.zip_with(F.slice(p["between"], 1, F.size(p["values"])), p["values"], pair), spans))
+
+
+def _blocks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{STRETCH}}}"), F.lit(0))
 
-    def step(acc: Column, x: Column) -> Column:
-        here = acc["at"] + x["gap"]
-        return F.struct((here + x["size"]).alias("at"), F.concat(acc["out"], F.array(here)).alias("out"))
 
-    pairs = F.zip_with(F.slice(between, 1, F.size(values)), values, lambda gap, v: F.struct(F.length(gap).alias("gap"), F.length(v).alias("size")))
-    starts = F.aggregate(pairs, start, step, lambda acc: acc["out"])
-    return F.zip_with(starts, values, lambda s, v: F.struct(s.alias("start"), (s + F.length(v)).alias("end"), v.alias("value")))
+def stretch(blocks: Column, start: Column, end: Column) -> Column:
+    """The text from ``start`` to ``end``, read from the blocks that have it."""
+    first = F.floor(start / STRETCH).cast("int")
+    last = F.floor((end - 1) / STRETCH).cast("int")
+    held = F.concat_ws("", F.slice(blocks, first + 1, last - first + 1))
+    return F.when(end > start, F.substring(held, start % STRETCH + 1, end - start)).otherwise("")
+
+
+def _rewritten(text: Column, spans: Column, shown) -> Column:
+    """The text with ``shown(at, span)`` for each span; ``at`` is where all spans before it end."""
+
+    def done(blocks: Column) -> Column:
+        def part(at: Column, s: Column) -> Column:
+            return F.concat(stretch(blocks, at, s["start"]), shown(at, s))
+
+        ends = F.transform(spans, lambda s: s["end"])
+        parts = _let(ends, lambda e: F.zip_with(running(e, lambda a, b: F.greatest(a, b)), spans, part))
+        return F.concat(F.concat_ws("", parts), stretch(blocks, F.array_max(ends), F.length(text)))
+
+    return F.when(F.size(spans) > 0, _let(_blocks(text), done)).otherwise(text)
+
+
+def masked(text: Column, base: Column) -> Column:
+    """The text with ``MASK`` for each character of a base span."""
+    return _rewritten(text, base, lambda at, b: F.repeat(F.lit(MASK), F.greatest(b["end"] - F.greatest(at, b["start"]), F.lit(0))))
 
 
 def base_spans(text: Column) -> Column:
@@ -96,41 +160,37 @@ def base_spans(text: Column) -> Column:
 
 
 def _mentions(some: DataFrame) -> DataFrame:
-    """(key, base, m, low, near, n, entity, context) of every mention of an entity, with the text around it."""
-    low = F.greatest(F.col("m.start") - REACH, F.lit(0))
-    value = F.when(F.col("m.kind") == KINDS.index("email"), F.lower("m.value")).when(F.col("m.kind") == KINDS.index("ip"), F.col("m.value")).otherwise(_digits(F.col("m.value")))
-    rows = some.select("key", "text", "base", F.explode("base").alias("m")).select("key", "base", "m", low.alias("low"), F.substring("text", low + 1, F.col("m.end") - low + REACH).alias("near"), F.length("text").alias("n"))
-    return rows.withColumns({"entity": F.concat_ws(":", F.col("m.kind"), value), "context": F.xxhash64("near")})
-
+    """(key, entity, context, near) of every mention of an entity, with the words of the text around it."""
 
-def _near_terms(mentions: DataFrame) -> DataFrame:
-    """(key, entity, context, term) of the words near each mention, whole words only."""
-    rows = mentions.withColumn("w", F.explode(located(F.col("near"), WORD)))
-    start, end = F.col("low") + F.col("w.start"), F.col("low") + F.col("w.end")
-    whole = ((F.col("w.start") > 0) | (F.col("low") == 0)) & ((F.col("w.end") < F.length("near")) | (end == F.col("n")))
-    clear = ~F.exists("base", lambda b: (b["start"] < end) & (start < b["end"]))
-    return rows.where(whole & clear & (F.length("w.value") > 1)).select("key", "entity", "context", F.lower("w.value").alias("term"))
+    def around(own: Column, cover: Column) -> Column:
+        def one(m: Column) -> Column:
+            low, high = F.greatest(m["start"] - REACH, F.lit(0)), F.least(m["end"] + REACH, F.length("text"))
+            # A word that is cut by the end of the stretch touches the mask there.
+            ends = [F.when(low > 0, MASK).otherwise(""), F.when(high < F.length("text"), MASK).otherwise("")]
+            value = F.when(m["kind"] == KINDS.index("email"), F.lower(m["value"])).when(m["kind"] == KINDS.index("ip"), m["value"]).otherwise(_digits(m["value"]))
+            words = _words(F.concat(ends[0], stretch(cover, low, high), ends[1]))
+            return F.struct(F.concat_ws(":", m["kind"], value).alias("entity"), F.xxhash64(stretch(own, low, high)).alias("context"), words.alias("near"))
 
+        return F.transform("base", one)
 
-def _words(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
+    found = _let(_blocks(F.col("text")), lambda own: _let(_blocks(F.col("cover")), lambda cover: around(own, cover)))
+    return some.select("key", F.explode(found).alias("m")).select("key", "m.entity", "m.context", "m.near")
 
 
-def _without_base(text: Column, base: Column) -> Column:
-    """The text with a blank for each base span."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+def _near_terms(mentions: DataFrame) -> DataFrame:
+    """(key, entity, context, term) of the words near each mention, whole words only."""
+    return mentions.select("key", "entity", "context", F.explode("near").alias("term")).where(F.length("term") > 1)
 
-    def step(acc: Column, b: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, F.greatest(b["start"] - acc["at"], F.lit(0)))
-        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["out"], F.array(gap)).alias("out"))
 
-    return F.aggregate(base, start, step, lambda acc: F.concat_ws(" ", acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+def _words(text: Column) -> Column:
+    """The words of a text, lower-cased, each once; none that touches a base span."""
+    return F.filter(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))), lambda w: ~F.contains(w, F.lit(MASK)))
 
 
 def disclosing(docs: DataFrame, some: DataFrame, text: Column, generalise_at: float, remove_at: float, contexts: int) -> DataFrame:
     """(term, kind) of the terms that disclose too much of some entity, from counts over the whole corpus.
 
-    ``some`` are the documents with a base match, each once. Two kinds of pairs are counted: words near a mention,
+    ``some`` are the documents with a base match, each once, and their masked text as ``cover``. Two kinds of pairs are counted: words near a mention,
     where each mention is a context, and words anywhere in a document, where the document is one context.
     """
     total = float(max(docs.count(), 2))
@@ -146,7 +206,7 @@ def disclosing(docs: DataFrame, some: DataFrame, text: Column, generalise_at: fl
     again = cut_lineage(here.join(if_small(entities.where(F.col("n_entity") >= least)), "entity").withColumn("most", most))
     limit = again.agg(F.max("most")).first()[0] or 0.0
     rare = cut_lineage(counts.where(F.col("n_term").between(least, limit) & (F.length("term") > 1)))
-    held = some.join(again.select("key").distinct(), "key", "left_semi").select("key", F.explode(_words(_without_base(F.col("text"), F.col("base")))).alias("term"))
+    held = some.join(again.select("key").distinct(), "key", "left_semi").select("key", F.explode(_words(F.col("cover"))).alias("term"))
     pairs = held.join(if_small(rare, BROADCAST), "term").join(again, "key").where(F.col("n_term") <= F.col("most"))
     # Copies of one context are added up before the contexts are counted.
     anywhere = pairs.groupBy("entity", "term", "context").agg(F.count("*").alias("both")).groupBy("entity", "term").agg(F.sum("both").alias("both"), F.count("*").alias("contexts"))
@@ -167,14 +227,16 @@ def personal_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     found, key = fresh(docs, "personal"), "key"
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    inputs = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), body.alias("text"), F.xxhash64(F.col(f"`{doc_id}`"), body).alias(key))
-    base = inputs.withColumn("base", base_spans(F.col("text")))
-    some = cut_lineage(base.where(F.size("base") > 0).select(key, "text", "base").dropDuplicates([key]))
+    inputs = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(F.col(f"`{doc_id}`"), body).alias(key))
+    own = F.coalesce(F.col("row").getField(text).cast("string"), F.lit(""))
+    base = inputs.withColumn("base", base_spans(own))
+    some = base.where(F.size("base") > 0).select(key, own.alias("text"), "base").dropDuplicates([key])
+    some = cut_lineage(some.withColumn("cover", masked(F.col("text"), F.col("base"))))
     flagged = cut_lineage(disclosing(docs, some, body, generalise_at, remove_at, contexts))
-    words = inputs.select(key, F.explode(_words(F.col("text"))).alias("term"))
+    words = inputs.select(key, F.explode(_words(own)).alias("term"))
     marks = words.join(if_small(flagged, BROADCAST), "term").groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("term", "kind"))).alias("marks"))
     marked = base.join(marks, key, "left")
-    places = F.filter(located(F.col("text"), WORD), lambda w: F.map_contains_key("marks", F.lower(w["value"])) & ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
+    places = F.filter(located(masked(own, F.col("base")), WORD), lambda w: F.map_contains_key("marks", F.lower(w["value"])))
     added = F.transform(places, lambda w: F.struct(w["start"].alias("start"), F.element_at("marks", F.lower(w["value"])).alias("kind"), w["end"].alias("end"), w["value"].alias("value")))
     spans = F.when(F.col("marks").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", added.cast(SPAN))))
     return marked.select("row", spans.cast(SPAN).alias(found)).select("row.*", found), found
@@ -197,15 +259,9 @@ def sanitised(docs: DataFrame, text: str = "text", **options) -> DataFrame:
         return F.when(s["kind"] < len(KINDS), F.try_element_at(labels, s["kind"] + 1)).when(s["kind"] == len(KINDS), word).otherwise("")
 
     # Overlapping spans are rewritten as one, under the label of the first.
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col(f"`{text}`"), acc["at"] + 1, s["start"] - acc["at"])
-        new = F.concat(acc["out"], gap, shown(s))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], new).otherwise(acc["out"]).alias("out"))
-
-    rewritten = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(f"`{text}`"), acc["at"] + 1, F.length(F.col(f"`{text}`")))))
-    df = df.withColumn(text, F.when(F.size(spans) > 0, rewritten).otherwise(F.col(f"`{text}`")))
+    body = F.col(f"`{text}`")
+    rewritten = _rewritten(body, spans, lambda at, s: F.when(s["start"] >= at, shown(s)).otherwise(""))
+    df = df.withColumn(text, F.when(F.size(spans) > 0, rewritten).otherwise(body))
     if "n_chars" in docs.columns:
         df = df.withColumn("n_chars", F.length(F.col(f"`{text}`")).cast(docs.schema["n_chars"].dataType))
     return df.select(*[F.col(f"`{c}`") for c in docs.columns])

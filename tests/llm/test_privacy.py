@@ -1,7 +1,9 @@
 import hashlib
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from scour.llm import privacy, queries
 
@@ -44,6 +46,30 @@ def test_base_equals_plain_patterns(spark, texts, part):
     assert got == sorted((str(i), t or "", ",".join(brute(t))) for i, t in rows)
 
 
+@pytest.mark.parametrize("make", ["addresses", "words"])
+def test_time_grows_with_the_matches(spark, make):
+    def seconds(n):
+        text = " ".join(f"10.0.{i % 256}.{i // 256}" if make == "addresses" else f"word{i}" for i in range(n))
+        df = spark.createDataFrame([(text,)], "text string")
+        spans = privacy.base_spans(F.col("text")) if make == "addresses" else privacy.located(F.col("text"), privacy.WORD)
+        begun = time.monotonic()
+        assert df.select(spans.alias("s")).select(F.size("s")).first()[0] == n
+        return time.monotonic() - begun
+
+    seconds(1000)
+    assert seconds(60000) < 6 * seconds(15000)
+
+
+@pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 1000])
+def test_running_and_masked(spark, n):
+    numbers = [(i * 7) % 11 for i in range(n)]
+    df = spark.createDataFrame([(numbers, "é🙂." * n)], "n array<int>, text string")
+    cuts = F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: F.struct((i * 3).alias("start"), F.lit(0).alias("kind"), (i * 3 + i % 3).alias("end"), F.lit("").alias("value")))
+    r = df.select(privacy.running(F.col("n"), lambda a, b: a + b).alias("sums"), privacy.masked(F.col("text"), F.filter(cuts, lambda c: c["end"] <= F.length("text"))).alias("m")).first()
+    assert r.sums == [sum(numbers[:i]) for i in range(n)]
+    assert r.m == "".join(privacy.MASK * (i % 3) + "é🙂."[i % 3 :] for i in range(n))
+
+
 def test_query(spark, texts):
     rows = queries.QUERIES["op4_personal_data"](spark, FOLDER).collect()
     assert len(rows) == len(texts)
