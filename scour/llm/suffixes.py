@@ -197,9 +197,18 @@ def _lowest_ids(stretches: list[tuple[int, bytes]], low: np.ndarray, many: np.nd
     return runs[:, np.argsort(runs[0], kind="stable")]
 
 
-def repeated_spans(docs: DataFrame, match: int = MATCH, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, str]:
+def _to_whole_characters(text: bytes, start: int, end: int) -> tuple[int, int]:
+    """The run, and the rest of a character that either of its ends cuts in two."""
+    while start > 0 and start < len(text) and text[start] & 0xC0 == 0x80:
+        start -= 1
+    while end < len(text) and text[end] & 0xC0 == 0x80:
+        end += 1
+    return start, end
+
+
+def repeated_spans(docs: DataFrame, match: int = MATCH, doc_id: str = "doc_id", text: str = "text", whole_characters: bool = False) -> tuple[DataFrame, str]:
     """All columns and, under a free name that is returned too, a struct: ``starts`` and ``ends`` of the maximal
-    removed byte runs, and ``kept``, the bytes that stay."""
+    removed byte runs, and ``kept``, the bytes that stay; with ``whole_characters`` without those of cut characters."""
     if match < 2 * GRAM:
         raise ValueError(f"match must be at least {2 * GRAM}")
     spark = docs.sparkSession
@@ -328,6 +337,10 @@ def repeated_spans(docs: DataFrame, match: int = MATCH, doc_id: str = "doc_id",
             change = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0))
             starts.append(change[::2].tolist())
             ends.append(change[1::2].tolist())
+            if whole_characters:
+                for b, e in zip(starts[-1], ends[-1], strict=True):
+                    b, e = _to_whole_characters(t, b, e)
+                    gone[b:e] = True
             kept.append(np.frombuffer(t, np.uint8)[~gone[:-1]].tobytes())
         struct = pa.StructArray.from_arrays([pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(kept, pa.binary())], ["starts", "ends", "kept"])
         return pa.table({**{c: table.column(c) for c in columns}, out: struct})
@@ -352,8 +365,8 @@ def _splitters(docs: DataFrame, total: int, buckets: int, match: int, text: str)
 
 def without_repeats(docs: DataFrame, match: int = MATCH) -> DataFrame:
     """The documents without repeated passages, in their columns. What is left of a character that was cut in two goes as well."""
-    found, name = repeated_spans(docs, match)
-    text = F.when(F.size(f"{name}.starts") == 0, F.col("text")).otherwise(F.translate(F.make_valid_utf8(F.col(f"{name}.kept").cast("string")), "\ufffd", ""))
+    found, name = repeated_spans(docs, match, whole_characters=True)
+    text = F.when(F.size(f"{name}.starts") == 0, F.col("text")).otherwise(F.col(f"{name}.kept").cast("string"))
     found = found.withColumn("text", text)
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

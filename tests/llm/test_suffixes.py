@@ -75,6 +75,9 @@ def test_text_stays_readable(odd, spark):
     assert {r.doc_id: r.text for r in suffixes.without_repeats(cut).collect()} == {1: "é" * 40, 2: "z"}
     cut = spark.createDataFrame([(1, "é" * 40), (2, "ĩ" + "é" * 40 + "end")], "doc_id long, text string")
     assert {r.doc_id: r.text for r in suffixes.without_repeats(cut).collect()} == {1: "é" * 40, 2: "end"}
+    # The replacement character is a character like any other.
+    cut = spark.createDataFrame([(1, "é" * 40), (2, "\ufffdĩ" + "é" * 40 + "\ufffd🙂" + "é" * 40 + "a\ufffd")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in suffixes.without_repeats(cut).collect()} == {1: "é" * 40, 2: "\ufffd\ufffd🙂a\ufffd"}
     assert suffixes.without_repeats(odd.limit(0)).count() == 0
 
 
