@@ -1,9 +1,11 @@
 """Analytical questions on daily series and dated events."""
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from scour.catalog.base import Tables, q6, query, rounded
-from scour.questions import happenings as hp, rows as rq, series as qs
+from scour.questions import happenings as hp, rows as rq, series as qs, times as tq
 
 K = ["o_orderstatus"]
 
@@ -359,3 +361,53 @@ def percent_change_rows(t: Tables):
 def longest_streak_rows(t: Tables):
     """Runs over all rows, without a key."""
     return rq.longest_streaks(t.lineitem, [], ROW, "l_quantity")
+
+
+@query(
+    "last_known_rows",
+    """WITH v AS (SELECT ts, max(value) AS value FROM events WHERE event_type = 'view' GROUP BY 1),
+ e AS (SELECT event_id, ts FROM events WHERE event_type = 'signup')
+ SELECT e.event_id, e.ts, CASE WHEN e.ts - v.ts <= INTERVAL 20 MINUTE THEN v.ts END AS previous_ts,
+ CASE WHEN e.ts - v.ts <= INTERVAL 20 MINUTE THEN v.value END AS previous_value FROM e ASOF LEFT JOIN v ON e.ts >= v.ts""",
+)
+def last_known_rows(t: Tables):
+    """The last view of anybody at most 20 minutes before each sign-up, without a key."""
+    kind = F.col("event_type")
+    return tq.last_known(t.events.where(kind == "signup").select("event_id", "ts"), t.events.where(kind == "view"), [], "ts", ["value"], tolerance=timedelta(minutes=20))
+
+
+@query(
+    "last_known_by_key",
+    """WITH v AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'view' GROUP BY 1, 2),
+ e AS (SELECT user_id, event_id, ts FROM events WHERE event_type <> 'view')
+ SELECT e.event_id, e.user_id, e.ts, v.ts AS previous_ts, v.value AS previous_value FROM e ASOF LEFT JOIN v ON e.user_id = v.user_id AND e.ts > v.ts""",
+)
+def last_known_by_key(t: Tables):
+    """The last earlier view of the same user before each other event."""
+    kind = F.col("event_type")
+    return tq.last_known(t.events.where(kind != "view").select("event_id", "user_id", "ts"), t.events.where(kind == "view"), U, "ts", ["value"], strict=True)
+
+
+def _around_sql(keys: list[str], window: str) -> str:
+    named = "".join(f"{k}, " for k in keys)
+    same = "".join(f" AND v.{k} = s.{k}" for k in keys)
+    return f"""WITH v AS (SELECT {named}ts, value FROM events WHERE event_type = 'view'), s AS (SELECT DISTINCT {named}ts FROM events WHERE event_type = 'signup'),
+ j AS (SELECT s.*, v.value, v.ts < s.ts AS is_before FROM s LEFT JOIN v ON v.ts BETWEEN s.ts - {window} AND s.ts + {window} AND v.ts <> s.ts{same})
+ SELECT {named}ts, COUNT(value) FILTER (WHERE is_before) AS n_before, {q6('AVG(value) FILTER (WHERE is_before)')} AS mean_before,
+ COUNT(value) FILTER (WHERE NOT is_before) AS n_after, {q6('AVG(value) FILTER (WHERE NOT is_before)')} AS mean_after,
+ {q6('AVG(value) FILTER (WHERE NOT is_before) - AVG(value) FILTER (WHERE is_before)')} AS change FROM j GROUP BY ALL"""
+
+
+@query("around_times_rows", _around_sql([], "INTERVAL 2700 SECOND"))
+def around_times_rows(t: Tables):
+    """Views of anybody in the 45 minutes before and after each sign-up, at the grain of the clock, without a key."""
+    kind = F.col("event_type")
+    out = tq.around_times(t.events.where(kind == "view"), t.events.where(kind == "signup"), [], "ts", "value", timedelta(minutes=45))
+    return rounded(out, "mean_before", "mean_after", "change")
+
+
+@query("around_times_by_key", _around_sql(["user_id"], "INTERVAL 36 HOUR"))
+def around_times_by_key(t: Tables):
+    kind = F.col("event_type")
+    out = tq.around_times(t.events.where(kind == "view"), t.events.where(kind == "signup"), U, "ts", "value", timedelta(hours=36))
+    return rounded(out, "mean_before", "mean_after", "change")
