@@ -7,9 +7,9 @@ Equal subsets prove a link, so nothing is left to verify.
 
 *Large sets* are counted against inverted lists. A set of a size class is dealt by hash into ``SPARE`` parts more
 than two linked sets of the class can differ in, so linked sets agree on so many parts or more. A list holds the sets
-that agree on one part; scanning the lists counts on how many parts two sets agree, and pairs that agree on ``KEEP``
-or more are verified on their shingles. A first scan counts each set against the smallest set of each list only, and
-what it links is a cluster; the second counts pairs of different clusters.
+that agree on one part; scanning the lists counts on how many parts sets agree with one set of each list, and those that
+agree on ``KEEP`` or more are verified on their shingles. What links is a cluster. Sets of different clusters that share
+a list are listed again, under their rarest shingles, and those that meet there are verified.
 
 The *boundary* is the largest size up to which enumerating is the cheaper of the two, by the number of rows a
 set emits, a list row counting ``LIST_COST`` times since it must be verified.
@@ -33,7 +33,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from scour.llm.common import WordHashes, components, encoded, if_small, mixed, shingle_hashes, texts_of, worker_cache
 from scour.session import copied, cut_lineage, discard
@@ -43,7 +43,8 @@ LIST_COST = 4
 SPARE = 9
 KEEP = 5
 PRUNINGS = 3
-PARTNERS = 500
+ROUNDS = 2
+PARTNERS = 100
 
 
 @dataclass(frozen=True)
@@ -203,19 +204,64 @@ def listed(sets: DataFrame) -> DataFrame:
 def list_links(docs: DataFrame, rows: DataFrame, like: Likeness) -> DataFrame:
     """(a, b): links, enough to connect what is connected.
 
-    The lists are scanned twice. First each document is counted against the smallest of each list, and the pairs that
-    share ``KEEP`` lists are verified; that ties families of copies. Then only pairs from different clusters are counted.
+    Families of copies are tied first, in rounds of at most one pair a document. Each list chooses one cluster by a hash of its own in
+    each round, and the least member there speaks for it; a document of another cluster is verified against the one with which it shares
+    most lists, ``KEEP`` or more. Documents of lists that hold two clusters or more then meet by their rarest shingles, all of them.
     """
-    least = rows.groupBy("key").agg(F.min("node").alias("b"))
-    near = rows.join(least, "key").where("node <> b").groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("n")).where(F.col("n") >= KEEP).select("a", "b")
-    first = cut_lineage(verified(docs, near, like))
-    clusters = components(first)
-    placed = rows.join(clusters, "node", "left").select("key", "node", F.coalesce("component", "node").alias("cluster"))
+    placed, links = rows.withColumn("cluster", F.col("node")), None
+    for salt in range(ROUNDS):
+        choice = F.struct((F.xxhash64("cluster", F.lit(salt)) if salt else F.col("cluster")).alias("rank"), "cluster", "node")
+        heads = placed.groupBy("key").agg(F.min(choice).alias("head")).select("key", F.col("head.cluster").alias("other"), F.col("head.node").alias("b"))
+        near = placed.join(heads, "key").where("cluster <> other").groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("n")).where(F.col("n") >= KEEP)
+        best = near.groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("b"))).alias("m")).select("a", (-F.col("m.b")).alias("b"))
+        found = cut_lineage(verified(docs, best, like))
+        links = found if links is None else links.unionByName(found)
+        placed = _apart(rows, links)
+        if not found.limit(1).count():
+            break
+    members = cut_lineage(placed.select("node", "cluster").distinct())
+    return links.unionByName(verified(docs, rare_pairs(docs, members, like), like))
+
+
+def rare_pairs(docs: DataFrame, members: DataFrame, like: Likeness) -> DataFrame:
+    """(a, b): every pair of linked members of different clusters, and few others.
+
+    Shingles are ranked, those that lie in one cluster first, the others by the number of sets that hold them. Sets that share enough of their
+    shingles share one of their first few: of the smaller set those that an equal partner may lack and one more, of the larger those that its
+    smallest partner may lack and one more; of both no more than the two sizes allow. So relatives that differ too much do not meet: what each has of its own takes up its first places.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = worker_cache("words", WordHashes)
+        for batch in batches:
+            for part in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
+                sets = [shingle_set(t, like.words, hashes) for t in encoded(part.column(3))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([len(x) for x in sets], pa.int64()), _ragged([x.view(np.int64) for x in sets])], names)
+
+    names = ["node", "cluster", "set", "n", "g"]
+    texts = docs.join(if_small(members.withColumnRenamed("node", "doc_id")), "doc_id").select(F.col("doc_id").alias("node"), "cluster", F.xxhash64("text").alias("set"), "text")
+    sets = texts.mapInArrow(run, "node long, cluster long, set long, n long, g array<long>").select(*names[:4], F.explode("g").alias("g"))
+    sets = cut_lineage(sets)
+    shared = sets.groupBy("g").agg(F.count("*").alias("held"), F.min("cluster").alias("m"), F.max("cluster").alias("x")).where("m < x").select("g", "held")
+    sets = sets.join(shared, "g")
+    size = lambda c: F.ceil(like.num * c / (like.num + like.den)).cast("long")
+    smallest = F.expr(f"(n * {like.num} + {like.den - 1}) div {like.den}")
+    own = F.col("n") - F.count("*").over(Window.partitionBy("node", "set"))
+    rank = F.row_number().over(Window.partitionBy("node", "set").orderBy("held", "g")) + own
+    first = sets.withColumn("rank", rank).withColumn("short", F.col("rank") <= F.col("n") - size(2 * F.col("n")) + 1)
+    first = cut_lineage(first.where(F.col("rank") <= F.col("n") - size(F.col("n") + smallest) + 1).select("g", "node", "cluster", "n", "rank", "short"))
+    larger = first.select("g", F.col("node").alias("b"), F.col("cluster").alias("other"), F.col("n").alias("m"), F.col("rank").alias("place"))
+    alike = (F.col("cluster") != F.col("other")) & (F.col("n") <= F.col("m")) & (F.col("m") * like.num <= F.col("n") * like.den)
+    needed = size(F.col("n") + F.col("m"))
+    early = (F.col("rank") <= F.col("n") - needed + 1) & (F.col("place") <= F.col("m") - needed + 1)
+    return first.where("short").join(larger, (first["g"] == larger["g"]) & alike & early).select(F.col("node").alias("a"), "b").distinct()
+
+
+def _apart(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """(key, node, cluster): the lists that hold documents of two clusters or more."""
+    placed = rows.join(components(links), "node", "left").select("key", "node", F.coalesce("component", "node").alias("cluster"))
     mixed_keys = placed.groupBy("key").agg(F.min("cluster").alias("m"), F.max("cluster").alias("x")).where("m < x").select("key")
-    placed = cut_lineage(placed.join(mixed_keys, "key"))
-    other = placed.select("key", F.col("node").alias("b"), F.col("cluster").alias("other"))
-    across = placed.join(other, "key").where("cluster < other").groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("n")).where(F.col("n") >= KEEP).select("a", "b")
-    return first.unionByName(verified(docs, across, like))
+    return cut_lineage(placed.join(mixed_keys, "key"))
 
 
 def verified(docs: DataFrame, pairs: DataFrame, like: Likeness) -> DataFrame:
