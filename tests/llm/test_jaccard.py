@@ -88,3 +88,19 @@ def test_empty(spark):
 def test_boundary_is_where_subsets_cost_more():
     like = jaccard.Likeness(3, 9, 10)
     assert 9 <= like.boundary < 40
+
+
+def test_relatives_that_differ_too_much_do_not_meet(spark):
+    """Each of many relatives has more shingles of its own than a link allows: no pair of them is made."""
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+    for d in range(60):
+        words = list(base)
+        for at in random.Random(d).sample(range(10, 390, 4), 9):
+            words[at] = f"own{d}x{at}"
+        rows.append((d, " ".join(words)))
+    rows.append((60, rows[7][1].replace("w5 ", "other ")))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    members = spark.createDataFrame([(r[0], r[0]) for r in rows], "node long, cluster long")
+    pairs = jaccard.rare_pairs(docs, members, jaccard.Likeness(3, 9, 10)).collect()
+    assert {frozenset(p) for p in pairs} == {frozenset((7, 60))}
