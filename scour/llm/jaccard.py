@@ -8,7 +8,8 @@ Equal subsets prove a link, so nothing is left to verify.
 *Large sets* are counted against inverted lists. A set of a size class is dealt by hash into ``SPARE`` parts more
 than two linked sets of the class can differ in, so linked sets agree on so many parts or more. A list holds the sets
 that agree on one part; scanning the lists counts on how many parts sets agree with one set of each list, and those that
-agree on ``KEEP`` or more are verified on their shingles. What links is a cluster. Sets of different clusters that share
+agree on ``KEEP`` or more are verified on their shingles. Two sets differ by less than the widest pair of the class, so most must
+agree on more parts; a set that stands in fewer shared lists than its size requires is dropped. What links is a cluster. Sets of different clusters that share
 a list are listed again, under their rarest shingles, and those that meet there are verified.
 
 The *boundary* is the largest size up to which enumerating is the cheaper of the two, by the number of rows a
@@ -42,7 +43,7 @@ LIST_COST = 4
 # Linked sets agree on this many parts; at most SPARE - KEEP of them are empty and not listed.
 SPARE = 9
 KEEP = 5
-PRUNINGS = 3
+PRUNINGS = 2
 ROUNDS = 2
 PARTNERS = 100
 
@@ -82,6 +83,14 @@ class Likeness:
         own = self.size_class(size)
         return [own, own + 1] if self.size_class(self.largest(size)) > own else [own]
 
+    def needed(self, size: int) -> list[int]:
+        """On how many listed parts a set agrees with each set it links with, in its even and in its odd class."""
+        out = [KEEP, KEEP]
+        for klass in self.instances(size) if size else []:
+            most = min(self.largest(size), self.bounds[klass + 1] - 1)
+            out[klass % 2] = self.parts(klass) - (size + most) * (self.den - self.num) // (self.den + self.num) - (SPARE - KEEP)
+        return out
+
     def subset_sizes(self, size: int, boundary: int) -> list[tuple[int, int]]:
         """(partner size, shared size) for partners up to the boundary; equal sets have met already."""
         pairs = ((b, self.overlap(size, b)) for b in range(self.smallest(size), min(self.largest(size), boundary) + 1))
@@ -104,7 +113,7 @@ def shingle_set(text: bytes, words: int, hashes: WordHashes) -> np.ndarray:
 
 
 def list_keys(shingles: np.ndarray, like: Likeness, boundary: int) -> np.ndarray:
-    """Hashes of the parts of a large set, or of a small one that may have a large partner."""
+    """Hashes of the parts of a large set, or of a small one that may have a large partner. The lowest bit tells even classes from odd ones."""
     size = len(shingles)
     if like.largest(size) <= boundary:
         return np.empty(0, np.int64)
@@ -118,7 +127,8 @@ def list_keys(shingles: np.ndarray, like: Likeness, boundary: int) -> np.ndarray
         sums[present] = np.add.reduceat(mixed(shingles, 7)[order], starts)
         # SPARE parts agree at least. Without the empty ones, if these are few, KEEP that have shingles do.
         named = np.arange(parts) if parts - len(present) > SPARE - KEEP else present
-        out.append(mixed(sums[named] + mixed((np.uint64(klass) << np.uint64(32)) + named.astype(np.uint64), 11), 13))
+        keys = mixed(sums[named] + mixed((np.uint64(klass) << np.uint64(32)) + named.astype(np.uint64), 11), 13)
+        out.append(keys & ~np.uint64(1) | np.uint64(klass % 2))
     return np.concatenate(out).view(np.int64)
 
 
@@ -157,16 +167,18 @@ def signed_sets(docs: DataFrame, like: Likeness) -> DataFrame:
         for batch in batches:
             for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
                 sets = [shingle_set(t, like.words, hashes) for t in encoded(part.column(1))]
+                needs = [like.needed(len(s)) for s in sets]
                 with np.errstate(over="ignore"):
                     arrays = [
                         part.column(0), pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([int(mixed(s, 3).sum().view(np.int64)) for s in sets], pa.int64()),
                         pa.array([int(mixed(s, 5).sum().view(np.int64)) for s in sets], pa.int64()),
                         _ragged([list_keys(s, like, boundary) for s in sets]), _ragged([subset_keys(s, like, boundary) for s in sets]),
+                        *(pa.array([x[side] for x in needs], pa.int64()) for side in range(2)),
                     ]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "s1", "s2", "list_keys", "subset_keys"])
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "s1", "s2", "list_keys", "subset_keys", "even", "odd"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, list_keys array<long>, subset_keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, list_keys array<long>, subset_keys array<long>, even long, odd long")
 
 
 def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,30 +197,38 @@ def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(node[rows])], ["key", "node"])
 
 
-def listed(sets: DataFrame) -> DataFrame:
-    """(key, node): the inverted lists with two documents or more, of documents that stand in ``KEEP`` of them at least.
+def listed(sets: DataFrame, needs: DataFrame) -> DataFrame:
+    """(key, node, cluster): the inverted lists with two documents or more, of documents that stand in enough of them; clusters are single yet.
 
-    Linked sets do, so dropping the others, again as that takes others with it, loses no link. Ranges
-    of (key, node) split hot keys, and only keys that two documents have go further.
+    Ranges of (key, node) split hot keys, and only keys that two documents have go further.
     """
     rows = sets.where("doc_id IS NOT NULL").select(F.explode("list_keys").alias("key"), F.col("doc_id").alias("node"))
     rows = cut_lineage(rows.repartitionByRange("key", "node").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long"))
-    for _ in range(PRUNINGS):
-        several = rows.groupBy("key").agg(F.min("node").alias("m"), F.max("node").alias("x")).where("m < x").select("key")
-        rows = rows.join(several, "key")
-        strong = rows.groupBy("node").agg(F.count("*").alias("keys")).where(F.col("keys") >= KEEP).select("node")
-        rows = cut_lineage(rows.join(if_small(cut_lineage(strong)), "node"))
+    return pruned(rows.withColumn("cluster", F.col("node")), needs, PRUNINGS)
+
+
+def pruned(rows: DataFrame, needs: DataFrame, rounds: int = 1) -> DataFrame:
+    """(key, node, cluster): the lists that hold two clusters or more, of documents that stand in as many as a link needs in one size class.
+
+    Linked sets of different clusters do, in the class of the larger one, so dropping the others, again as that takes others with it, loses no link.
+    """
+    side = F.col("key").bitwiseAND(1).alias("side")
+    for _ in range(rounds):
+        several = rows.groupBy("key").agg(F.min("cluster").alias("m"), F.max("cluster").alias("x")).where("m < x").select("key")
+        rows = rows.join(several, "key").select("*", side)
+        strong = rows.groupBy("node", "side").agg(F.count("*").alias("keys")).join(needs, ["node", "side"]).where("keys >= need").select("node", "side")
+        rows = cut_lineage(rows.join(if_small(cut_lineage(strong)), ["node", "side"]).select("key", "node", "cluster"))
     return rows
 
 
-def list_links(docs: DataFrame, rows: DataFrame, like: Likeness) -> DataFrame:
+def list_links(docs: DataFrame, placed: DataFrame, needs: DataFrame, like: Likeness) -> DataFrame:
     """(a, b): links, enough to connect what is connected.
 
     Families of copies are tied first, in rounds of at most one pair a document. Each list chooses one cluster by a hash of its own in
     each round, and the least member there speaks for it; a document of another cluster is verified against the one with which it shares
     most lists, ``KEEP`` or more. Documents of lists that hold two clusters or more then meet by their rarest shingles, all of them.
     """
-    placed, links = rows.withColumn("cluster", F.col("node")), None
+    rows, links = placed.drop("cluster"), None
     for salt in range(ROUNDS):
         choice = F.struct((F.xxhash64("cluster", F.lit(salt)) if salt else F.col("cluster")).alias("rank"), "cluster", "node")
         heads = placed.groupBy("key").agg(F.min(choice).alias("head")).select("key", F.col("head.cluster").alias("other"), F.col("head.node").alias("b"))
@@ -216,7 +236,7 @@ def list_links(docs: DataFrame, rows: DataFrame, like: Likeness) -> DataFrame:
         best = near.groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("b"))).alias("m")).select("a", (-F.col("m.b")).alias("b"))
         found = cut_lineage(verified(docs, best, like))
         links = found if links is None else links.unionByName(found)
-        placed = _apart(rows, links)
+        placed = pruned(rows.join(components(links), "node", "left").select("key", "node", F.coalesce("component", "node").alias("cluster")), needs)
         if not found.limit(1).count():
             break
     members = cut_lineage(placed.select("node", "cluster").distinct())
@@ -257,13 +277,6 @@ def rare_pairs(docs: DataFrame, members: DataFrame, like: Likeness) -> DataFrame
     return first.where("short").join(larger, (first["g"] == larger["g"]) & alike & early).select(F.col("node").alias("a"), "b").distinct()
 
 
-def _apart(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """(key, node, cluster): the lists that hold documents of two clusters or more."""
-    placed = rows.join(components(links), "node", "left").select("key", "node", F.coalesce("component", "node").alias("cluster"))
-    mixed_keys = placed.groupBy("key").agg(F.min("cluster").alias("m"), F.max("cluster").alias("x")).where("m < x").select("key")
-    return cut_lineage(placed.join(mixed_keys, "key"))
-
-
 def verified(docs: DataFrame, pairs: DataFrame, like: Likeness) -> DataFrame:
     """The pairs (a, b) whose shingle sets link. Texts of ``a`` come to the text of ``b``, whose many partners are spread over salts."""
     pairs = cut_lineage(pairs)
@@ -310,15 +323,18 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     docs = texts_of(docs, doc_id, text)
     keyed, keys = copied(signed_sets(docs, like))
     sets = cut_lineage(keyed.drop("list_keys", "subset_keys"))
+    # Rows that share an id need what the least of them does.
+    needs = sets.groupBy(F.col("doc_id").alias("node")).agg(F.min("even").alias("even"), F.min("odd").alias("odd"))
+    needs = cut_lineage(needs.selectExpr("node", "stack(2, 0L, even, 1L, odd) AS (side, need)"))
     usable = sets.where("doc_id IS NOT NULL AND n > 0").select("doc_id", "n", "s1", "s2")
     classes = usable.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
     copies = cut_lineage(usable.join(classes, ["n", "s1", "s2"]).where("doc_id <> rep").select("doc_id", "n", "s1", "s2", "rep").distinct())
     # Of copies one speaks for all.
     single = keyed.join(if_small(copies.drop("rep")), ["doc_id", "n", "s1", "s2"], "left_anti")
     exact = cut_lineage(subset_edges(single))
-    lists = listed(single)
+    lists = listed(single, needs)
     discard(docs.sparkSession, keys)  # the largest table; all that is needed of it has been written
-    links = list_links(docs, lists, like)
+    links = list_links(docs, lists, needs, like)
     joined = components(links.unionByName(exact).unionByName(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
     return (
         sets.select("doc_id", F.col("n").alias("n_shingles"))

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from scour.llm import jaccard
@@ -104,3 +105,33 @@ def test_relatives_that_differ_too_much_do_not_meet(spark):
     members = spark.createDataFrame([(r[0], r[0]) for r in rows], "node long, cluster long")
     pairs = jaccard.rare_pairs(docs, members, jaccard.Likeness(3, 9, 10)).collect()
     assert {frozenset(p) for p in pairs} == {frozenset((7, 60))}
+
+
+def relatives(count, size, gap):
+    """Texts of ``size`` words of which every ``gap``-th is a text's own, and a near copy of one of them."""
+    rows = [(d, " ".join(f"own{d}x{i}" if (i + d) % gap == 0 else f"w{i}" for i in range(size))) for d in range(count)]
+    return [*rows, (count, rows[0][1].replace("w9 ", "other "))]
+
+
+def test_relatives_of_other_sizes_need_more_lists(spark, monkeypatch):
+    """Relatives share lists, but fewer than two sets of their sizes need to link: their shingles are not ranked."""
+    met, ranked = [], jaccard.rare_pairs
+    monkeypatch.setattr(jaccard, "rare_pairs", lambda docs, members, like: met.extend(members.collect()) or ranked(docs, members, like))
+    rows = relatives(3, 340, 12)
+    assert got(spark.createDataFrame(rows, "doc_id long, text string"), 5, 4, 5) == brute(rows, 5, 4, 5)
+    assert not met
+
+
+@pytest.mark.parametrize("num,den", [(9, 10), (4, 5)])
+def test_links_agree_on_as_many_lists_as_needed(num, den):
+    like, rng = jaccard.Likeness(3, num, den), random.Random(den)
+    for _ in range(400):
+        a = rng.sample(range(2**62), rng.randrange(20, 900))
+        b = a[: rng.randrange(like.smallest(len(a)), len(a) + 1)]
+        b += rng.sample(range(2**62, 2**63), max(0, (len(b) * (num + den) - num * (len(a) + len(b))) // num * rng.randrange(2)))
+        if len(b) > like.largest(len(a)) or len(set(a) & set(b)) * (num + den) < num * (len(a) + len(b)):
+            continue
+        lists = [set(jaccard.list_keys(np.sort(np.array(x, np.uint64)), like, 0).tolist()) for x in (a, b)]
+        side = like.size_class(max(len(a), len(b))) % 2
+        shared = sum(k % 2 == side for k in lists[0] & lists[1])
+        assert shared >= max(like.needed(len(x))[side] for x in (a, b))
