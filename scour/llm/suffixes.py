@@ -29,14 +29,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from scour.llm.common import MIX, encoded, fresh
+from scour.llm.common import MIX, encoded, fresh, mixed
 from scour.session import cut_lineage
 
 GRAM = 16
 MATCH = 50
 LAST_ID = 2**63 - 1
 SAMPLE_SUFFIXES = 100_000
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 4_000_000
 SORT_WINDOWS = 4_000_000
 
 
@@ -110,7 +110,8 @@ class Block:
         found = [anchors(t, match) for t in texts]
         self.doc = np.repeat(np.arange(len(texts)), [len(f[0]) for f in found])
         self.at, self.first, self.last, hashes = (np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64) for i in range(4))
-        self.hashes, self.inverse = np.unique(hashes.astype(np.uint64) >> np.uint64(24), return_inverse=True)
+        # Anchors have the lowest hashes of their windows; mixed again they fill all buckets alike.
+        self.hashes, self.inverse = np.unique(mixed(hashes.astype(np.uint64)) >> np.uint64(24), return_inverse=True)
 
     def within(self) -> np.ndarray:
         """Of each hash, whether two documents of the block have it."""
@@ -206,6 +207,11 @@ def _to_whole_characters(text: bytes, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
+def _block_bytes(total: int) -> int:
+    """A worker takes some 40 bytes for each byte of its block, and keeps much of that for the next task."""
+    return min(max(BLOCK_BYTES, total // 4096), 4 * BLOCK_BYTES)
+
+
 def repeated_spans(docs: DataFrame, match: int = MATCH, doc_id: str = "doc_id", text: str = "text", whole_characters: bool = False) -> tuple[DataFrame, str]:
     """All columns and, under a free name that is returned too, a struct: ``starts`` and ``ends`` of the maximal
     removed byte runs, and ``kept``, the bytes that stay; with ``whole_characters`` without those of cut characters."""
@@ -214,11 +220,10 @@ def repeated_spans(docs: DataFrame, match: int = MATCH, doc_id: str = "doc_id",
     spark = docs.sparkSession
     order, block, out = (fresh(docs, name) for name in ("order", "block", "repeats"))
     total = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
-    size = min(max(BLOCK_BYTES, total // 2048), 16 * BLOCK_BYTES)
-    blocks = int(total // size) + 1
-    asking = max(1, blocks // 4)
-    splitters = _splitters(docs, total, 2 * blocks, match, text)
-    shared_splitters = spark.sparkContext.broadcast(splitters)  # two a block, of 16 bytes each: 25 MB at 100 TB
+    blocks = int(total // _block_bytes(total)) + 1
+    asking = int(total // (8 * BLOCK_BYTES)) + 1
+    splitters = _splitters(docs, total, blocks, match, text)
+    shared_splitters = spark.sparkContext.broadcast(splitters)  # one a block, of 16 bytes each: 100 MB at 100 TB
     ids = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LAST_ID))
     dealt = docs.withColumn(order, ids).withColumn(block, F.pmod(F.xxhash64(order, F.octet_length(F.col(f"`{text}`"))), F.lit(blocks)).cast("int"))
 

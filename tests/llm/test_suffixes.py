@@ -68,6 +68,18 @@ def test_blocks(spark, monkeypatch, texts):
     assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
 
 
+def test_blocks_stay_small():
+    """Two workers of an executor hold a block each, whatever the size of the input."""
+    assert [suffixes._block_bytes(total) for total in (0, 10**9, 30 * 10**9, 10**14)] == [4_000_000, 4_000_000, 30 * 10**9 // 4096, 16_000_000]
+
+
+def test_hashes_fill_all_buckets_alike():
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(4000)) for _ in range(60)]
+    sizes = np.diff(suffixes._cuts(suffixes.Block(np.arange(60), texts=[t.encode() for t in texts], match=50).hashes, 16))
+    assert sizes.min() > 0.7 * sizes.mean() and sizes.max() < 1.3 * sizes.mean()
+
+
 def test_text_stays_readable(odd, spark):
     kept = suffixes.without_repeats(odd)
     assert kept.columns == odd.columns and kept.count() == odd.count()
