@@ -54,7 +54,7 @@ def winnowed(text: Column, skipped: Column | None = None) -> Column:
                 return v
             step = min(width, WINDOW - width)
             left = F.size(v) - step
-            return _bound(F.zip_with(F.slice(v, F.lit(1), left), F.slice(v, F.lit(step + 1), left), lambda a, b: F.least(a, b)), lambda v: doubled(v, width + step))
+            return _bound(F.zip_with(F.slice(v, F.lit(1), left), F.slice(v, F.lit(step + 1), left), lambda a, b: F.when(a < b, a).otherwise(b)), lambda v: doubled(v, width + step))
 
         return _bound(of, lambda v: F.when(F.size(v) < WINDOW, F.array(F.array_min(v))).otherwise(doubled(v)))
 
@@ -127,7 +127,8 @@ def edited(docs: DataFrame, share: int = 3) -> DataFrame:
     """(doc_id, n_chars, packed, hashes, edited, edited_packed, next_hashes): each document beside its edited text, whose last
     ``share``-th is replaced by as many code points (or all) of the next document.
 
-    Windows that lie in what the two texts share are winnowed once.
+    Windows that lie in what the two texts share are winnowed once. Of those that lie in what was taken from the next document, that one's fingerprint
+    has all grams that begin where a whole window does, so only the windows around both ends of it are winnowed again.
     """
     rows, own, order = beside_next(docs)
     n = F.length("text")
@@ -141,11 +142,19 @@ def edited(docs: DataFrame, share: int = 3) -> DataFrame:
         winnowed(F.substring("text", F.col("from") + 1, F.col("n")), F.col("from")).alias("rest"),
     )
     rows = rows.withColumn("packed", F.array_distinct(F.concat("same", "rest"))).withColumn("hashes", hashes(F.col("packed")))
-    follows = F.lead(F.struct("text", "hashes")).over(order)
+    follows = F.lead(F.struct("text", "packed", "hashes")).over(order)
     rows = rows.withColumn("next", follows).where(own)
-    head = F.left("next.text", F.col("n") - F.col("kept"))
-    rows = rows.select("doc_id", F.col("n").cast("long").alias("n_chars"), "packed", "hashes", "kept", "from", "same", F.concat(F.left("text", F.col("kept")), head).alias("edited"), F.col("next.hashes").alias("next_hashes"))
+    rows = rows.withColumn("head", F.left("next.text", F.col("n") - F.col("kept"))).withColumn("given", F.length("head"))
+    rows = rows.select(
+        "doc_id", F.col("n").cast("long").alias("n_chars"), "packed", "hashes", "kept", "from", "same", "given", F.concat(F.left("text", F.col("kept")), "head").alias("edited"),
+        F.col("next.packed").alias("next_packed"), F.col("next.hashes").alias("next_hashes"), (F.lit(LAST).cast("long") - F.col("given") + (reach + 1)).alias("first_low"),
+    )
+    again = F.length("edited") - (reach + WINDOW - 1)
+    across = winnowed(F.substring("edited", F.col("from") + 1, F.lit(2 * reach)), F.col("from"))
+    taken = F.transform(F.filter("next_packed", lambda p: p.bitwiseAND(F.lit(LOW)) >= F.col("first_low")), lambda p: p - F.col("kept"))
+    ending = winnowed(F.substring("edited", again + 1, F.lit(reach + WINDOW - 1)), again)
     # Nothing follows where the next text is empty: then the kept part has all windows.
-    tail = F.when((F.col("from") > 0) & (F.length("edited") == F.col("kept")), F.array().cast("array<bigint>"))
+    tail = F.when((F.col("from") > 0) & (F.col("given") == 0), F.array().cast("array<bigint>"))
+    tail = tail.when((F.col("from") > 0) & (F.col("given") > 4 * reach), F.concat(across, taken, ending))
     tail = tail.otherwise(winnowed(F.substring("edited", F.col("from") + 1, F.length("edited")), F.col("from")))
     return rows.select("doc_id", "n_chars", "packed", "hashes", "edited", F.array_distinct(F.concat("same", tail)).alias("edited_packed"), "next_hashes")

@@ -114,3 +114,16 @@ def test_edited_texts_of_all_lengths(spark, monkeypatch):
     shown_as = winnow.edited(df).select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256), winnow.written(F.col("packed")), winnow.written(F.col("edited_packed")))
     found = shown_as.collect()
     assert len(found) == len(rows) and all(tuple(r) == want[r.doc_id][:5] for r in found)
+
+
+def test_windows_taken_from_the_next_document(spark):
+    """Only the ends of what was taken are winnowed again: gives of all lengths around the stretches, runs, many ties, wide characters."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for letters in ("ab", "a", "abcdefgh🙂é\n") for n in [*range(355, 400, 3), 700, 1500]]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    made = winnow.edited(spark.createDataFrame(rows, "doc_id long, text string"))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "next_packed" in plan
+    want = {r[0]: r[4] for r in brute(rows)}
+    assert {r.doc_id: r.p for r in made.select("doc_id", winnow.written(F.col("edited_packed")).alias("p")).collect()} == want
