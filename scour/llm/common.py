@@ -51,19 +51,17 @@ def worker_cache(key: object, build: Callable[[], object]) -> object:
     return kept[key]
 
 
-class WordHashes(dict):
-    """64-bit hashes of words by their bytes, remembered up to ``limit`` words."""
+def forget() -> None:
+    """Give back what is left of earlier tasks in this Python worker, which later stages use again: objects kept and Arrow's free memory."""
+    home = sys.modules.get("scour_worker_cache")
+    if home:
+        home.__dict__.get("kept", {}).clear()
+    pa.default_memory_pool().release_unused()
 
-    limit = 400_000
 
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh64_intdigest(word)
-        if len(word) <= 64 and len(self) < self.limit:
-            self[word] = value
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words by their bytes; a table of known words takes longer than hashing, and memory in every worker."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:

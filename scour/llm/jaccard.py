@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from scour.llm.common import WordHashes, components, encoded, if_small, mixed, shingle_hashes, texts_of, worker_cache
+from scour.llm.common import components, encoded, forget, if_small, mixed, shingle_hashes, texts_of, word_hashes
 from scour.session import copied, cut_lineage, discard
 
 LIST_COST = 4
@@ -107,9 +107,9 @@ class Likeness:
             size = nxt
 
 
-def shingle_set(text: bytes, words: int, hashes: WordHashes) -> np.ndarray:
+def shingle_set(text: bytes, words: int) -> np.ndarray:
     """Sorted distinct shingle hashes of a text; only A-Z are lower-cased and only ASCII white space parts words."""
-    return np.unique(shingle_hashes(hashes.of(text.lower().split()), words))
+    return np.unique(shingle_hashes(word_hashes(text.lower().split()), words))
 
 
 def list_keys(shingles: np.ndarray, like: Likeness, boundary: int) -> np.ndarray:
@@ -163,10 +163,10 @@ def signed_sets(docs: DataFrame, like: Likeness) -> DataFrame:
     boundary = like.boundary
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = worker_cache("words", WordHashes)
+        forget()
         for batch in batches:
             for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
-                sets = [shingle_set(t, like.words, hashes) for t in encoded(part.column(1))]
+                sets = [shingle_set(t, like.words) for t in encoded(part.column(1))]
                 needs = [like.needed(len(s)) for s in sets]
                 with np.errstate(over="ignore"):
                     arrays = [
@@ -177,6 +177,7 @@ def signed_sets(docs: DataFrame, like: Likeness) -> DataFrame:
                         *(pa.array([x[side] for x in needs], pa.int64()) for side in range(2)),
                     ]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "s1", "s2", "list_keys", "subset_keys", "even", "odd"])
+        forget()
 
     return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, list_keys array<long>, subset_keys array<long>, even long, odd long")
 
@@ -252,10 +253,10 @@ def rare_pairs(docs: DataFrame, members: DataFrame, like: Likeness) -> DataFrame
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = worker_cache("words", WordHashes)
+        forget()
         for batch in batches:
             for part in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
-                sets = [shingle_set(t, like.words, hashes) for t in encoded(part.column(3))]
+                sets = [shingle_set(t, like.words) for t in encoded(part.column(3))]
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([len(x) for x in sets], pa.int64()), _ragged([x.view(np.int64) for x in sets])], names)
 
     names = ["node", "cluster", "set", "n", "g"]
@@ -289,13 +290,12 @@ def verified(docs: DataFrame, pairs: DataFrame, like: Likeness) -> DataFrame:
     right = right.select(F.col("doc_id").alias("b"), F.col("text").alias("centre"), F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"))
 
     def link(members: pa.Table, centres: pa.Table) -> pa.Table:
-        hashes = worker_cache("words", WordHashes)
         sets: dict[int, list[np.ndarray]] = {}
         for b, text in zip(centres.column("b").to_pylist(), centres.column("centre").to_pylist(), strict=True):
-            sets.setdefault(b, []).append(shingle_set(text.encode(), like.words, hashes))
+            sets.setdefault(b, []).append(shingle_set(text.encode(), like.words))
         out: tuple[list[int], list[int]] = ([], [])
         for a, b, text in zip(*(members.column(c).to_pylist() for c in ("a", "b", "member")), strict=True):
-            mine = shingle_set(text.encode(), like.words, hashes)
+            mine = shingle_set(text.encode(), like.words)
             for other in sets.get(b, ()):
                 shared = len(np.intersect1d(mine, other, assume_unique=True))
                 if len(mine) and shared * (like.num + like.den) >= like.num * (len(mine) + len(other)):

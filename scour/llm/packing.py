@@ -38,7 +38,7 @@ PLAIN = re.compile(rf"[\t\n\r -~×÷{LETTERS}]*\Z")
 WORDS = re.compile(rf" ?[{LETTERS}]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 GROUP_PIECES = 4096
-KEPT_WORDS = 600_000
+KEPT_WORDS = 100_000
 
 
 def _byte_names() -> dict[str, int]:

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from scour.llm.common import encoded, fresh, shingle_hashes
+from scour.llm.common import encoded, forget, fresh, shingle_hashes
 
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -74,6 +74,7 @@ def with_statistics(df: DataFrame, text: str = "text", name: str = "quality") ->
     at = df.columns.index(text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             rows = [statistics(t) for t in encoded(batch.column(at))]
             arrays = [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(STATISTICS))]
