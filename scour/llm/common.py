@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterable, Iterator
@@ -52,11 +53,31 @@ def worker_cache(key: object, build: Callable[[], object]) -> object:
 
 
 def forget() -> None:
-    """Give back what is left of earlier tasks in this Python worker, which later stages use again: objects kept and Arrow's free memory."""
+    """Give back what is left of earlier tasks in this Python worker, which later stages use again: objects kept and free memory."""
     home = sys.modules.get("scour_worker_cache")
     if home:
         home.__dict__.get("kept", {}).clear()
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None  # other C libraries do without
+    if trim:
+        trim(ctypes.c_size_t(0))
+
+
+def leaves_little(run: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """``run`` over a group's table or two, after which the worker gives its free memory back. Tasks take turns
+    on all workers that a stage with several Python steps began, so what each keeps adds up."""
+
+    def one(table: pa.Table) -> pa.Table:
+        out = run(table)
+        forget()
+        return out
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = run(left, right)
+        forget()
+        return out
+
+    return one if run.__code__.co_argcount == 1 else two
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:

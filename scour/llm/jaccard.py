@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from scour.llm.common import components, encoded, forget, if_small, mixed, shingle_hashes, texts_of, word_hashes
+from scour.llm.common import components, encoded, forget, if_small, leaves_little, mixed, shingle_hashes, texts_of, word_hashes
 from scour.session import copied, cut_lineage, discard
 
 LIST_COST = 4
@@ -241,7 +241,8 @@ def list_links(docs: DataFrame, placed: DataFrame, needs: DataFrame, like: Liken
         if not found.limit(1).count():
             break
     members = cut_lineage(placed.select("node", "cluster").distinct())
-    return links.unionByName(verified(docs, rare_pairs(docs, members, like), like))
+    # Written, since a stage that verifies and ties at once begins two Python workers a core, which stay.
+    return links.unionByName(cut_lineage(verified(docs, rare_pairs(docs, members, like), like)))
 
 
 def rare_pairs(docs: DataFrame, members: DataFrame, like: Likeness) -> DataFrame:
@@ -305,7 +306,7 @@ def verified(docs: DataFrame, pairs: DataFrame, like: Likeness) -> DataFrame:
 
     left = left.select(home.alias("home"), F.col("doc_id").alias("a"), "b", F.col("text").alias("member"))
     right = right.select(home.alias("home"), "b", "centre")
-    return left.groupBy("home").cogroup(right.groupBy("home")).applyInArrow(link, "a long, b long")
+    return left.groupBy("home").cogroup(right.groupBy("home")).applyInArrow(leaves_little(link), "a long, b long")
 
 
 def subset_edges(sets: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from scour.llm.common import MIX, encoded, fresh, mixed
+from scour.llm.common import MIX, encoded, fresh, leaves_little, mixed
 from scour.session import cut_lineage
 
 GRAM = 16
@@ -155,6 +155,17 @@ def _cuts(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted(hashes, edges)
 
 
+def _held_twice(lists: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """Of each list, which of its values another one has too; a list's values are distinct."""
+    every = np.concatenate(lists)
+    every.sort()
+    twice = every[1:][every[1:] == every[:-1]]
+    del every
+    for one in lists:
+        at = np.searchsorted(twice, one)
+        yield at < np.searchsorted(twice, one, side="right")
+
+
 def _sorted_by_bucket(found: dict[tuple[int, bytes], list[int]], splitters: np.ndarray) -> tuple[list[tuple[int, bytes]], np.ndarray]:
     """The stretches in a fixed order and the range bucket of each; the same on every call."""
     keys = sorted(found)
@@ -240,14 +251,12 @@ def repeated_spans(docs: DataFrame, match: int = MATCH, doc_id: str = "doc_id",
 
     def answer(table: pa.Table) -> pa.Table:
         lists = [np.cumsum(np.frombuffer(_unpack(b)[0], np.uint64)) for b in table.column("payload").to_pylist()]
-        every, counts = np.unique(np.concatenate(lists), return_counts=True)
-        twice = every[counts > 1]
-        bits = [np.packbits(np.isin(one, twice, assume_unique=True)).tobytes() for one in lists]
+        bits = [np.packbits(mask).tobytes() for mask in _held_twice(lists)]
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "sorted": pa.array([False] * len(bits)), "payload": pa.array(bits, pa.binary())})
 
     reply = "block int, bucket int, sorted boolean, payload binary"
-    asked = dealt.groupBy(block).applyInArrow(ask, "bucket int, block int, payload binary")
-    seen = cut_lineage(asked.groupBy("bucket").applyInArrow(answer, reply))
+    asked = dealt.groupBy(block).applyInArrow(leaves_little(ask), "bucket int, block int, payload binary")
+    seen = cut_lineage(asked.groupBy("bucket").applyInArrow(leaves_little(answer), reply))
 
     def chosen(table: pa.Table, replies: pa.Table) -> tuple[Block, np.ndarray]:
         held = loaded(table)
@@ -306,8 +315,8 @@ def repeated_spans(docs: DataFrame, match: int = MATCH, doc_id: str = "doc_id",
             rows.append(_pack(j, begin[run], end[run], least_id[run]))
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "sorted": pa.array([True] * len(rows)), "payload": pa.array(rows, pa.binary())})
 
-    sent = dealt.groupBy(block).cogroup(seen.groupBy("block")).applyInArrow(send, "bucket int, block int, payload binary")
-    sorted_runs = sent.groupBy("bucket").applyInArrow(compare, reply)
+    sent = dealt.groupBy(block).cogroup(seen.groupBy("block")).applyInArrow(leaves_little(send), "bucket int, block int, payload binary")
+    sorted_runs = sent.groupBy("bucket").applyInArrow(leaves_little(compare), reply)
     result = T.StructType([T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("ends", T.ArrayType(T.LongType())), T.StructField("kept", T.BinaryType())])
     columns = docs.columns
 
@@ -350,7 +359,7 @@ def repeated_spans(docs: DataFrame, match: int = MATCH, doc_id: str = "doc_id",
         struct = pa.StructArray.from_arrays([pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(kept, pa.binary())], ["starts", "ends", "kept"])
         return pa.table({**{c: table.column(c) for c in columns}, out: struct})
 
-    done = dealt.groupBy(block).cogroup(seen.unionByName(sorted_runs).groupBy("block")).applyInArrow(remove, T.StructType([*docs.schema.fields, T.StructField(out, result)]))
+    done = dealt.groupBy(block).cogroup(seen.unionByName(sorted_runs).groupBy("block")).applyInArrow(leaves_little(remove), T.StructType([*docs.schema.fields, T.StructField(out, result)]))
     return done, out
 
 

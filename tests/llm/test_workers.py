@@ -1,10 +1,15 @@
 """What a Python worker holds: it serves all stages of a session, so each leaves little behind."""
 
+import re
+import sys
+
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
 
-from scour.llm import jaccard, packing
-from scour.llm.common import worker_cache
+from scour.llm import jaccard, packing, suffixes
+from scour.llm.common import components, leaves_little, worker_cache
 
 
 class Here:
@@ -30,3 +35,43 @@ def test_packing_keeps_a_bounded_table_and_the_same_ids():
     first = words.of(text)
     assert len(words) <= known <= 100_000 < len(text.split())
     assert words.of(text) == first
+
+
+@pytest.mark.skipif(sys.platform != "linux", reason="reads /proc")
+def test_free_memory_goes_back_after_a_group():
+    held = lambda: int(re.search(r"\nPss_Anon:\s+(\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+    pins = []
+
+    def run(table):
+        pieces = [bytes([i % 251]) * 20_000 for i in range(5000)]
+        pins.append(pieces[-1])
+        return table
+
+    leaves_little(run)(pa.table({"a": [1]}))
+    before = held()
+    leaves_little(run)(pa.table({"a": [1]}))
+    assert held() - before < 30 and len(pins) == 2
+    assert leaves_little(lambda left, right: right)(pa.table({"a": [1]}), pa.table({"b": [2]})).column_names == ["b"]
+
+
+def test_hashes_held_twice():
+    rng = np.random.default_rng(5)
+    lists = [np.unique(rng.integers(0, 300, n).astype(np.uint64)) for n in (0, 40, 90, 90)] + [np.arange(1000, 1010, dtype=np.uint64)]
+    for i, mask in enumerate(suffixes._held_twice(lists)):
+        others = np.concatenate(lists[:i] + lists[i + 1 :])
+        assert mask.tolist() == np.isin(lists[i], others).tolist()
+    assert [m.tolist() for m in suffixes._held_twice([np.array([7], np.uint64)])] == [[False]]
+
+
+def test_links_are_written_before_the_next_python_step(spark, monkeypatch):
+    plans = []
+
+    def watched(edges):
+        plans.append(edges._jdf.queryExecution().optimizedPlan().toString())
+        return components(edges)
+
+    monkeypatch.setattr(jaccard, "components", watched)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(words[:i] + [f"x{i}"] + words[i + 1 :])) for i in range(0, 60, 6)]
+    assert jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 4, 5).count() == len(rows)
+    assert plans and not any("InArrow" in p for p in plans)
