@@ -57,6 +57,11 @@ def forget() -> None:
     home = sys.modules.get("scour_worker_cache")
     if home:
         home.__dict__.get("kept", {}).clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Return this process's free memory to the system."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None  # other C libraries do without
     if trim:

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-from scour.llm.common import texts_of, worker_cache
+from scour.llm.common import give_back, texts_of, worker_cache
 from scour.session import cut_lineage
 
 # Letters, digits and white space on which the pattern below and the tokenizer's own surely agree.
@@ -39,6 +39,8 @@ WORDS = re.compile(rf" ?[{LETTERS}]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[^\s{LETTE
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 GROUP_PIECES = 4096
 KEPT_WORDS = 100_000
+BATCH_ROWS = 500
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def _byte_names() -> dict[str, int]:
@@ -89,10 +91,11 @@ def pieces_of(docs: DataFrame, tokenizer: str, size: int = 2048, separator: int
     """(uid, doc_id, start, ids_length, ids_crc32, doc_tokens[, ids]): every document cut at multiples of ``size``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         words = worker_cache(("packing", tokenizer), lambda: WordIds(tokenizer))
         uid = TaskContext.get().partitionId() << 36
         end = np.array([separator], "<u4").tobytes()
-        for batch in batches:
+        for batch in (whole.slice(i, BATCH_ROWS) for whole in batches for i in range(0, max(whole.num_rows, 1), BATCH_ROWS)):
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = words.of(text) + end
@@ -140,9 +143,20 @@ def first_fit_decreasing(lengths: list[int], size: int) -> list[int]:
     return place
 
 
+def _written(pieces: DataFrame) -> DataFrame:
+    """``cut_lineage`` with Arrow batches of at most ``BATCH_ROWS`` whole texts, which both sides hold in memory; the session's setting comes back."""
+    conf = pieces.sparkSession.conf
+    before = conf.get(ARROW_ROWS)
+    conf.set(ARROW_ROWS, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        return cut_lineage(pieces)
+    finally:
+        conf.set(ARROW_ROWS, before)
+
+
 def packed(pieces: DataFrame, size: int = 2048, seed: int = 0) -> DataFrame:
     """The pieces with ``sequence_id`` and ``offset``. ``pieces`` is written first: groups are dealt by the rows' numbers."""
-    pieces = cut_lineage(pieces)
+    pieces = _written(pieces)
     groups = pieces.count() // GROUP_PIECES + 1
     dealt = pieces.withColumn("group", F.pmod(F.xxhash64("uid", F.lit(seed)), F.lit(groups)))
 

@@ -10,6 +10,7 @@ import pytest
 
 from scour.llm import jaccard, packing, suffixes
 from scour.llm.common import components, leaves_little, worker_cache
+from scour.session import cut_lineage
 
 
 class Here:
@@ -74,3 +75,19 @@ def test_links_are_written_before_the_next_python_step(spark, monkeypatch):
     rows = [(i, " ".join(words[:i] + [f"x{i}"] + words[i + 1 :])) for i in range(0, 60, 6)]
     assert jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 4, 5).count() == len(rows)
     assert plans and not any("InArrow" in p for p in plans)
+
+
+def test_packing_takes_whole_texts_in_small_batches(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(packing, "cut_lineage", lambda df: (seen.append(spark.conf.get(packing.ARROW_ROWS)), cut_lineage(df))[1])
+    before = spark.conf.get(packing.ARROW_ROWS)
+    docs = spark.range(1200).selectExpr("id AS doc_id", "concat('text ', id) AS text").coalesce(1)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert packing.pack_documents(docs, path).count() == 1200
+    assert seen == [str(packing.BATCH_ROWS)] and spark.conf.get(packing.ARROW_ROWS) == before
+    run, context = packing.pieces_of(Here(), path, with_ids=True), type("Context", (), {"partitionId": lambda self: 0})
+    monkeypatch.setattr(packing.TaskContext, "get", staticmethod(lambda: context()))
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1200)), "text": ["ok"] * 1200})
+    out = list(run([batch]))
+    assert max(b.num_rows for b in out) <= packing.BATCH_ROWS
+    assert [u for b in out for u in b.column("uid").to_pylist()] == list(range(1200))
