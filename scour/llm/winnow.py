@@ -28,35 +28,39 @@ from scour.llm.common import texts_of
 
 GRAM = 16
 WINDOW = 16
-STRETCH = 64
 HIGH = 32
 LOW = (1 << HIGH) - 1
 LAST = (1 << 31) - 1
 LOCAL = 127
+STRETCH = LOCAL - WINDOW + 1  # windows; with what the last one needs, a stretch has LOCAL grams
 
 
 def winnowed(text: Column, skipped: Column | None = None) -> Column:
     """Packed (hash, position) numbers of a text's fingerprint, by position; ``skipped`` code points came before the text."""
-    cuts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0))
     overlap = GRAM + WINDOW - 2
-    pieces = F.zip_with(cuts, F.slice(cuts, F.lit(2), F.size(cuts)), lambda a, b: F.concat(a, F.coalesce(F.left(b, F.lit(overlap)), F.lit(""))))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{STRETCH + overlap}}})).{{1,{STRETCH}}}"), F.lit(1))
 
     def numbers(piece: Column) -> Column:
         """For each gram its hash without the lowest bits, which hold its reversed place in the stretch."""
         count = F.greatest(F.length(piece) - (GRAM - 1), F.lit(1))
-        return F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.substring(piece, i, F.lit(GRAM))).bitwiseAND(F.lit(~LOCAL)).bitwiseOR(F.lit(LOCAL) - i))
+
+        def slid(of: Column) -> Column:
+            return F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.substring(of, i, F.lit(GRAM))).bitwiseOR(F.lit(LOCAL)) - i)
+
+        # Where each code point is one byte, the same grams are cut as bytes: no way to their beginnings is counted.
+        return F.when(F.octet_length(piece) == F.length(piece), _bound(piece.cast("binary"), slid)).otherwise(slid(piece))
 
     def least(of: Column) -> Column:
-        """Minima of all windows, doubling their width; of all grams where there is no whole window."""
+        """Minima of all windows, widened fourfold a time; of all grams where there is no whole window."""
 
-        def doubled(v: Column, width: int = 1) -> Column:
+        def widened(v: Column, width: int = 1) -> Column:
             if width == WINDOW:
                 return v
-            step = min(width, WINDOW - width)
-            left = F.size(v) - step
-            return _bound(F.zip_with(F.slice(v, F.lit(1), left), F.slice(v, F.lit(step + 1), left), lambda a, b: F.when(a < b, a).otherwise(b)), lambda v: doubled(v, width + step))
+            steps = sorted({min(k * width, WINDOW - width) for k in (1, 2, 3)})
+            # Past the end there is null, which counts for nothing.
+            return _bound(F.transform(v, lambda x, i: F.least(x, *[F.get(v, i + step) for step in steps])), lambda u: widened(u, steps[-1] + width))
 
-        return _bound(of, lambda v: F.when(F.size(v) < WINDOW, F.array(F.array_min(v))).otherwise(doubled(v)))
+        return _bound(of, lambda v: F.slice(widened(v), F.lit(1), F.greatest(F.size(v) - (WINDOW - 1), F.lit(1))))
 
     def chosen(piece: Column, stretch: Column) -> Column:
         begin = stretch * STRETCH + (F.lit(0) if skipped is None else skipped)
@@ -64,7 +68,7 @@ def winnowed(text: Column, skipped: Column | None = None) -> Column:
         spread = lambda v: F.shiftleft(F.shiftrightunsigned(v, 33), HIGH) + offset + v.bitwiseAND(F.lit(LOCAL))
         # A stretch that is only the tail of the last window begins none.
         whole = (F.length(piece) > overlap) | (stretch == 0)
-        return F.when(whole, F.transform(F.array_distinct(F.slice(least(numbers(piece)), F.lit(1), F.lit(STRETCH))), spread)).otherwise(F.array().cast("array<bigint>"))
+        return F.when(whole, F.transform(F.array_distinct(least(numbers(piece))), spread)).otherwise(F.array().cast("array<bigint>"))
 
     return F.array_distinct(F.flatten(F.transform(pieces, chosen)))
 

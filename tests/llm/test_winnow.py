@@ -127,3 +127,22 @@ def test_windows_taken_from_the_next_document(spark):
     assert "next_packed" in plan
     want = {r[0]: r[4] for r in brute(rows)}
     assert {r.doc_id: r.p for r in made.select("doc_id", winnow.written(F.col("edited_packed")).alias("p")).collect()} == want
+
+
+def test_plain_stretches_beside_wide_ones(spark):
+    """Stretches of one byte a code point are cut as bytes, others as characters: both, mixed, of all lengths around a stretch, runs and ties."""
+    rng = random.Random(10)
+    size, reach = winnow.STRETCH, winnow.GRAM + winnow.WINDOW - 2
+    lengths = [1, 15, 16, 17, 31, 32, *range(size - 2, size + 3), *range(size + reach - 2, size + reach + 3), *range(2 * size - 1, 2 * size + 2), *range(2 * size + reach - 1, 2 * size + reach + 2), 5 * size]
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for letters in ("ab", "é🙂", "abcdefgh \n") for n in lengths]
+    texts += ["a" * before + wide + "ab " * 200 for wide in ("é", "🙂", "\x7f", "\x80") for before in (0, size - 1, size, size + reach - 1, size + reach, 3 * size)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = winnow.fingerprints(df).select("doc_id", winnow.written(F.col("packed")).alias("p")).collect()
+    assert {r.doc_id: r.p for r in found} == {i: shown(least(t)) for i, t in enumerate(texts)}
+
+
+def test_work_a_gram(spark):
+    """Grams of plain stretches are cut from bytes, and no array is copied for each doubling of the windows."""
+    df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    plan = df.select(winnow.winnowed(F.col("text")).alias("p"))._jdf.queryExecution().analyzed().toString()
+    assert "as binary" in plan and plan.count("slice(") == 1 and "zip_with" not in plan
