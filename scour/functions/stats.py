@@ -59,15 +59,38 @@ def moments(df: DataFrame, names: Sequence[str], null_counts: Sequence[str] = ()
 
 @dataclass
 class _Search:
-    """One open quantile: the bracket of values around its rank (None is open)."""
+    """One open quantile: the bracket of values around its rank, at first from the least to the largest value (None without values)."""
 
     name: str
     q: float
+    rows: int  # known values
+    ends: tuple[float | None, float | None]
     lo: float | None = None
     hi: float | None = None
-    size: int = 0  # rows expected inside, 0 for all
+    size: int = 0  # rows inside, as counted or expected
     small: bool = False
 
+    def __post_init__(self) -> None:
+        self.reset()
+        if self.rows and self.rank == self.last and self.rank in (0, self.rows - 1):
+            self.lo = self.hi = self.ends[self.rank > 0]  # no sample is sure to hold an end
+        self.small = self.lo == self.hi
+
+    def reset(self) -> None:
+        (self.lo, self.hi), self.size = self.ends, self.rows
+
+    @property
+    def rank(self) -> int:
+        return math.floor((self.rows - 1) * self.q)
+
+    @property
+    def last(self) -> int:
+        return math.ceil((self.rows - 1) * self.q)
+
+    @property
+    def bounded(self) -> bool:
+        return (self.lo, self.hi) != self.ends
+
     @property
     def key(self) -> tuple:
         return self.name, self.lo, self.hi
@@ -83,14 +106,16 @@ class _Search:
     def holds(self, value: float) -> bool:
         return (self.lo is None or self.lo <= value) and (self.hi is None or value <= self.hi)
 
-    def narrow(self, rank: int, last: int, inside: int, below: int, drawn: int, points: Sequence[float], limit: int) -> bool:
-        """Move the bracket to the grid cells around the two ranks; False when that changes nothing.
+    def narrow(self, inside: int, below: int, drawn: int, points: Sequence[float], limit: int) -> bool:
+        """Move the bracket to the grid cells around the two ranks; False when that changes nothing. At an end of the grid
+        the old bound stays: a sample need not hold the least or largest value.
 
         The margin is six standard deviations of a share seen in ``drawn`` sampled rows, at worst.
         """
         margin = 2 if drawn == inside else 2 + math.ceil(GRID * 3 / math.sqrt(drawn))
-        first, end = (rank - below) / inside * GRID, (last + 1 - below) / inside * GRID
-        low, high = points[max(0, math.floor(first) - margin)], points[min(GRID, math.ceil(end) + margin)]
+        first = math.floor((self.rank - below) / inside * GRID) - margin
+        end = math.ceil((self.last + 1 - below) / inside * GRID) + margin
+        low, high = points[first] if first > 0 else self.lo, points[end] if end < GRID else self.hi
         moved = (low, high) != (self.lo, self.hi)
         # The bracket spans that many grid cells; few enough rows need no further look.
         self.size = max(1, inside * (2 * margin + 2) // GRID)
@@ -99,14 +124,14 @@ class _Search:
         return moved
 
 
-def _split_by_value(table: DataFrame, s: _Search, rank: int, last: int) -> None:
+def _split_by_value(table: DataFrame, s: _Search) -> None:
     """Narrow a bracket that equal values keep wide: cut its distinct values evenly and count rows at each cut."""
     c = col(s.name)
     cuts = [i / 16 for i in range(17)]
     points = table.where(s.inside(c)).select(c).distinct().agg(F.percentile_approx(c, cuts, SAMPLE_ACCURACY)).first()[0]
     upto = table.agg(*[F.count_if(c <= F.lit(p)).alias(f"c{i}") for i, p in enumerate(points)]).first()
-    s.lo = max([p for i, p in enumerate(points) if upto[i] <= rank], default=s.lo)
-    s.hi = min([p for i, p in enumerate(points) if upto[i] > last], default=s.hi)
+    s.lo = max([p for i, p in enumerate(points) if upto[i] <= s.rank], default=s.lo)
+    s.hi = min([p for i, p in enumerate(points) if upto[i] > s.last], default=s.hi)
 
 
 def _collapsed(c: Column, brackets: Sequence[tuple[float | None, float | None]]) -> Column:
@@ -119,54 +144,73 @@ def _collapsed(c: Column, brackets: Sequence[tuple[float | None, float | None]])
             merged.append([lo, hi])
     out = F.when(c > F.lit(merged[-1][1]), F.lit(math.inf)).otherwise(c)
     for (_, end), (start, _) in reversed(list(zip(merged, merged[1:]))):
-        out = F.when((c > F.lit(end)) & (c < F.lit(start)), F.lit(end + (start - end) / 2)).otherwise(out)
+        middle = end + (start - end) / 2
+        out = F.when((c > F.lit(end)) & (c < F.lit(start)), F.lit(middle if math.isfinite(middle) else math.nextafter(end, start))).otherwise(out)
     return F.when(c < F.lit(merged[0][0]), F.lit(-math.inf)).otherwise(out)
 
 
+def _looked(table: DataFrame, searches: Sequence[_Search], draw: Column) -> tuple[DataFrame, list[Column]]:
+    """The rows that a round looks at closely, and what it asks of them: a grid over sampled rows of each bracket, and how
+    many distinct values a narrowed bracket holds. Rows outside the brackets and the samples never reach the sketches.
+    """
+    grid = F.expr(f"array({', '.join(f'{i / GRID}D' for i in range(GRID + 1))})")  # one call, not one for each literal
+    aggs, rows = [], F.lit(False)
+    for i, s in enumerate(searches):
+        c = col(s.name)
+        inside = s.inside(c)
+        taken = inside & (F.col("__draw") * s.size < SAMPLE_ROWS)
+        aggs += [F.count_if(taken).alias(f"drawn{i}"), F.percentile_approx(F.when(taken, c), grid, SAMPLE_ACCURACY).alias(f"grid{i}")]
+        if s.bounded:
+            aggs.append(F.approx_count_distinct(F.when(inside, c)).alias(f"nd{i}"))
+        rows = rows | (inside if s.bounded else taken)
+    return table.withColumn("__draw", draw).where(rows), aggs
+
+
 def exact_quantiles(df: DataFrame, wanted: dict[str, Sequence[float]], limit: int = HISTOGRAM_LIMIT, seed: int = 7) -> dict[str, list]:
     """Exact linearly interpolated quantiles of several columns.
 
-    Rounds of one aggregate each narrow a value bracket around every wanted rank: a bounded
-    random sample proposes it, exact counts confirm it. Once few rows or few distinct values remain, the last job counts
+    Rounds each narrow a value bracket around every wanted rank: a bounded random sample proposes it, and the next round
+    starts with exact counts that confirm it. Once few rows or few distinct values remain, the last job counts
     those with a distributed ``groupBy`` and interpolates. Up to half a million rows one round is enough.
     """
-    searches = [_Search(name, q) for name, qs in wanted.items() for q in dict.fromkeys(qs)]
-    if not searches:
+    if not any(len(qs) for qs in wanted.values()):
         return {}
     table = df.select(*[known(name, df).cast("double").alias(name) for name in wanted])
-    grid = [i / GRID for i in range(GRID + 1)]
-    rows, turn = table.count(), 0
-    counts: dict[str, int] = {}
-    if rows <= limit:
-        for s in searches:
-            s.small = True
+    row = table.agg(*[f(col(name)).alias(f"{k}{i}") for i, name in enumerate(wanted) for k, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    searches = [_Search(name, q, row[f"n{i}"], (row[f"lo{i}"], row[f"hi{i}"])) for i, (name, qs) in enumerate(wanted.items()) for q in dict.fromkeys(qs)]
+    for s in searches:
+        s.small = s.small or s.rows <= limit
+    turn = 0
     while any(not s.small for s in searches):
-        keys = {s.key: s for s in searches if not s.small}
-        aggs = []
-        for i, s in enumerate(keys.values()):
-            c = col(s.name)
-            cell = F.when(s.inside(c), c)
-            taken = F.when(F.col("__draw") * (s.size or rows) < SAMPLE_ROWS, cell)
-            aggs += [F.count(cell).alias(f"in{i}"), F.count(taken).alias(f"drawn{i}"), F.percentile_approx(taken, grid, SAMPLE_ACCURACY).alias(f"grid{i}")]
-            if s.name in counts:
-                aggs.append(F.approx_count_distinct(cell).alias(f"nd{i}"))
-            aggs.append((F.count_if(c < F.lit(s.lo)) if s.lo is not None else F.lit(0)).alias(f"below{i}"))
+        keys = list(dict.fromkeys(s.key for s in searches if not s.small and s.bounded))
+        spans = {s.key: (0, s.rows) for s in searches if not s.small and not s.bounded}
+        if keys:
+            inside = {s.key: s.inside(col(s.name)) for s in searches}
+            aggs = [(F.count_if(col(name) < F.lit(lo)), F.count_if(inside[name, lo, hi])) for name, lo, hi in keys]
+            row = table.agg(*[c for pair in aggs for c in pair]).first()
+            spans |= {key: (row[2 * i], row[2 * i + 1]) for i, key in enumerate(keys)}
+        for s in [s for s in searches if not s.small]:
+            below, s.size = spans[s.key]
+            if not below <= s.rank <= s.last < below + s.size:
+                s.reset()  # the sample misled: look at the whole column again
+                spans[s.key] = 0, s.rows
+            elif s.size <= limit:
+                s.small = True
+        looked = {s.key: s for s in searches if not s.small}
+        if not looked:
+            break
         # Should the samples keep failing, every row is drawn and the rounds are certain to end.
         draw = F.rand(seed + turn) if turn < MAX_ROUNDS else F.lit(0.0)
-        row = table.withColumn("__draw", draw).agg(*aggs).first().asDict()
-        for i, key in enumerate(keys):
-            counts.setdefault(key[0], row[f"in{i}"])
-        position = {key: i for i, key in enumerate(keys)}
+        rows, aggs = _looked(table, list(looked.values()), draw)
+        row = rows.agg(*aggs).first().asDict()
+        position = {key: i for i, key in enumerate(looked)}
         for s in [s for s in searches if not s.small]:
-            i, n = position[s.key], counts[s.name]
-            inside, below, points = row[f"in{i}"], row[f"below{i}"], row[f"grid{i}"]
-            rank, last = math.floor((n - 1) * s.q), math.ceil((n - 1) * s.q)
-            if min(inside, row.get(f"nd{i}", inside)) <= limit:
+            i, (below, inside) = position[s.key], spans[s.key]
+            points = row[f"grid{i}"]
+            if row.get(f"nd{i}", inside) <= limit:
                 s.small = True
-            elif not below <= rank <= last < below + inside:
-                s.lo, s.hi, s.size = None, None, 0  # the sample misled: look at the whole column again
-            elif not (points and s.narrow(rank, last, inside, below, row[f"drawn{i}"], points, limit)) and not s.small:
-                _split_by_value(table, s, rank, last)
+            elif not (points and s.narrow(inside, below, row[f"drawn{i}"], points, limit)) and not s.small:
+                _split_by_value(table, s)
         turn += 1
     names = list(wanted)
     cells = [

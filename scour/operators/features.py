@@ -82,16 +82,11 @@ class Bins:
     include_lowest: bool = False
 
     def label(self, c: Column) -> Column:
-        """The label of the gap a value falls in; outside or NULL gives NULL."""
-        out = F.lit(None).cast("string")
-        gaps = list(zip(self.edges, self.edges[1:], self.labels))
-        for i, (low, high, label) in reversed(list(enumerate(gaps))):
-            if self.right:
-                above = (c >= F.lit(low)) if i == 0 and self.include_lowest else (c > F.lit(low))
-                inside = above & (c <= F.lit(high))
-            else:
-                inside = (c >= F.lit(low)) & (c < F.lit(high))
-            out = F.when(inside, F.lit(label)).otherwise(out)
+        """The label of the gap a value falls in, the first whose upper edge is not passed; outside or NULL gives NULL."""
+        low = F.lit(self.edges[0])
+        out = F.when(c <= low if self.right and not self.include_lowest else c < low, F.lit(None).cast("string"))
+        for high, label in zip(self.edges[1:], self.labels):
+            out = out.when(c <= F.lit(high) if self.right else c < F.lit(high), F.lit(label))
         return out
 
 

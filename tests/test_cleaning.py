@@ -169,6 +169,24 @@ def test_quantile_brackets_from_samples_stay_exact(spark, monkeypatch):
     assert grouped == pytest.approx(np.quantile(data, 0.75), rel=1e-12)
 
 
+def test_quantile_sketches_see_samples_and_brackets_only(spark, monkeypatch):
+    """The least and the largest value, which a sample may lack, cost no further rounds."""
+    monkeypatch.setattr(stats, "SAMPLE_ROWS", 1000)
+    seen, looked = [], stats._looked
+
+    def spied(*args):
+        rows, aggs = looked(*args)
+        seen.append(rows.count())
+        return rows, aggs
+
+    monkeypatch.setattr(stats, "_looked", spied)
+    data = [(i * 7919 % 40_009) / 7 for i in range(40_000)]
+    df = spark.createDataFrame([(v,) for v in data], "x double")
+    qs = [0.0, 0.25, 0.5, 0.75, 1.0]
+    assert stats.exact_quantiles(df, {"x": qs}, 2000)["x"] == pytest.approx(list(np.quantile(data, qs)), rel=1e-12)
+    assert len(seen) == 2 and seen[0] < 2000 and seen[1] < 40_000 * 0.65
+
+
 @pytest.mark.parametrize("limit", [1_000_000, 20])
 def test_grouped_quantile_with_one_hot_group(spark, limit):
     r = random.Random(5)
