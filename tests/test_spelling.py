@@ -6,7 +6,7 @@ from itertools import combinations
 import pytest
 
 from scour.functions import similarity as sim
-from scour.operators import categories, pairs
+from scour.operators import categories, contained, grams, pairs
 from scour.plans.stages import apply_stage
 from tests.conftest import values
 
@@ -144,6 +144,44 @@ def test_common_prefixes_are_refined_and_complete(spark, monkeypatch):
     assert found(spark, texts, 85) == brute(texts, 85)
 
 
+GROUPS = [100_000, 12]
+
+
+def crowded_texts(seed, n, longest):
+    return sorted({w + t for i, t in enumerate(some_texts(seed, n, "abcdefgh", longest)) for w in (["", "QQ"] if i % 3 else ["abcabc"])})
+
+
+@pytest.mark.parametrize("most", GROUPS)
+@pytest.mark.parametrize("above", [85, 80])
+def test_many_short_strings_meet_by_grams(spark, monkeypatch, above, most):
+    """No row for each piece and shift; the small groups force second grams and parts."""
+    monkeypatch.setattr(pairs, "HOT_PAIRS", 50)
+    monkeypatch.setattr(grams, "GROUP_VALUES", most)
+    texts = crowded_texts(13, 150, 30) + ["x" * 66 + "ab", "x" * 60 + "a"]
+    whole, seen = pairs._candidates, []
+    monkeypatch.setattr(pairs, "_candidates", lambda values, *more: (seen.extend(r["value"] for r in values.collect()), whole(values, *more))[1])
+    assert found(spark, texts, above) == brute(texts, above)
+    assert max(map(len, seen), default=0) <= pairs.FEW_GRAMS
+
+
+@pytest.mark.parametrize("most", GROUPS)
+def test_many_contained_strings_equal_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(contained, "HOT_PAIRS", 50)
+    monkeypatch.setattr(grams, "GROUP_VALUES", most)
+    texts = crowded_texts(17, 90, 24) + ["abc" * 50, "abc" * 12, "bca" * 48 + "h"]
+    shortest, whole = [], contained._candidates
+
+    def spied(rows, above, first=None):
+        shortest.append((first if first is not None else rows).where("n between 5 and 128").count() * rows.where("n <= 128").count())
+        return whole(rows, above, first)
+
+    monkeypatch.setattr(contained, "_candidates", spied)
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, value string")
+    got = sorted((r["a"], r["b"]) for r in contained.contained_pairs(df, 80).collect())
+    want = [(i, j) for i, j in combinations(range(len(texts)), 2) if sim.partial_ratios([texts[i]], [texts[j]])[0] > 80]
+    assert got == want and set(shortest) == {0}
+
+
 def test_similar_long_strings_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(pairs, "BLOCK_VALUES", 8)
     texts = [t * 4 for t in some_texts(11, 80, "abcdefgh", 50)]
